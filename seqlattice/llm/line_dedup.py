@@ -117,7 +117,7 @@ def _settle(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Rec
 def pack_bitmap(dropped: list[int] | np.ndarray) -> bytes:
     """Keep bits up to the last line that goes, compressed; every later line stays."""
     at = np.asarray(dropped, np.int64)
-    keep = np.ones(int(at.max()) + 1 if len(at) else 0, bool)
+    keep = np.ones((int(at.max()) // 8 + 1) * 8 if len(at) else 0, bool)  # whole bytes
     keep[at] = False
     return zlib.compress(np.packbits(keep, bitorder="little").tobytes())
 
