@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,85 @@ def list_array(values: pa.Array, counts) -> pa.ListArray:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+class WordHashes(dict):
+    """word -> 64-bit hash, the same in every process; kept up to a number of words, then begun anew."""
+
+    ROOM = 300_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.ROOM:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spread every bit of 64-bit numbers over all others."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+        return h ^ (h >> np.uint64(33))
+
+
+def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` consecutive numbers; empty if there are fewer."""
+    n = len(h) - size + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    return mix(out)
+
+
+#: Bits of a filter: a broadcast of 4 MB whatever the input; a full one only lets more rows pass.
+FILTER_BITS = 25
+
+
+def key_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter of the long ``column``: at most 2 ** (bits - 6) rows of two longs come to the driver."""
+    slots = F.explode(F.array(*(F.shiftrightunsigned(F.xxhash64(F.col(column), F.lit(k)), 64 - bits) for k in range(3))))
+    words = keys.select(slots.alias("slot")).select((F.shiftright("slot", 6)).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def filter_slots(column: Column, bits: int = FILTER_BITS) -> Column:
+    """The slots of a long key, for ``may_hold``."""
+    return F.array(*(F.shiftrightunsigned(F.xxhash64(column, F.lit(k)), 64 - bits) for k in range(3)))
+
+
+def may_hold(words: np.ndarray, slots: pa.ListArray) -> np.ndarray:
+    at = slots.values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 3) if len(slots) else np.empty((0, 3), np.int64)
+    return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+
+
+def components(edges: DataFrame, tag: str = "components") -> DataFrame:
+    """(id, root) of every id in the links (a, b): root is the smallest id that can be reached.
+
+    Stars of the larger and of the smaller neighbours in turn (hash-to-min), each a grouped minimum and a join, until
+    nothing changes; every turn is written to the shared folder.
+    """
+    links = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), tag)
+    before = None
+    while True:
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            return links.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+        before = now
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        links = materialize(small.filter("u <> v").distinct(), tag)
