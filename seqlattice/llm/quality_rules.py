@@ -1,10 +1,15 @@
 """Quality rules: base counts of a text, and how well a public vocabulary fits it.
 
 Fertility figures, each over the words of a whole text under a byte-fallback vocabulary: characters a token, share of
-byte-fallback tokens, and the entropy of the tokens over the greatest it can be.  For each language and script, the
-rejection band of a figure is [q1 - width * r, q3 + width * r] with the quartiles of all documents of that class that
-pass the base rules and have ``min_words`` words; r is the interquartile range, at least ``least_spread`` times the
-median.  Documents shorter than that have no steady figures and stand on the base rules alone.
+byte-fallback tokens, and the entropy of the tokens over the greatest it can be.  The rejection band of a figure lies
+around the median of all documents of a language and script that pass the base rules:
+
+- characters a token: ``width`` standard errors, of a spread of one token that is itself learned (the median deviation
+  times the root of the number of tokens) and of ``DRIFT`` of the median, so that short texts have wider bands;
+- byte-fallback share: the same with the spread of a share, and ``BYTE_ALLOWANCE``;
+- token entropy: ``width`` robust deviations around the median of texts with as many tokens, by powers of two.
+
+Documents of fewer than ``BAND_WORDS`` words have no steady figures and stand on the base rules alone.
 
 Defined cases: a null or empty text has no words and fails the base rules.  A null language is a class of its own.
 """
@@ -25,12 +30,10 @@ from .common import WHITE, materialize, record_batch, text_bytes, tokenizer_path
 
 SYMBOLS = b"#*$%&|<>"
 MODEL = "piece_bpe_32k.model"
-#: The figures that have bands, and the least spread of each as a share of its median.
-FIGURES = {"chars_per_token": 0.05, "byte_share": 0.0, "token_entropy": 0.02}
-#: An allowance beside the quartiles, for figures whose spread may be nothing.
-ALLOWANCE = {"chars_per_token": 0.1, "byte_share": 0.02, "token_entropy": 0.02}
-BAND_WIDTH = 4.0
-BAND_WORDS = 100
+BAND_WIDTH, BAND_WORDS = 6.0, 100
+#: Least spread of one token in characters; differences between texts of one language, as a share of the median.
+LEAST_SPREAD, DRIFT = 0.5, 0.005
+BYTE_ALLOWANCE, LEAST_ENTROPY_SPREAD = 0.01, 0.015
 CACHE_WORDS = 400_000
 
 _COUNTS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64())]
@@ -150,30 +153,45 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def bands(measured: DataFrame, width: float = BAND_WIDTH, min_words: int = BAND_WORDS) -> DataFrame:
-    """One row for each language and script with the low and high end of each figure's band."""
-    steady = measured.filter(~base_failed() & (F.col("n_words") >= min_words))
-    quartiles = steady.groupBy("lang", "script").agg(*(F.percentile_approx(k, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(k) for k in FIGURES))
-    out = [F.col("lang"), F.col("script")]
-    for k, least in FIGURES.items():
-        q1, mid, q3 = (F.col(k)[i] for i in range(3))
-        reach = width * F.greatest(q3 - q1, least * mid) + ALLOWANCE[k]
-        out += [(q1 - reach).alias(f"{k}_low"), (q3 + reach).alias(f"{k}_high")]
-    return quartiles.select(*out)
+_CLASS, _SIZED = ["lang", "script"], ["lang", "script", "size_class"]
+
+
+def _median(column: Column | str) -> Column:
+    return F.percentile_approx(column, F.lit(0.5), F.lit(10_000))
+
+
+def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join by keys of which the language may be null."""
+    named = right.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(named, met, "left").drop(*(f"__{k}" for k in keys))
+
 
+def judge(measured: DataFrame, width: float = BAND_WIDTH, min_words: int = BAND_WORDS) -> DataFrame:
+    """``measured`` with base_failed, in_band and kept; the bands come from all of its documents."""
+    rows = measured.withColumns({"base_failed": base_failed(), "size_class": F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))).cast("int")})
+    steady = rows.filter(~F.col("base_failed") & (F.col("n_words") >= min_words))
+    middle = steady.groupBy(*_CLASS).agg(_median("chars_per_token").alias("mid_chars"), _median("byte_share").alias("mid_bytes"))
+    typical = steady.groupBy(*_SIZED).agg(_median("token_entropy").alias("mid_entropy"))
+    away = _with(_with(steady, middle, _CLASS), typical, _SIZED)
+    root = F.sqrt(F.col("n_tokens").cast("double"))
+    spread = away.groupBy(*_CLASS).agg(F.greatest(F.lit(LEAST_SPREAD), 1.4826 * _median(F.abs(F.col("chars_per_token") - F.col("mid_chars")) * root)).alias("spread_chars"))
+    entropy = away.groupBy(*_SIZED).agg(F.greatest(F.lit(LEAST_ENTROPY_SPREAD), 1.4826 * _median(F.abs(F.col("token_entropy") - F.col("mid_entropy")))).alias("spread_entropy"))
+    met = _with(_with(_with(_with(rows, middle, _CLASS), spread, _CLASS), typical, _SIZED), entropy, _SIZED)
 
-def judge(measured: DataFrame, limits: DataFrame, min_words: int = BAND_WORDS) -> DataFrame:
-    """``measured`` with base_failed, in_band and kept."""
-    met = measured.alias("m").join(limits.alias("b"), F.col("m.lang").eqNullSafe(F.col("b.lang")) & (F.col("m.script") == F.col("b.script")), "left")
-    inside = F.lit(True)
-    for k in FIGURES:
-        inside = inside & F.col(f"m.{k}").between(F.col(f"b.{k}_low"), F.col(f"b.{k}_high"))
-    in_band = F.coalesce(inside, F.lit(True)) | (F.col("m.n_words") < min_words)
-    return met.select("m.*", base_failed().alias("base_failed"), in_band.alias("in_band")).withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
+    error = F.sqrt((F.col("spread_chars") / root) ** 2 + (DRIFT * F.col("mid_chars")) ** 2)
+    chars = F.abs(F.col("chars_per_token") - F.col("mid_chars")) <= width * error
+    share = F.sqrt(F.col("mid_bytes") * (1 - F.col("mid_bytes"))) / root
+    bytes_ = F.col("byte_share") - F.col("mid_bytes") <= width * (share + BYTE_ALLOWANCE)
+    entropies = F.abs(F.col("token_entropy") - F.col("mid_entropy")) <= width * F.col("spread_entropy")
+    in_band = F.coalesce(chars & bytes_ & entropies, F.lit(True)) | (F.col("n_words") < min_words)
+    return met.select(*rows.columns, in_band.alias("in_band")).withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model_dir: str | None = None, width: float = BAND_WIDTH) -> DataFrame:
     """Counts, figures and verdict of every document.  ``tx`` beside the id names the text, should an id come twice."""
     keep = {"doc_id": F.col(id_col).cast("long"), "tx": F.xxhash64(F.col(text_col)), "lang": F.col(lang_col).cast("string")}
     measured = materialize(measure(docs, keep, text_col, model_dir), "fertility")
-    return judge(measured, bands(measured, width))
+    return judge(measured, width)
