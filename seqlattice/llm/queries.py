@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, license_scan, line_dedup, minhash, quality_rules, suffix_dedup, token_counts
+from . import decontaminate, html_extract, license_scan, line_dedup, minhash, quality_rules, segmentation, suffix_dedup, token_counts
 from .common import table
 from .oracles import ORACLES
 
@@ -42,6 +42,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = segmentation.encode(table(spark, sf_dir, "documents"), with_ids=False)
+    fields = ["n_pieces", "sha256", "decoded", "log_prob", "value", "log_inclusion"]
+    return sampled.select("doc_id", "n_bytes", F.transform("samples", lambda s: F.struct(*(s[f].alias(f) for f in fields))).alias("samples"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
