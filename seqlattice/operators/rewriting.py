@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,6 +49,7 @@ def segments(spell: str) -> list[dict] | None:
     return out
 
 
+@lru_cache(1000)
 def _alternatives(context: str) -> list[list[str]]:
     """A context of one group of alternatives, or a sequence, as lists of atoms."""
     context = context.strip()
@@ -63,19 +65,24 @@ def _atom(atom: str, word: list[dict], i: int) -> bool:
         return False
     if atom[0] != "[":
         return word[i]["spell"] == atom
-    return all((word[i]["spell"] in MEMBERS[t]) if t in MEMBERS else test(t, word[i]) for t in re.split(r"[,\s]+", atom[1:-1]))
+    return all((word[i]["spell"] in MEMBERS[t]) if t in MEMBERS else test(t, word[i]) for t in _tests(atom))
 
 
-def apply_rule(spell: str, rule: Rule) -> tuple[str, int]:
-    """(spelling, places changed); contexts are those of the word before."""
-    word = segments(spell)
+@lru_cache(10_000)
+def _tests(atom: str) -> list[str]:
+    return re.split(r"[,\s]+", atom[1:-1])
+
+
+def apply_rule(spell: str, rule: Rule, word: list[dict] | None = None) -> tuple[str, int]:
+    """(spelling, places changed); contexts are those of the word before.  ``word`` is its segments, if they are known."""
+    word = segments(spell) if word is None else word
     if word is None:
         return spell, 0
     out, hits = [], 0
     for i, s in enumerate(word):
-        left = any(all(_atom(a, word, i - len(alt) + k) for k, a in enumerate(alt)) for alt in _alternatives(rule.left))
-        right = any(all(_atom(a, word, i + 1 + k) for k, a in enumerate(alt)) for alt in _alternatives(rule.right))
-        hit = left and right and _atom(rule.target, word, i)
+        hit = _atom(rule.target, word, i)
+        hit = hit and any(all(_atom(a, word, i - len(alt) + k) for k, a in enumerate(alt)) for alt in _alternatives(rule.left))
+        hit = hit and any(all(_atom(a, word, i + 1 + k) for k, a in enumerate(alt)) for alt in _alternatives(rule.right))
         hits += hit
         out.append(rule.replacement if hit else s["spell"])
     return "".join(out), hits
@@ -84,11 +91,14 @@ def apply_rule(spell: str, rule: Rule) -> tuple[str, int]:
 def derive(spell: str, rules: list[Rule]) -> tuple[str, list[str]]:
     """(result, names of the rules that changed it)."""
     steps = []
+    word = segments(spell)
     for rule in rules:
-        new, hits = apply_rule(spell, rule)
+        if word is None:
+            break
+        new, hits = apply_rule(spell, rule, word)
         if hits and new != spell:
             steps.append(rule.name)
-            spell = new
+            spell, word = new, segments(new)
     return spell, steps
 
 

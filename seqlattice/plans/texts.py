@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import morphology, patterns, prosody, syllables, tiers
 from ..functions.inventory import CLASS_OF, CODE, CONSONANTS, CONSTRAINTS, DIGRAPHS, MEMBERS, PHONEMES, TOKEN, VOWELS, clusters, cv_code, encoded
-from ..operators import constraints, distributions, ngrams, rewriting
+from ..operators import constraints, distributions, ngrams, reports, rewriting
 from ..sources.tables import lexicon, spoken, table, words_of
 
 
+def _spread(words: DataFrame) -> DataFrame:
+    """Distinct words over all tasks: few bytes, but each costs a Python call."""
+    return words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+
+
 def word_rank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = distributions.rank_stats(lexicon(spark, sf_dir).withColumnRenamed("word", "symbol"), "lang")
     return stats.select("lang", "n_types", "n_tokens", *(F.round(c, 6).alias(c) for c in ("top_share", "top1", "h_bits", "h_rel")), F.round("p_geo", 9).alias("p_geo"))
@@ -108,12 +113,12 @@ def word_ipa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def syllable_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spoken(spark, sf_dir).select("n", F.explode(syllables.syllables(F.col("word"))["syllables"]).alias("s"))
+    words = _spread(spoken(spark, sf_dir)).select("n", F.explode(syllables.syllables(F.col("word"))["syllables"]).alias("s"))
     return words.groupBy(prosody.shape(F.col("s")).alias("shape"), prosody.weight(prosody.morae(F.col("s"))).alias("rime_weight"), prosody.weight(prosody.morae(F.col("s"), "onset_sensitive")).alias("onset_weight")).agg(F.sum("n").alias("n"))
 
 
 def rewrite_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    derived = spoken(spark, sf_dir).select("word", rewriting.rewritten(F.col("word"))["result"].alias("result"))
+    derived = _spread(spoken(spark, sf_dir)).select("word", rewriting.rewritten(F.col("word"))["result"].alias("result"))
     return rewriting.collisions(derived)
 
 
@@ -124,6 +129,35 @@ def join_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("word", "next", morphology.vowel_join(F.col("word"), F.col("next")).alias("by_vowels"), morphology.consonant_join(F.col("word"), F.col("next")).alias("by_consonants"))
 
 
+def word_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.audit(_spread(lexicon(spark, sf_dir)))
+
+
+def affix_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What joining the four endings does to the words of the benchmark."""
+    stems = table(spark, sf_dir, "benchmark").select(F.explode(words_of(F.col("text"))).alias("word")).distinct()
+    endings = spark.createDataFrame([("os",), ("tos",), ("in",), ("ka",)], "affix string")
+    return reports.affix_report(stems, endings)
+
+
+def candidate_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's words as candidates for the lexicon of the documents."""
+    asked = table(spark, sf_dir, "benchmark").select(F.explode(words_of(F.col("text"))).alias("word"))
+    return reports.candidate_report(asked, lexicon(spark, sf_dir))
+
+
+def default_falls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the default rule puts the accent, by number of syllables and weight scale."""
+    rows = _spread(spoken(spark, sf_dir)).select("n", syllables.syllables(F.col("word"))["syllables"].alias("s")).filter("s is not null")
+    scales = F.array(*(F.struct(F.lit(k).alias("scale"), reports.default_fall(F.col("s"), k).alias("fall")) for k in prosody.SCALES))
+    return rows.select("n", F.size("s").alias("syllables"), F.explode(scales).alias("d")).groupBy("d.scale", "syllables", "d.fall").agg(F.sum("n").alias("n"))
+
+
+def stimulus_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words for each combination of first-syllable shapes."""
+    return reports.stimulus_design({"onset": ["0", "1", "2"], "nucleus": ["1", "2"], "coda": ["0", "1", "2"]}, spoken(spark, sf_dir))
+
+
 def maxent_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spoken(spark, sf_dir)
     asked = [("ccc", "*[C][C][C]", 1.0), ("final_t", "*[T]#", 1.0), ("vv", "*[V][V]", 1.0), CONSTRAINTS[2]]
@@ -152,7 +186,7 @@ def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     word_rank_stats, lang_js_divergence, lang_summary_ratios, cv_clusters, cv_counts, phoneme_tokenise, phoneme_distribution, phoneme_bigrams, class_bigrams, vowel_harmony, pattern_count,
-    constraint_violations, harmony_rank, word_ipa, syllable_shapes, rewrite_corrections, join_forms, maxent_weights, constraint_evaluation, rank_laws_letters, page_markers,
+    constraint_violations, harmony_rank, word_ipa, syllable_shapes, rewrite_corrections, join_forms, word_audit, affix_seams, candidate_words, default_falls, stimulus_cells, maxent_weights, constraint_evaluation, rank_laws_letters, page_markers,
 )}
 
 _LEX = "lex AS (SELECT lang, w AS word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY lang, w)"
