@@ -8,7 +8,8 @@ and adjacent common prefixes of ``length`` bytes mark the windows that repeat.
 window does.
 
 Hot groups: a text that several rows hold is taken once in each task and is removed as a whole by its count; of equal
-stretches each task sends one on.
+stretches each task sends one on.  The unequal stretches of one minimizer go to one suffix array up to ``GROUP`` of
+them; of a larger group every window is dealt out by a 128-bit hash, equal ones of a task as one row.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` stay as they are.  Rows that repeat wholly are
 copies of each other like any other copies.
@@ -39,8 +40,13 @@ _STRETCH = "kind int, mh long, sw long, t1 long, t2 long, start int, n int, flag
 _STRETCH_ARROW = pa.schema([("kind", pa.int32()), ("mh", pa.int64()), ("sw", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("flags", pa.int32())])
 #: Kinds of rows: a stretch whose windows all repeat; a stretch under its minimizer; one whose text is needed.
 _WHOLE, _STRETCH_ROW, _ASKED = 0, 1, 2
-#: Flags of a stretch: it may repeat a window in itself; its windows are known to repeat.
-_INNER, _KNOWN = 1, 2
+#: Flags of a stretch: it may repeat a window in itself; its windows are known to repeat; it is of a group beyond GROUP;
+#: it is one window of such a group, by its hash; its windows are settled.
+_INNER, _KNOWN, _HOT, _WINDOW, _SETTLED = 1, 2, 4, 8, 16
+#: Stretches of one minimizer that one suffix array takes; of a larger group the windows are dealt out by their hashes.
+GROUP = 20_000
+#: Rows of one minimizer that are held while they are streamed.
+HELD = 200_000
 
 
 def kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -141,9 +147,10 @@ def _cut_chunk(texts: list[bytes], keys: list[tuple[int, int]], length: int) ->
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams stretches sorted by minimizer, hash and place: settles equal ones, asks for the text of the others.
 
-    Only the rows of the last minimizer are held between batches.
+    Held between batches are the rows of the last minimizer, up to ``HELD`` of them: of more, what lies before the last
+    hash is let go as rows of a group of many, and rows of one hash become one.
     """
-    held = np.empty((7, 0), np.int64)
+    held, many = np.empty((7, 0), np.int64), None
     for batch in batches:
         now = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(7)])
         rows = np.concatenate([held, now], axis=1)
@@ -152,16 +159,35 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = np.flatnonzero(rows[0] != rows[0, -1])
         last = int(others[-1]) + 1 if len(others) else 0
         held = rows[:, last:]
-        yield from _meet_rows(rows[:, :last])
-    yield from _meet_rows(held)
-
-
-def _meet_rows(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from _meet_rows(rows[:, :last], many)
+        if held.shape[1] > HELD:
+            held = held[:, np.append(True, (held[:6, 1:] != held[:6, :-1]).any(axis=0))]
+            others = np.flatnonzero((held[1] != held[1, -1]) | (held[5] != held[5, -1]))
+            if len(others):
+                many = held[0, -1]
+                yield from _meet_rows(held[:, : others[-1] + 1], many)
+                held = held[:, others[-1] + 1 :]
+            if held.shape[1] > 1:
+                open_ = held[6] & _KNOWN == 0
+                if open_.any():
+                    yield _stretch_rows(_WHOLE, held[:, open_], 0)
+                held = held[:, :1].copy()
+                held[6] |= _KNOWN
+    yield from _meet_rows(held, many)
+
+
+def _stretch_rows(kind: int, rows: np.ndarray, flags: np.ndarray | int) -> pa.RecordBatch:
+    mh, sw, t1, t2, start, n, _ = rows
+    return record_batch(_STRETCH_ARROW, np.full(len(mh), kind, np.int32), mh, sw, t1, t2, start.astype(np.int32), n.astype(np.int32), np.broadcast_to(np.asarray(flags, np.int32), len(mh)))
+
+
+def _meet_rows(rows: np.ndarray, many_of: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Of whole groups; of the minimizer ``many_of`` there are other stretches than these."""
     if not rows.shape[1]:
         return
     fresh = np.append(True, (rows[:6, 1:] != rows[:6, :-1]).any(axis=0))  # the same stretch of the same text, from several tasks
     rows = rows[:, fresh]
-    mh, sw, t1, t2, start, n, flags = rows
+    mh, sw, _, _, _, n, flags = rows
     new_mh = np.append(True, mh[1:] != mh[:-1])
     new_sw = new_mh | np.append(True, (sw[1:] != sw[:-1]) | (n[1:] != n[:-1]))
     of_sw = np.cumsum(new_sw) - 1
@@ -171,13 +197,13 @@ def _meet_rows(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(new_mh)[sw_at] - 1  # of each distinct stretch: its minimizer
     g_at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     inner = flags[sw_at] & _INNER > 0
+    forced = mh[sw_at[g_at]] == many_of if many_of is not None else np.zeros(len(g_at), bool)
     many = np.diff(np.append(g_at, len(sw_at))) > 1
-    open_ = np.logical_or.reduceat(~known, g_at) & (many | np.logical_or.reduceat(inner & ~known, g_at))
+    open_ = forced | np.logical_or.reduceat(~known, g_at) & (many | np.logical_or.reduceat(inner & ~known, g_at))
     asked = sw_at[open_[group]]
     for kind, pick in ((_WHOLE, np.flatnonzero(settle)), (_ASKED, asked)):
         if len(pick):
-            f = np.where(known[of_sw[pick]], _KNOWN, 0).astype(np.int32)
-            yield record_batch(_STRETCH_ARROW, np.full(len(pick), kind, np.int32), mh[pick], sw[pick], t1[pick], t2[pick], start[pick].astype(np.int32), n[pick].astype(np.int32), f)
+            yield _stretch_rows(kind, rows[:, pick], np.where(known[of_sw[pick]], _KNOWN, 0))
 
 
 def _pick_texts(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -198,14 +224,32 @@ def _pick_texts(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterato
         yield record_batch(schema, some.column(0), some.column(1), some.column(2))
 
 
+_SLICE = "mh long, t1 long, t2 long, start int, n int, flags int, raw binary"
+_SLICE_ARROW = pa.schema([("mh", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("flags", pa.int32()), ("raw", pa.binary())])
+
+
 def _slices(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("mh", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("flags", pa.int32()), ("raw", pa.binary())])
+    """The texts of the stretches asked for; of hot groups, one row for each different window of a batch."""
     for batch in batches:
         out: list[tuple] = []
+        windows: dict[bytes, list[tuple[int, int, int, bool]]] = {}
         for t1, t2, raw, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            out += [(a["mh"], t1, t2, a["start"], a["n"], a["flags"], raw[a["start"] : a["start"] + a["n"] - 1 + length]) for a in asked]
+            for a in asked:
+                start, n, flags = a["start"], a["n"], a["flags"]
+                if not flags & _HOT:
+                    out.append((a["mh"], t1, t2, start, n, flags, raw[start : start + n - 1 + length]))
+                    continue
+                for at in range(start, start + n):
+                    windows.setdefault(xxhash.xxh3_128_digest(raw[at : at + length]), []).append((t1, t2, at, bool(flags & _KNOWN)))
+        for digest, places in windows.items():
+            key = int.from_bytes(digest[:8], "little", signed=True)
+            many = len(places) > 1
+            t1, t2, at, known = places[0]
+            out.append((key, t1, t2, at, 1, _WINDOW | (_KNOWN if known or many else 0), digest))
+            if many:
+                out += [(key, t1, t2, at, 1, _SETTLED, b"") for t1, t2, at, known in places if not known]
         if out:
-            yield record_batch(schema, *zip(*out, strict=True))
+            yield record_batch(_SLICE_ARROW, *zip(*out, strict=True))
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -331,8 +375,16 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
 
 
 def _mark(rows: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
-    out = []
-    for (_, t1, t2, start, _, flags, _), hit in zip(rows, repeated_windows([r[6] for r in rows], length), strict=True):
+    out = [r[1:5] for r in rows if r[5] & _SETTLED]
+    same: dict[bytes, list[tuple]] = {}
+    for r in rows:
+        if r[5] & _WINDOW:
+            same.setdefault(r[6], []).append(r)
+    for equal in same.values():
+        if len(equal) > 1:
+            out += [r[1:5] for r in equal if not r[5] & _KNOWN]
+    texts = [r for r in rows if not r[5] & (_WINDOW | _SETTLED)]
+    for (_, t1, t2, start, _, flags, _), hit in zip(texts, repeated_windows([r[6] for r in texts], length) if texts else [], strict=True):
         if flags & _KNOWN or not hit.any():
             continue
         edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
@@ -392,9 +444,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = materialize(shared.select("mh", "sw", "t1", "t2", "start", "n", "flags").mapInArrow(_meet, _STRETCH), "met")
 
     asked = met.filter(F.col("kind") == _ASKED)
+    hot = asked.groupBy("mh").count().filter(F.col("count") > GROUP).select("mh", F.lit(_HOT).alias("hot"))
+    asked = asked.join(hot, "mh", "left").withColumn("flags", F.col("flags").bitwiseOR(F.coalesce("hot", F.lit(0))))
     of_text = materialize(asked.groupBy("t1", "t2").agg(F.collect_list(F.struct("mh", "start", "n", "flags")).alias("asked")), "asked")
     fetched = texts_of(of_text).join(of_text, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
-    sliced = fetched.select("t1", "t2", "raw", "asked").mapInArrow(partial(_slices, length=length), "mh long, t1 long, t2 long, start int, n int, flags int, raw binary")
+    sliced = fetched.select("t1", "t2", "raw", "asked").mapInArrow(partial(_slices, length=length), _SLICE)
     sorted_ = sliced.repartition("mh").sortWithinPartitions("mh").mapInArrow(partial(_sort_suffixes, length=length), _SPAN)
     whole = cut.filter(F.col("kind") == _WHOLE).unionByName(met.filter(F.col("kind") == _WHOLE)).select("t1", "t2", "start", "n")
 

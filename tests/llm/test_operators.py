@@ -117,6 +117,39 @@ def test_periodic_and_shared_text_is_removed(spark):
         assert out[i].n_removed == gone.sum(), i
 
 
+def test_large_groups_are_dealt_out_by_windows(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(50))
+    texts = [" ".join(word() for _ in range(40)) + passage[rng.randint(0, 60) :] + " ".join(word() for _ in range(40)) for _ in range(12)]
+    rows = lambda: sorted((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(_docs(spark, *texts).repartition(3)).collect())
+    whole = rows()
+    assert sum(r[1] for r in whole) > 0
+    monkeypatch.setattr(suffix_dedup, "GROUP", 2)
+    assert rows() == whole
+
+
+def test_streamed_stretches_are_let_go_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted({(rng.randint(0, 2), rng.randint(0, 4), rng.randint(0, 9), 0, rng.randint(0, 9), 5, 0) for _ in range(120)})
+
+    def run(held, size):
+        monkeypatch.setattr(suffix_dedup, "HELD", held)
+        batches = (pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[j : j + size]], pa.int64()) for i in range(7)], names=list("abcdefg")) for j in range(0, len(rows), size))
+        whole, asked = set(), set()
+        for out in suffix_dedup._meet(batches):
+            for kind, mh, sw, t1, _, start, _, _ in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                (whole if kind == suffix_dedup._WHOLE else asked).add((mh, sw, t1, start) if kind == suffix_dedup._WHOLE else (mh, sw))
+        return whole, asked
+
+    whole, asked = run(10**6, 7)
+    for held, size in ((1, 5), (10, 7), (30, 11)):
+        parts, more = run(held, size)
+        assert parts == whole and asked <= more
+
+
 def test_stretches_hold_every_window_once():
     rng = random.Random(3)
     texts = [bytes(rng.choice(b"ab \n") for _ in range(n)) for n in (200, 350, 900)] + [b"a" * 700]
