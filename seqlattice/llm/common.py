@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -68,10 +71,30 @@ def list_array(values: pa.Array, counts) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
+@cache
+def _allocator():
+    """The C library's call that gives freed memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def released(work):
+    """For a map function over batches: when a task ends, its memory goes back, as the worker lives on beside others."""
+
+    @wraps(work)
+    def mapped(*args, **kwargs):
+        yield from work(*args, **kwargs)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if _allocator() is not None:
+            _allocator()(0)
+
+    return mapped
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, the same in every process; kept up to a number of words, then begun anew."""
 
-    ROOM = 300_000
+    ROOM = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.ROOM:

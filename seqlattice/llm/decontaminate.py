@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, text_bytes
+from .common import record_batch, released, text_bytes
 
 _SEPARATE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WINDOW = 10
@@ -131,6 +131,7 @@ def _runs(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return values[starts].tolist(), starts.tolist(), np.append(starts[1:], len(values)).tolist()
 
 
+@released
 def _search(batches: Iterator[pa.RecordBatch], schema: pa.Schema, block: Broadcast, size: int, last: bool) -> Iterator[pa.RecordBatch]:
     items = Items(block.value, size)
     names = schema.names

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, materialize, record_batch, text_bytes
+from .common import LOWER, materialize, record_batch, released, text_bytes
 
 #: Stands for a null id: smaller than every id in use.
 NO_ID = -(1 << 63)
@@ -45,6 +45,7 @@ def _long_enough(key: bytes, chars: int) -> bool:
     return len(key) >= chars and (key.isascii() or len(key.decode("utf-8", "replace")) >= chars)
 
 
+@released
 def _hash_lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_128_digest
     for batch in batches:
@@ -65,6 +66,7 @@ def _rows(kind: int, part: np.ndarray) -> pa.RecordBatch:
     return record_batch(_SETTLED_ARROW, np.full(part.shape[1], kind, np.int32), part[0], part[1], part[2], part[3], part[4].astype(np.int32))
 
 
+@released
 def _settle(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
     """Stream one range, sorted by hash, document (largest first) and position.
 

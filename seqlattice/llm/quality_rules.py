@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, materialize, record_batch, text_bytes, tokenizer_path
+from .common import WHITE, materialize, record_batch, released, text_bytes, tokenizer_path
 
 SYMBOLS = b"#*$%&|<>"
 MODEL = "piece_bpe_32k.model"
@@ -34,7 +34,7 @@ BAND_WIDTH, BAND_WORDS = 6.0, 100
 #: Least spread of one token in characters; differences between texts of one language, as a share of the median.
 LEAST_SPREAD, DRIFT = 0.5, 0.005
 BYTE_ALLOWANCE, LEAST_ENTROPY_SPREAD = 0.01, 0.015
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 _COUNTS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64())]
 _FIGURES = [("n_tokens", pa.int64()), ("chars_per_token", pa.float64()), ("byte_share", pa.float64()), ("token_entropy", pa.float64()), ("script", pa.string())]
@@ -118,6 +118,7 @@ def fertility(raw: bytes, words: list[bytes], chars: int, pieces: WordPieces, is
     return n, chars / n, float(is_byte[tokens].sum()) / n, entropy / float(np.log2(n)) if n > 1 else 1.0, script_of(raw)
 
 
+@released
 def _measure(batches: Iterator[pa.RecordBatch], schema: pa.Schema, text_at: int, model: str | None) -> Iterator[pa.RecordBatch]:
     pieces = WordPieces(model) if model else None
     is_byte = np.zeros(1 << 16, bool)

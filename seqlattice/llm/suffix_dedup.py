@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_slots, key_filter, materialize, may_hold, mix, record_batch, text_bytes
+from .common import filter_slots, key_filter, materialize, may_hold, mix, record_batch, released, text_bytes
 
 LENGTH, KMER = 200, 48
 #: Windows of a stretch, bytes that are hashed at once, and bytes of a suffix array (a larger group is one array).
@@ -106,6 +106,7 @@ def stretches(texts: list[bytes], length: int = LENGTH, k: int = KMER) -> tuple[
     return doc[run], first - begins[doc[run]], n, least[first], whole, inner.astype(np.int32) * _INNER
 
 
+@released
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The stretches of a task's texts, each text once; of equal stretches one goes on and the others are settled."""
     seen: set[tuple[int, int]] = set()
@@ -206,6 +207,7 @@ def _meet_rows(rows: np.ndarray, many_of: int | None = None) -> Iterator[pa.Reco
             yield _stretch_rows(kind, rows[:, pick], np.where(known[of_sw[pick]], _KNOWN, 0))
 
 
+@released
 def _pick_texts(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
     """Rows (t1, t2, raw) whose text may be wanted, each text once in a task."""
     words, seen = wanted.value, set()
@@ -228,6 +230,7 @@ _SLICE = "mh long, t1 long, t2 long, start int, n int, flags int, raw binary"
 _SLICE_ARROW = pa.schema([("mh", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("flags", pa.int32()), ("raw", pa.binary())])
 
 
+@released
 def _slices(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The texts of the stretches asked for; of hot groups, one row for each different window of a batch."""
     for batch in batches:
@@ -359,6 +362,7 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH) -> list[np.ndarra
 _SPAN_ARROW = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
 
+@released
 def _sort_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Suffix arrays over whole groups of one minimizer, several small groups together."""
     held: list[tuple] = []
@@ -408,6 +412,7 @@ _RESULT = "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, s
 _RESULT_ARROW = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
 
 
+@released
 def _remove(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
