@@ -264,6 +264,24 @@ def test_fuzzy_passages(spark):
     assert rows[0].identity == pytest.approx(78 / 80)
 
 
+def test_passages_of_frequent_lines(spark):
+    """Other documents are the first holders of every line; still each repeated window of 51 words lies in a passage."""
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    lines = [words(22) for _ in range(3)]
+    texts = [words(50) + lines[i % 3] + words(50) for i in range(120)]
+    texts += [words(40) + sum(lines, []) + words(30), words(20) + lines[1] + words(60) + sum(lines, []) + words(10)]
+    holders = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 51 + 1):
+            holders.setdefault(tuple(t[p : p + 51]), []).append((i, p))
+    need = {x for h in holders.values() if len({i for i, _ in h}) > 1 for x in h}
+    rows = substring_dedup.substring_dedup(_docs(spark, *map(" ".join, texts)).repartition(3)).collect()
+    spans = [x for r in rows for x in ((r.doc_id, r.start, r.stop), (r.other_doc_id, r.other_start, r.other_stop))]
+    assert need and all(any(i == d and a <= p and p + 51 <= b for d, a, b in spans) for i, p in need)
+    assert [(r.doc_id, r.other_doc_id, r.start, r.stop, r.other_start, r.other_stop) for r in rows] == [(121, 120, 102, 168, 40, 106)]
+
+
 def test_every_segmentation_is_drawn_once():
     vocab = segmentation.vocabulary(tokenizer_path(segmentation.MODEL))
     found = segmentation.sample([b"of the"], np.array([5], np.uint64), vocab, 100)[0]
