@@ -104,15 +104,30 @@ def dirichlet_ranks(spark: SparkSession, sizes: list[int], draws: int = 2000, se
     return out
 
 
-def permutation_null(rows: DataFrame, key: str, pos: str, symbol: str, draws: int = 20, seed: int = 11) -> DataFrame:
+#: Draws that are one table at a time.
+DRAWS = 20
+
+
+def permutation_null(rows: DataFrame, key: str, pos: str, symbol: str, draws: int = 200, seed: int = 11) -> DataFrame:
     """One row: observed mutual information of adjacent symbols, its null by shuffles, and p = (1 + #>=) / (1 + draws).
 
     A draw shuffles symbols among sequences of one length at one place: each draw is a random order within (length,
-    place), joined with the slots by rank.  All draws are rows of one table, dealt by (draw, length, place).
+    place), joined with the slots by rank.  ``DRAWS`` draws at a time are rows of one table, dealt by (draw, length,
+    place), of which one number a draw comes to the driver.
     """
+    spark = rows.sparkSession
+    blocks = (range(a, min(a + DRAWS, draws + 1)) for a in range(0, draws + 1, DRAWS))
+    mi = spark.createDataFrame([tuple(r) for block in blocks for r in _drawn_information(rows, key, pos, symbol, block, seed).collect()], "draw long, mi double")
+    seen = mi.filter("draw = 0").select(F.col("mi").alias("observed"))
+    null = mi.filter("draw > 0").crossJoin(F.broadcast(seen))
+    return null.groupBy("observed").agg(F.avg("mi").alias("null_mean"), F.stddev_pop("mi").alias("null_sd"), ((1 + F.sum((F.col("mi") >= F.col("observed")).cast("int"))) / (1 + F.count("*"))).alias("p_value"))
+
+
+def _drawn_information(rows: DataFrame, key: str, pos: str, symbol: str, block: range, seed: int) -> DataFrame:
+    """(draw, mi) of some draws; draw 0 leaves the symbols where they are."""
     length = F.count("*").over(Window.partitionBy(key))
     base = rows.select(F.col(key).alias("k"), F.col(pos).alias("pos"), F.col(symbol).alias("sym"), length.alias("len"))
-    drawn = base.crossJoin(F.broadcast(rows.sparkSession.range(draws + 1).withColumnRenamed("id", "draw")))
+    drawn = base.crossJoin(F.broadcast(rows.sparkSession.range(block.start, block.stop).withColumnRenamed("id", "draw")))
     slot = Window.partitionBy("draw", "len", "pos")
     dealt = drawn.select("draw", "k", "len", "pos", "sym", F.row_number().over(slot.orderBy("k")).alias("slot"), F.row_number().over(slot.orderBy(F.xxhash64("k", "pos", "draw", F.lit(seed)), "k")).alias("turn"))
     symbols = dealt.select("draw", "len", "pos", F.when(F.col("draw") == 0, F.col("slot")).otherwise(F.col("turn")).alias("slot"), "sym")
@@ -122,7 +137,4 @@ def permutation_null(rows: DataFrame, key: str, pos: str, symbol: str, draws: in
     x, y, all_ = Window.partitionBy("draw", "prev"), Window.partitionBy("draw", "sym"), Window.partitionBy("draw")
     total = F.sum("n").over(all_)
     part = F.col("n") / total * F.log2(F.col("n") * total / (F.sum("n").over(x) * F.sum("n").over(y)))
-    mi = pairs.select("draw", part.alias("part")).groupBy("draw").agg(F.sum("part").alias("mi"))
-    seen = mi.filter("draw = 0").select(F.col("mi").alias("observed"))
-    null = mi.filter("draw > 0").crossJoin(F.broadcast(seen))
-    return null.groupBy("observed").agg(F.avg("mi").alias("null_mean"), F.stddev_pop("mi").alias("null_sd"), ((1 + F.sum((F.col("mi") >= F.col("observed")).cast("int"))) / (1 + F.count("*"))).alias("p_value"))
+    return pairs.select("draw", part.alias("part")).groupBy("draw").agg(F.sum("part").alias("mi"))

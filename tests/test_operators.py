@@ -138,3 +138,29 @@ def test_difference(spark):
     before = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     after = spark.createDataFrame([(2, "c"), (3, None)], "id int, v string")
     assert {(r.id, r.change) for r in search.difference(before, after, "id", ["v"]).collect()} == {(1, "delete"), (2, "update"), (3, "add")}
+
+
+def test_null_takes_200_draws(spark):
+    rows = spark.createDataFrame([(k, i, "ab"[i % 2]) for k in range(30) for i in range(6)], "k long, pos int, sym string")
+    rows = rows.unionByName(spark.createDataFrame([(k, i, "ba"[i % 2]) for k in range(30, 60) for i in range(6)], "k long, pos int, sym string"))
+    assert distributions.permutation_null(rows, "k", "pos", "sym").first().p_value == 1 / 201
+
+
+def test_similar_pairs_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    forms = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(0, 11))) for _ in range(90)} | {"almond antique", "almond antiq", "olmond ontiqe", "x", "", "xy"})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    need = {(a, b, distance(a, b)) for a in forms for b in forms if a < b and distance(a, b) <= max(1, max(len(a), len(b)) // 4)}
+    got = search.similar_pairs(spark.createDataFrame([(f,) for f in [*forms, None, "x"]], "form string")).collect()
+    assert {tuple(r) for r in got} == need and len(got) == len(need)
