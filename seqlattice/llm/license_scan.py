@@ -2,8 +2,8 @@
 
 A fingerprint is the hash of ``GRAM`` consecutive words; of each ``WINNOW`` consecutive fingerprints of a template the
 least is kept, and all of a template too short for that.  Every fingerprint of a document is looked up, hits are put
-together by template and diagonal, and the template is aligned with that part of the document inside a band.  A match
-is reported with the share of the template's words that are matched and its span of words in the document.
+together by template and diagonal, in clusters of at most ``BAND`` diagonals, and the template is aligned with that part
+of the document inside a band, again behind a match's end as far as the part goes.  A match is reported with the share of the template's words that are matched and its span of words in the document.
 
 The index is broadcast; its size is that of the templates, which are a parameter of at most ``MOST_WORDS`` words.
 
@@ -12,6 +12,7 @@ Defined cases: null and empty texts have no matches; repeated rows are scanned e
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
 
@@ -60,25 +61,32 @@ class Index:
         template, diagonal = self.template[entry], at - self.place[entry]
         order = np.lexsort((at, diagonal, template))
         template, diagonal = template[order], diagonal[order]
-        cut = np.append(True, (template[1:] != template[:-1]) | (diagonal[1:] - diagonal[:-1] > BAND))
-        out = []
-        for t, d in zip(template[cut].tolist(), diagonal[cut].tolist(), strict=True):
-            words = self.words[t]
-            begin = max(0, d - BAND)
-            part = doc[begin : d + len(words) + 2 * BAND]
-            matched, first, last = align(words, part, d - begin)
-            if matched >= LEAST_COVERAGE * len(words):
+        fresh = np.append(True, (template[1:] != template[:-1]) | (diagonal[1:] != diagonal[:-1]))
+        out, held = [], (-1, 0)  # a cluster's template and first diagonal
+        for t, d in zip(template[fresh].tolist(), diagonal[fresh].tolist(), strict=True):
+            if t == held[0] and d - held[1] <= BAND:
+                continue
+            held, words = (t, d), self.words[t]
+            begin, end = max(0, d - BAND), d + len(words) + 2 * BAND
+            while begin < end:
+                matched, first, last = align(words, doc[begin:end], d - begin)
+                if matched < LEAST_COVERAGE * len(words):
+                    break
                 out.append({"license": self.names[t], "coverage": matched / len(words), "n_matched": matched, "start_word": begin + first, "end_word": begin + last + 1})
-        return best_of(out)
+                begin += last + 1
+        return best_of([dict(m) for m in dict.fromkeys(tuple(m.items()) for m in out)])
 
 
 def best_of(found: list[dict]) -> list[dict]:
     """Of matches that overlap, those with more matched words, then more coverage, then by name."""
     kept: list[dict] = []
+    starts: list[int] = []
     for m in sorted(found, key=lambda m: (-m["n_matched"], -m["coverage"], m["license"], m["start_word"])):
-        if all(m["end_word"] <= k["start_word"] or m["start_word"] >= k["end_word"] for k in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: m["start_word"])
+        at = bisect_left(starts, m["start_word"])
+        if (at == 0 or kept[at - 1]["end_word"] <= m["start_word"]) and (at == len(kept) or m["end_word"] <= starts[at]):
+            kept.insert(at, m)
+            starts.insert(at, m["start_word"])
+    return kept
 
 
 def align(template: np.ndarray, part: np.ndarray, diagonal: int, band: int = 2 * BAND) -> tuple[int, int, int]:

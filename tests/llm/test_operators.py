@@ -386,6 +386,19 @@ def test_partial_licence_text(spark):
     assert not found[1] and not found[2]
 
 
+def test_repeated_and_adjoining_notices():
+    from seqlattice.llm.common import WordHashes
+    from seqlattice.llm.licenses import TEMPLATES
+
+    index, hashes = license_scan.Index(TEMPLATES), WordHashes()
+    scan = lambda text: [m["license"] for m in index.scan(hashes.of(decontaminate.words_of(text.encode())))]
+    assert scan("All rights reserved. " * 200) == ["Proprietary"] * 200
+    assert scan("All rights reserved by one of us. " * 50) == ["Proprietary"] * 50
+    assert scan("Licensed under CC BY 4.0\n" * 100) == ["CC-BY short"] * 100
+    row = "Licensed under the Apache License, Version 2.0\nLicensed under the BSD License\nLicensed under the BSD License\nLicensed under the MIT License"
+    assert scan(row) == ["Apache-2.0", "BSD reference", "BSD reference", "MIT reference"]
+
+
 def test_bands_reject_what_a_vocabulary_does_not_fit(spark):
     rng = random.Random(5)
     plain = [" ".join(rng.choice("the house is near a small river and people like to walk there every day".split()) for _ in range(300)) for _ in range(60)]
