@@ -52,6 +52,28 @@ def neighbours(left: DataFrame, right: DataFrame, form: str = "form") -> DataFra
     return pairs.select("x", "y", F.levenshtein("x", "y", 1).alias("distance")).filter("distance >= 0")
 
 
+def similar_pairs(forms: DataFrame, form: str = "form") -> DataFrame:
+    """(x, y, distance) with x < y of distinct forms within ``distance_limit`` of one another.
+
+    The limit m of a pair hangs on its longer form only.  That form is cut into m + 1 pieces, of which m edits leave one
+    whole, at most m places away in the other: an equi-join on longer length, piece and place, and one exact check.
+    """
+    known = forms.select(F.col(form).alias("form")).filter("form is not null").distinct().withColumn("n", F.length("form"))
+    limit = lambda n: F.greatest(F.lit(1), F.floor(n / 4)).cast("int")
+    cut = lambda n, k: F.floor(k * n / (limit(n) + 1)).cast("int")  # noqa: E731  where piece k begins
+    one = known.select(F.col("form").alias("long"), F.col("n").alias("size"), F.explode(F.sequence(F.lit(0), limit(F.col("n")))).alias("k"))
+    begin, end = cut(F.col("size"), F.col("k")), cut(F.col("size"), F.col("k") + 1)
+    one = one.select("long", "size", "k", F.col("long").substr(begin + 1, end - begin).alias("piece"))
+    # longer lengths that a form may meet: size - n <= limit(size), so size <= 4 n / 3 + 1
+    other = known.select(F.col("form").alias("short"), "n", F.explode(F.sequence(F.col("n"), F.floor(F.col("n") * 4 / 3).cast("int") + 1)).alias("size")).filter(F.col("size") - F.col("n") <= limit(F.col("size")))
+    other = other.select("short", "n", "size", F.explode(F.sequence(F.lit(0), limit(F.col("size")))).alias("k"))
+    begin, end = cut(F.col("size"), F.col("k")), cut(F.col("size"), F.col("k") + 1)
+    other = other.select("short", "n", "size", "k", (end - begin).alias("wide"), F.explode(F.sequence(begin - limit(F.col("size")), begin + limit(F.col("size")))).alias("at"))
+    other = other.filter((F.col("at") >= 0) & (F.col("at") + F.col("wide") <= F.col("n"))).select("short", "size", "k", F.col("short").substr(F.col("at") + 1, F.col("wide")).alias("piece")).distinct()
+    pairs = one.join(other, ["size", "k", "piece"]).filter("long <> short").select(F.least("long", "short").alias("x"), F.greatest("long", "short").alias("y")).distinct()
+    return pairs.select("x", "y", F.levenshtein("x", "y").alias("distance")).filter(F.col("distance") <= distance_limit(F.col("x"), F.col("y")))
+
+
 def similar_to(rows: DataFrame, entry: str, queries: list[str]) -> DataFrame:
     """(query, form, distance) of forms within ``distance_limit`` of a few given ones; the scan is cut by length first."""
     spark = rows.sparkSession

@@ -97,6 +97,12 @@ def part_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.neighbours(forms, forms).filter("x < y").select("x", "y", F.col("distance").cast("long").alias("distance"))
 
 
+def part_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names within the limit that grows with their length; ``part_neighbours`` has those one edit apart."""
+    forms = table(spark, sf_dir, "part").select(F.lower("p_name").alias("form"))
+    return search.similar_pairs(forms).select("x", "y", F.col("distance").cast("long").alias("distance"))
+
+
 def word_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words one edit away from a word of the documents."""
     asked = table(spark, sf_dir, "benchmark").select(F.explode(words_of(F.col("text"))).alias("form"))
@@ -152,7 +158,7 @@ def patched_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    geo_closure, geo_redundant_edges, geo_issues, geo_category_stats, geo_child_counts, geo_disjointness, dangling_refs, part_search, part_neighbours, word_neighbours, prefix_covers, customer_changes,
+    geo_closure, geo_redundant_edges, geo_issues, geo_category_stats, geo_child_counts, geo_disjointness, dangling_refs, part_search, part_neighbours, part_similar, word_neighbours, prefix_covers, customer_changes,
     template_similarity, patched_geo,
 )}
 
@@ -186,6 +192,7 @@ ORACLES = {
         + CASE WHEN lower(p_brand) = 'a' OR lower(p_type) = 'a' THEN 80 WHEN contains(lower(p_brand), 'a') OR contains(lower(p_type), 'a') THEN 30 ELSE 0 END AS score FROM part WHERE contains(lower(concat_ws(chr(10), p_name, p_brand, p_type)), 'a'))
       SELECT *, (SELECT count(*) FROM h) AS n_matches FROM (SELECT * FROM h ORDER BY score DESC, p_partkey LIMIT 20 OFFSET 5)""",
     "part_neighbours": "WITH f AS (SELECT DISTINCT lower(p_name) AS form FROM part) SELECT a.form AS x, b.form AS y, levenshtein(a.form, b.form) AS distance FROM f a JOIN f b ON a.form < b.form AND abs(length(a.form) - length(b.form)) <= 1 AND levenshtein(a.form, b.form) <= 1",
+    "part_similar": "WITH f AS (SELECT DISTINCT lower(p_name) AS form FROM part) SELECT a.form AS x, b.form AS y, levenshtein(a.form, b.form) AS distance FROM f a JOIN f b ON a.form < b.form AND levenshtein(a.form, b.form) <= greatest(1, greatest(length(a.form), length(b.form)) // 4)",
     "word_neighbours": """WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM benchmark), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS y FROM documents),
       da AS (SELECT DISTINCT x, k FROM (SELECT x, unnest(list_append(list_transform(range(1, length(x) + 1), lambda i: substr(x, 1, i - 1) || substr(x, i + 1)), x)) AS k FROM a)),
       db AS (SELECT DISTINCT y, k FROM (SELECT y, unnest(list_append(list_transform(range(1, length(y) + 1), lambda i: substr(y, 1, i - 1) || substr(y, i + 1)), y)) AS k FROM b)),
