@@ -293,6 +293,26 @@ def test_every_segmentation_is_drawn_once():
     assert all(a[2] >= b[2] for a, b in zip(found, found[1:], strict=False))
 
 
+def test_long_words_are_cut_where_no_piece_crosses():
+    vocab = segmentation.vocabulary(tokenizer_path(segmentation.MODEL))
+    whole = ("international" * 30).encode()
+    parts = segmentation.words_of(whole, vocab)
+    assert b"".join(parts) == b" " + whole
+    places = np.cumsum([len(p) for p in parts])[:-1].tolist()
+    for text, cuts in ((b" " + whole, places), (b" " + "\ue000".encode() * 200, None)):
+        if cuts is None:
+            parts = segmentation.words_of(text[1:], vocab)
+            cuts = np.cumsum([len(p) for p in parts])[:-1].tolist()
+            assert cuts and b"".join(parts) == text
+        for p in set(vocab.pieces):
+            at = text.find(p) if len(p) > 1 else -1
+            while at >= 0:
+                assert not any(at < c < at + len(p) for c in cuts)
+                at = text.find(p, at + 1)
+    long = segmentation.sample([b"the" * 30000], np.array([1], np.uint64), vocab, 2)[0]
+    assert len(long) == 2 and all(vocab.decode(f[0]) == b"the" * 30000 for f in long)
+
+
 def test_draws_follow_their_probabilities():
     vocab = segmentation.vocabulary(tokenizer_path(segmentation.MODEL))
     every = {tuple(f[0].tolist()): np.exp(f[1]) for f in segmentation.sample([b"the"], np.array([1], np.uint64), vocab, 50)[0]}
