@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; one of our own only where it names none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the session names none, a folder of this machine will do for a local master; on a cluster each executor would
+    write to a disk of its own, so that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir names no folder that the executors of {master!r} share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
