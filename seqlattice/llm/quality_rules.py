@@ -9,9 +9,12 @@ around the median of all documents of a language and script that pass the base r
 - byte-fallback share: the same with the spread of a share, and ``BYTE_ALLOWANCE``;
 - token entropy: ``width`` robust deviations around the median of texts with as many tokens, by powers of two.
 
-Documents of fewer than ``BAND_WORDS`` words have no steady figures and stand on the base rules alone.
+Every document that passes the base rules is judged, however short: its bands are as wide as its number of tokens asks
+for.  Medians are those of counted bins (``_median``), so they don't depend on how rows are dealt to tasks.
 
 Defined cases: a null or empty text has no words and fails the base rules.  A null language is a class of its own.
+Repeated rows are measured and count each by itself.  An empty table gives no rows.  Only the id, text and language
+columns are read, so other columns can't clash.  A text of any length is measured whole, in one task.
 """
 
 from __future__ import annotations
@@ -22,15 +25,15 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, materialize, record_batch, released, text_bytes, tokenizer_path
+from .common import WHITE, materialize, record_batch, released, text_bytes, text_key, tokenizer_path
 
 SYMBOLS = b"#*$%&|<>"
 MODEL = "piece_bpe_32k.model"
-BAND_WIDTH, BAND_WORDS = 6.0, 100
+BAND_WIDTH = 6.0
 #: Least spread of one token in characters; differences between texts of one language, as a share of the median.
 LEAST_SPREAD, DRIFT = 0.5, 0.005
 BYTE_ALLOWANCE, LEAST_ENTROPY_SPREAD = 0.01, 0.015
@@ -136,14 +139,14 @@ def _measure(batches: Iterator[pa.RecordBatch], schema: pa.Schema, text_at: int,
 
 
 def _spark_type(kind: pa.DataType) -> T.DataType:
-    return {pa.int64(): T.LongType(), pa.float64(): T.DoubleType(), pa.string(): T.StringType()}[kind]
+    return {pa.int64(): T.LongType(), pa.float64(): T.DoubleType(), pa.string(): T.StringType(), pa.binary(): T.BinaryType()}[kind]
 
 
 def measure(docs: DataFrame, keep: dict[str, Column], text_col: str = "text", model_dir: str | None = None, fertile: bool = True) -> DataFrame:
-    """The base counts and fertility figures of each row, beside the columns ``keep`` (long or string)."""
+    """The base counts and fertility figures of each row, beside the columns ``keep`` (long, string or binary)."""
     picked = docs.select(*(c.alias(k) for k, c in keep.items()), text_bytes(F.col(text_col)).alias("__raw"))
     new = _COUNTS + (_FIGURES if fertile else [])
-    kinds = {"string": pa.string(), "bigint": pa.int64()}
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(k, kinds[t]) for k, t in picked.dtypes if k != "__raw"] + new)
     spark_schema = T.StructType([T.StructField(f.name, _spark_type(f.type)) for f in schema])
     model = tokenizer_path(MODEL, model_dir) if fertile else None
@@ -157,8 +160,20 @@ def base_failed() -> Column:
 _CLASS, _SIZED = ["lang", "script"], ["lang", "script", "size_class"]
 
 
-def _median(column: Column | str) -> Column:
-    return F.percentile_approx(column, F.lit(0.5), F.lit(10_000))
+#: Bins of a median for each factor e of 1 + value.
+BINS = 2_000
+
+
+def _median(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """The median of a column of numbers from 0 on, by class: the bin that the middle row falls into.
+
+    Bins are of equal width in log(1 + value), so there are at most some 20,000 of a class at any size of input.
+    """
+    bins = rows.select(*keys, F.round(F.log1p(value) * BINS).cast("long").alias("bin")).filter("bin IS NOT NULL").groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    of_class = Window.partitionBy(*keys)
+    below = F.sum("n").over(of_class.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    middle = bins.withColumns({"below": below, "total": F.sum("n").over(of_class)}).filter(2 * F.col("below") >= F.col("total"))
+    return middle.groupBy(*keys).agg(F.expm1(F.min("bin") / BINS).alias(name))
 
 
 def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,29 +185,30 @@ def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(named, met, "left").drop(*(f"__{k}" for k in keys))
 
 
-def judge(measured: DataFrame, width: float = BAND_WIDTH, min_words: int = BAND_WORDS) -> DataFrame:
-    """``measured`` with base_failed, in_band and kept; the bands come from all of its documents."""
+def judge(measured: DataFrame, width: float = BAND_WIDTH) -> DataFrame:
+    """``measured`` with base_failed, in_band and kept; the bands come from all of its documents that pass the base rules."""
     rows = measured.withColumns({"base_failed": base_failed(), "size_class": F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))).cast("int")})
-    steady = rows.filter(~F.col("base_failed") & (F.col("n_words") >= min_words))
-    middle = steady.groupBy(*_CLASS).agg(_median("chars_per_token").alias("mid_chars"), _median("byte_share").alias("mid_bytes"))
-    typical = steady.groupBy(*_SIZED).agg(_median("token_entropy").alias("mid_entropy"))
+    steady = rows.filter(~F.col("base_failed"))
+    middle = _with(_median(steady, _CLASS, F.col("chars_per_token"), "mid_chars"), _median(steady, _CLASS, F.col("byte_share"), "mid_bytes"), _CLASS)
+    typical = _median(steady, _SIZED, F.col("token_entropy"), "mid_entropy")
     away = _with(_with(steady, middle, _CLASS), typical, _SIZED)
     root = F.sqrt(F.col("n_tokens").cast("double"))
-    spread = away.groupBy(*_CLASS).agg(F.greatest(F.lit(LEAST_SPREAD), 1.4826 * _median(F.abs(F.col("chars_per_token") - F.col("mid_chars")) * root)).alias("spread_chars"))
-    entropy = away.groupBy(*_SIZED).agg(F.greatest(F.lit(LEAST_ENTROPY_SPREAD), 1.4826 * _median(F.abs(F.col("token_entropy") - F.col("mid_entropy")))).alias("spread_entropy"))
-    met = _with(_with(_with(_with(rows, middle, _CLASS), spread, _CLASS), typical, _SIZED), entropy, _SIZED)
+    spread = _median(away, _CLASS, F.abs(F.col("chars_per_token") - F.col("mid_chars")) * root, "away_chars")
+    entropy = _median(away, _SIZED, F.abs(F.col("token_entropy") - F.col("mid_entropy")), "away_entropy")
+    met = _with(_with(rows, _with(middle, spread, _CLASS), _CLASS), _with(typical, entropy, _SIZED), _SIZED)
 
-    error = F.sqrt((F.col("spread_chars") / root) ** 2 + (DRIFT * F.col("mid_chars")) ** 2)
+    of_token = F.greatest(F.lit(LEAST_SPREAD), 1.4826 * F.col("away_chars"))
+    error = F.sqrt((of_token / root) ** 2 + (DRIFT * F.col("mid_chars")) ** 2)
     chars = F.abs(F.col("chars_per_token") - F.col("mid_chars")) <= width * error
     share = F.sqrt(F.col("mid_bytes") * (1 - F.col("mid_bytes"))) / root
     bytes_ = F.col("byte_share") - F.col("mid_bytes") <= width * (share + BYTE_ALLOWANCE)
-    entropies = F.abs(F.col("token_entropy") - F.col("mid_entropy")) <= width * F.col("spread_entropy")
-    in_band = F.coalesce(chars & bytes_ & entropies, F.lit(True)) | (F.col("n_words") < min_words)
+    entropies = F.abs(F.col("token_entropy") - F.col("mid_entropy")) <= width * F.greatest(F.lit(LEAST_ENTROPY_SPREAD), 1.4826 * F.col("away_entropy"))
+    in_band = F.coalesce(chars & bytes_ & entropies, F.lit(False))
     return met.select(*rows.columns, in_band.alias("in_band")).withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model_dir: str | None = None, width: float = BAND_WIDTH) -> DataFrame:
     """Counts, figures and verdict of every document.  ``tx`` beside the id names the text, should an id come twice."""
-    keep = {"doc_id": F.col(id_col).cast("long"), "tx": F.xxhash64(F.col(text_col)), "lang": F.col(lang_col).cast("string")}
+    keep = {"doc_id": F.col(id_col).cast("long"), "tx": text_key(F.col(text_col)), "lang": F.col(lang_col).cast("string")}
     measured = materialize(measure(docs, keep, text_col, model_dir), "fertility")
     return judge(measured, width)
