@@ -11,7 +11,9 @@ Classes of one center that are then in different components are gone through onc
 center and in bounded blocks, so that no link is lost to the choice of the center.
 
 Defined cases: null and empty texts have the empty set and are linked with nothing; a text of fewer words than a
-shingle is one shingle.  Rows that repeat wholly are of one class.  A null id never is the smallest of a component.
+shingle is one shingle.  Rows that repeat wholly are of one class.  A null id never is the smallest of a component.  An
+empty table gives no rows.  Only the id and text columns are read, so other columns can't clash.  A text of any length is
+one set, whole in one task.  Sets are compared by the 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -29,22 +31,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WordHashes, components, filter_slots, key_filter, list_array, materialize, may_hold, mix, record_batch, released, text_bytes, window_hashes
+from .common import LOWER, WordHashes, components, filter_slots, key_filter, list_array, materialize, may_hold, mix, record_batch, released, text_bytes, text_key, window_hashes
 
 SHINGLE, PERCENT = 5, 85
 GROUPS, DEPTH = 14, 3
 #: Classes of a block, where a group is gone through; a larger group is dealt out as pairs of blocks.
 BLOCK = 4_000
-#: Bytes of a shingle's hash in a written set.
-WIDTH = 6
 
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(1, 1 << 63, GROUPS * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(1, 1 << 63, GROUPS * DEPTH, np.uint64)
 _PAIRS = np.array(list(combinations(range(GROUPS), 2)), np.int64)
 
-_SIGNED = "doc_id long, rep long, set_key binary, n_shingles long, halves array<long>"
-_SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("rep", pa.int64()), ("set_key", pa.binary()), ("n_shingles", pa.int64()), ("halves", pa.list_(pa.int64()))])
+_SIGNED = "doc_id long, rep binary, set_key binary, n_shingles long, halves array<long>"
+_SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("rep", pa.binary()), ("set_key", pa.binary()), ("n_shingles", pa.int64()), ("halves", pa.list_(pa.int64()))])
 
 
 def shingles(raw: bytes, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -61,7 +61,7 @@ def half_keys(found: np.ndarray) -> np.ndarray:
     out = np.empty(GROUPS * DEPTH, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(len(out)):
-            out[i] = (mix(found * _MULTIPLY[i] + _ADD[i]) if len(found) < 64 else found * _MULTIPLY[i] + _ADD[i]).min()
+            out[i] = (found * _MULTIPLY[i] + _ADD[i]).min()
         return mix((mix(out).reshape(GROUPS, DEPTH) * np.arange(3, 3 + 2 * DEPTH, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64))
 
 
@@ -134,14 +134,12 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, wanted: Broadcast) -> It
         for raw in some.column(1).to_pylist():
             found = shingles(raw, hashes, size)
             keys.append(xxhash.xxh3_128_digest(found.tobytes()))
-            packed.append(np.ascontiguousarray(found.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :]).tobytes())
+            packed.append(found.astype("<u8").tobytes())
         yield record_batch(schema, keys, packed)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) // WIDTH, 8), np.uint8)
-    wide[:, 8 - WIDTH :] = np.frombuffer(packed, np.uint8).reshape(-1, WIDTH)
-    return wide.view("<u8").ravel()
+    return np.frombuffer(packed, "<u8")
 
 
 def _across(group: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -193,14 +191,22 @@ def _common(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="int64")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart: the text's 16 bytes and its id."""
+    return F.concat(text_key(F.col(text_col)), F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+
+
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id, rep (a hash of id and text), set_key, n_shingles and the collections' values of each row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rep"), text_bytes(F.col(text_col)).alias("raw"))
+    """doc_id, rep (``row_key``), set_key, n_shingles and the collections' values of each row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("rep"), text_bytes(F.col(text_col)).alias("raw"))
     return rows.mapInArrow(partial(_sign, size=size), _SIGNED)
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, rep, n_shingles and component_id of every row; links are those of ``percent`` % Jaccard similarity or more."""
+    """doc_id, rep, n_shingles, component_id and root of every row; links are those of ``percent`` % Jaccard similarity or more.
+
+    ``root`` is one number for each component, null where the set is empty; ``rep`` tells rows of one id apart.
+    """
     spark = docs.sparkSession
     rows = materialize(signed(docs, id_col, text_col, size), "signatures")
     grouped = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_min"), F.min("rep").alias("rep"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"))
@@ -220,7 +226,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     involved = materialize(degree.select(F.col("member").alias("cid")).join(classes.select("cid", "rep", "set_key", "n"), "cid"), "involved")
     wanted = spark.sparkContext.broadcast(key_filter(involved, "rep"))
-    rep = F.xxhash64(F.col(id_col), F.col(text_col))
+    rep = row_key(id_col, text_col)
     read = docs.select(rep.alias("rep"), text_bytes(F.col(text_col)).alias("raw"), filter_slots(rep).alias("slots")).mapInArrow(partial(_sets, size=size, wanted=wanted), "set_key binary, shingles binary")
     sets = materialize(read.join(involved, "set_key").dropDuplicates(["cid"]).select("cid", "n", "shingles"), "sets")
 
@@ -259,5 +265,5 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     found = classes.join(labels.select(F.col("id").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = found.groupBy("root").agg(F.min("doc_min").alias("component_id"))
-    of_class = found.join(lowest, "root").select("set_key", "component_id")
-    return rows.select("doc_id", "rep", "set_key", "n_shingles").join(of_class, "set_key", "left").select("doc_id", "rep", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = found.join(lowest, "root").select("set_key", "component_id", "root")
+    return rows.select("doc_id", "rep", "set_key", "n_shingles").join(of_class, "set_key", "left").select("doc_id", "rep", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
