@@ -11,21 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlattice.llm import decontaminate, line_dedup, minhash, quality_rules, segmentation
-from seqlattice.llm.common import materialize, table
+from seqlattice.llm.common import materialize, table, text_key
 
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie outside their language's bands go."""
+    """Documents that fail the base rules or lie outside their language's bands go: so do null and empty texts.
+
+    Repeated rows go or stay together.
+    """
     judged = quality_rules.quality_rules(docs)
-    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("tx").alias("__tx")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__tx"))
-    return docs.join(gone, same, "left_anti")
+    gone = judged.filter(~F.col("kept")).select("doc_id", "tx").distinct().alias("gone")
+    rows = docs.alias("rows")
+    same = F.col("rows.doc_id").cast("long").eqNullSafe(F.col("gone.doc_id")) & (text_key(F.col("rows.text")) == F.col("gone.tx"))
+    return rows.join(gone, same, "left_anti")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of three or more documents stay in one; ``text`` and ``n_chars`` are those of the kept lines."""
+    """Lines of three or more documents stay in one; ``text`` and ``n_chars`` are those of the kept lines.
+
+    A null text stays null; a text that loses all of its lines is empty.
+    """
     kept = line_dedup.apply_bitmaps(docs, line_dedup.line_dedup(docs))
     text = F.when(F.col("text").isNotNull(), F.col("__lines.text"))
     new = {"text": text, "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "bigint"))}
@@ -33,11 +40,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id stays, once."""
+    """Of each group of near duplicates one row stays: of the smallest id, and among texts of that id the first by hash.
+
+    Rows of null or empty text are in no group; of those that repeat wholly one stays.
+    """
     linked = minhash.minhash_dedup(docs)
-    kept = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("rep").alias("__rep")).distinct()
-    rows = docs.withColumn("__rep", F.xxhash64("doc_id", "text"))
-    return rows.join(kept, "__rep", "left_semi").dropDuplicates(["__rep"]).select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rep")).alias("first")
+    grouped = linked.filter("root IS NOT NULL").groupBy("root").agg(first).select(F.col("first.rep").alias("rep"))
+    kept = grouped.unionByName(linked.filter("root IS NULL").select("rep")).withColumnRenamed("rep", "__kept_row")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), minhash.row_key().alias("__kept_row"))
+    return rows.join(kept, "__kept_row", "left_semi").dropDuplicates(["__kept_row"]).select("row.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
