@@ -10,15 +10,17 @@ and once with all names of elements and classes hidden, so that text and place w
 Text: character references are decoded, runs of ``[\\x20\\x09-\\x0D]`` inside a block become one space, ends are
 trimmed, and blocks are joined by one space.
 
-Defined cases: a null or empty page has no text.  Elements deeper than ``DEEPEST`` count as children of that level.
-Unclosed and misnested elements are closed as browsers do for paragraphs, list items and table cells, else at the end
-of an element around them.
+Defined cases: a null or empty page has no text; repeated rows are read each by itself; an empty table gives no rows, and
+one without labelled pages is read with the priors.  Only the id, url and html columns are read, so other columns can't
+clash.  A page of any length is read whole, in one pass.  Text deeper than ``DEEPEST`` elements is that level's.  Unclosed and misnested elements are closed as browsers do for paragraphs, list items and table cells, else at the
+end of an element around them.  A probability of one half is no content.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -33,10 +35,12 @@ from .common import record_batch
 TRAINING_PAGES, TRAINING_STEPS = 300, 60
 #: Pages longer than this aren't used for training.
 TRAINING_BYTES = 65_536
-DEEPEST = 256
+DEEPEST = 512
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A tag up to its end; quotes count after an equals sign and where they are closed.  Nothing is ever tried twice.
+_TAG = re.compile(r"""</?+[a-zA-Z](?:[^>=]++|=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+_TAG_NAME = re.compile(r"</?+([a-zA-Z][^ \t\n\f\r/>]*+)")
+_ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,40 +82,62 @@ class Page:
 
 
 def parse(page: str) -> Page:
+    """The elements and the text of a page, in one pass.
+
+    A quote that is never closed ends with its tag; a tag that is never closed ends the page.
+    """
     parent, depth, tags, names = [0], [0], [""], [""]
     pieces: list[tuple[int, str]] = []
     stack = [0]
-    at, end = 0, len(page)
-
-    def text(a: int, b: int) -> None:
-        if a < b:
-            pieces.append((stack[-1], page[a:b]))
+    opened: Counter[str] = Counter()
+    beyond: Counter[str] = Counter()  # tags open below DEEPEST
+    strict = True  # until a tag has no end outside quotes
+    at = text_from = 0
 
     def close(tag: str, bounds: tuple[str, ...] = ()) -> None:
+        if beyond[tag]:
+            beyond[tag] -= 1
+            return
+        if not opened[tag]:
+            return
         for i in range(len(stack) - 1, 0, -1):
             if tags[stack[i]] == tag:
+                opened.subtract(tags[x] for x in stack[i:])
                 del stack[i:]
                 return
             if tags[stack[i]] in bounds:
                 return
 
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text(at, end)
-            break
-        text(at, m.start())
-        at = m.end()
-        if m[2] is None:
+    def text(to: int) -> None:
+        if text_from < to:
+            pieces.append((stack[-1], page[text_from:to]))
+
+    while (at := page.find("<", at)) >= 0:
+        following = page[at + 1 : at + 2]
+        if following in ("!", "?"):
+            text(at)
+            end = page.find("-->", at + 4) + 3 if page.startswith("<!--", at) else page.find(">", at) + 1
+            at = text_from = end if end >= 3 else len(page)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag not in _INLINE:
-                pieces.append((-1, ""))
-            close(tag)
+        named = _TAG_NAME.match(page, at)
+        if named is None:
+            at += 1
             continue
+        text(at)
+        m = _TAG.match(page, at) if strict else None
+        end = m.end() if m else page.find(">", named.end()) + 1
+        strict = m is not None
+        if not end:
+            text_from = len(page)
+            break
+        tag, attributes = named[1].lower(), page[named.end() : end - 1]
+        ending = following == "/"
+        at = text_from = end
         if tag not in _INLINE:
             pieces.append((-1, ""))
+        if ending:
+            close(tag)
+            continue
         if tag in _VOID:
             continue
         if tag in _ENDS_P:
@@ -119,21 +145,24 @@ def parse(page: str) -> Page:
         if tag in _CLOSES:
             for old in _CLOSES[tag][0]:
                 close(old, _CLOSES[tag][1])
+        if len(stack) >= DEEPEST and tag not in _RAW:
+            beyond[tag] += not attributes.endswith("/")
+            continue
         new = len(parent)
         above = stack[-1]
         parent.append(above)
         depth.append(depth[above] + 1)
         tags.append(tag)
-        attributes = m[3]
-        names.append(" ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(attributes)).lower() if attributes else "")
+        names.append(" ".join(x or y or z for x, y, z in _ATTRIBUTE.findall(attributes)).lower() if attributes else "")
         if tag in _RAW:
-            closing = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
-            at = closing.end() if closing else end
+            closing = re.compile(f"</{re.escape(tag)}[^>]*+>", re.I).search(page, at)
+            at = text_from = closing.end() if closing else len(page)
+        elif attributes.endswith("/") and tag not in _INLINE and tag not in _ENDS_P:
             continue
-        if attributes.endswith("/") and tag not in _INLINE and tag not in _ENDS_P:
-            continue
-        if len(stack) < DEEPEST:
+        else:
             stack.append(new)
+            opened[tag] += 1
+    text(len(page))
     return Page(parent, depth, tags, names, pieces)
 
 
@@ -171,11 +200,25 @@ class Forest:
                     words = set(_NAME.findall(name))
                     x[i, _AT["for"]] = not words.isdisjoint(FOR_WORDS)
                     x[i, _AT["against"]] = not words.isdisjoint(AGAINST_WORDS)
+        own = chars > 0
+        children = np.bincount(self.parent, minlength=n)
+        children[self.roots] -= 1
         for level in reversed(self.levels):
             for values in (chars, links, ends):
                 np.add.at(values, self.parent[level], values[level])
         for level in self.levels:
             skip[level] |= skip[self.parent[level]]
+        # a wrapper of one element, without text or names, says nothing: its child hangs on what it hangs on
+        wrapper = (x[:, _AT["other"]] > 0) & ~own & (children == 1) & (x[:, [_AT["for"], _AT["against"]]] == 0).all(axis=1)
+        wrapper[self.roots] = False
+        level_of = np.zeros(n, np.int64)
+        for level in self.levels:
+            above = self.parent[level]
+            self.parent[level] = np.where(wrapper[above], self.parent[above], above)
+            level_of[level] = level_of[self.parent[level]] + 1
+        level_of[wrapper] = 0
+        order = np.argsort(level_of, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(level_of[order])) + 1)[1:]
         x[:, _AT["bias"]] = 1
         x[:, _AT["text"]] = np.log1p(chars) / 5
         x[:, _AT["links"]] = links / np.maximum(chars, 1)
@@ -277,11 +320,16 @@ def _extract(batches: Iterator[pa.RecordBatch], weights: np.ndarray, pair: np.nd
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", size: int = TRAINING_PAGES) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on ``size`` pages whose markup names an article, in the order of a hash of their id and text."""
+    """Fit on ``size`` pages whose markup names an article, in the order of a hash of their id and text.
+
+    The ``size`` least hashes are looked for first, so that no more pages than these leave the executors.
+    """
     source = F.col(html_col)
     labelled = pages.filter(F.lower(source).contains("<article") & (F.octet_length(source) <= TRAINING_BYTES))
-    rows = labelled.select(F.xxhash64(F.col(id_col), source).alias("h"), source.alias("page")).orderBy("h").limit(size).collect()
-    return fit([parse(r.page) for r in rows])
+    hashed = labelled.select(F.xxhash64(F.col(id_col), source).alias("h"), source.alias("page"))
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(size).collect()]
+    rows = hashed.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.min("page").alias("page")).collect() if least else []
+    return fit([parse(r.page) for r in sorted(rows)])
 
 
 def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

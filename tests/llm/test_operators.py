@@ -458,6 +458,29 @@ def test_pages(weights, name):
     assert html_extract.text_of(page, content) == PAGES[name][1]
 
 
+def _main_text(page, weights):
+    parsed = html_extract.parse(page)
+    return html_extract.text_of(parsed, html_extract.Forest([parsed]).marginals(*weights)[0] > 0.5)
+
+
+def test_broken_quotes_and_deep_nesting(weights):
+    page = '<article><p>One.</p><p>Two. </p><p title="x>Broken quote here. It goes on.</p><p>After all. Yes.</p></article>'
+    assert _main_text(page, weights) == "One. Two. Broken quote here. It goes on. After all. Yes."
+    assert _main_text('<article><p title="a>b">One. Two.</p></article>', weights) == "One. Two."
+    for depth in (100, 300, 3000):
+        page = "<article>" + "<div>" * depth + "<p>Deep text here. It is.</p>" + "</div>" * depth + "<p>Next one. Yes.</p></article><footer>end</footer>"
+        assert _main_text(page, weights) == "Deep text here. It is. Next one. Yes."
+
+
+@pytest.mark.parametrize("part", ["<a '", "<a =", '<a ="', '="><a "', "<", "<div>", "</p>", "<!--", "<script>", "<li>", "class= ", "&amp"])
+def test_bad_pages_take_linear_time(part):
+    import time
+
+    begin = time.perf_counter()
+    html_extract.parse("<a " + part * (1_000_000 // len(part)))
+    assert time.perf_counter() - begin < 5
+
+
 def test_marginals_equal_enumeration(weights):
     import itertools
 
@@ -475,8 +498,9 @@ def test_marginals_equal_enumeration(weights):
 
 
 def test_pages_with_nulls(spark):
-    rows = spark.createDataFrame([(1, None, "<article><p>Text.</p></article>"), (2, "u", None), (None, "v", "")], "page_id long, url string, html string")
-    assert sorted((r.text, r.n_chars) for r in html_extract.html_extract(rows).collect()) == [("", 0), ("", 0), ("Text.", 5)]
+    rows = [(1, None, "<article><p>Text.</p></article>", "x"), (1, None, "<article><p>Text.</p></article>", "x"), (2, "u", None, None), (None, "v", "", "y"), (3, "w", "<article><p>" + "Long. " * 50_000 + "</p></article>", "z")]
+    rows = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    assert sorted((r.text[:5], r.n_chars) for r in html_extract.html_extract(rows).collect()) == [("", 0), ("", 0), ("Long.", 299_999), ("Text.", 5), ("Text.", 5)]
     assert html_extract.html_extract(rows.limit(0)).count() == 0
 
 
