@@ -245,12 +245,14 @@ def test_components(spark):
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
-def test_decontamination_in_blocks(spark):
+def test_decontamination_in_blocks(spark, monkeypatch):
     docs = _docs(spark, "the quick brown fox jumps over the lazy dog and then it sleeps", "short item here", "nothing to see")
     items = spark.createDataFrame([(1, "The QUICK brown fox, jumps over the lazy dog and"), (2, "short item"), (3, "absent words only")], "item_id long, text string")
     one = decontaminate.decontaminate(docs, items)
     many = decontaminate.decontaminate(docs, items, block_words=1)
-    for out in (one, many):
+    monkeypatch.setattr(decontaminate, "STEP_BLOCKS", 2)
+    steps = decontaminate.decontaminate(docs, items, block_words=1)
+    for out in (one, many, steps):
         rows = {r.doc_id: r for r in out.collect()}
         assert [rows[i]["__n_hit"] for i in range(3)] == [10, 2, 0]
         assert {m.item_id for m in rows[0]["__matches"]} == {"1"} and rows[1]["__matches"][0].doc_start == 0
@@ -265,6 +267,44 @@ def test_longest_matches_are_whole():
     assert found == [{"item_id": "a", "item_start": 5, "doc_start": 1, "n_words": 25}]
 
 
+def test_suffix_search_equals_plain_windows():
+    rng = random.Random(17)
+    for size in (1, 3, 10):
+        words = [f"w{i}" for i in range(4)]
+        items = [(str(i), [rng.choice(words) for _ in range(rng.choice([1, 2, 5, 12, 40]))]) for i in range(12)]
+        texts = [[rng.choice([*words, "other"]) for _ in range(rng.randint(0, 120))] for _ in range(15)]
+        got = decontaminate.Items([(i, " ".join(ws).encode()) for i, ws in items], size).search([[w.encode() for w in t] for t in texts])
+        for t, (hits, found) in zip(texts, got, strict=True):
+            expected, names = set(), set()
+            for i, ws in items:
+                n = min(size, len(ws))
+                windows = {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)}
+                at = [p for p in range(len(t) - n + 1) if tuple(t[p : p + n]) in windows]
+                expected |= {p + k for p in at for k in range(n)}
+                names |= {i} if at else set()
+            assert set(hits.tolist()) == expected and {m["item_id"] for m in found} == names
+            of = dict(items)
+            for m in found:
+                a, b, n = m["item_start"], m["doc_start"], m["n_words"]
+                assert of[m["item_id"]][a : a + n] == t[b : b + n]
+                before, after = (of[m["item_id"]][a - 1], t[b - 1]) if a and b else (0, 1), (of[m["item_id"]][a + n : a + n + 1], t[b + n : b + n + 1])
+                if len(of[m["item_id"]]) >= size:
+                    assert before[0] != before[1] and (after[0] != after[1] or not after[0])
+
+
+def test_a_long_item_takes_little_memory():
+    import tracemalloc
+
+    rng = random.Random(18)
+    item = " ".join(f"w{rng.randint(0, 10**5)}" for _ in range(20_000)).encode()
+    tracemalloc.start()
+    items = decontaminate.Items([("a", item)])
+    hits, found = items.search([item.split()[100:15_000]])[0]
+    assert len(hits) == 14_900 and [(m["item_start"], m["n_words"]) for m in found] == [(100, 14_900)]
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+
+
 def test_chains_are_best_by_plain_recurrence():
     rng = random.Random(6)
     for _ in range(80):
