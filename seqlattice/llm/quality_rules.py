@@ -186,16 +186,20 @@ def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def judge(measured: DataFrame, width: float = BAND_WIDTH) -> DataFrame:
-    """``measured`` with base_failed, in_band and kept; the bands come from all of its documents that pass the base rules."""
+    """``measured`` with base_failed, in_band and kept; the bands come from all of its documents that pass the base rules.
+
+    The tables of classes are written before they are joined, so that the planner knows how small they are.
+    """
     rows = measured.withColumns({"base_failed": base_failed(), "size_class": F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))).cast("int")})
     steady = rows.filter(~F.col("base_failed"))
-    middle = _with(_median(steady, _CLASS, F.col("chars_per_token"), "mid_chars"), _median(steady, _CLASS, F.col("byte_share"), "mid_bytes"), _CLASS)
-    typical = _median(steady, _SIZED, F.col("token_entropy"), "mid_entropy")
+    middle = materialize(_with(_median(steady, _CLASS, F.col("chars_per_token"), "mid_chars"), _median(steady, _CLASS, F.col("byte_share"), "mid_bytes"), _CLASS), "middle")
+    typical = materialize(_median(steady, _SIZED, F.col("token_entropy"), "mid_entropy"), "typical")
     away = _with(_with(steady, middle, _CLASS), typical, _SIZED)
     root = F.sqrt(F.col("n_tokens").cast("double"))
     spread = _median(away, _CLASS, F.abs(F.col("chars_per_token") - F.col("mid_chars")) * root, "away_chars")
     entropy = _median(away, _SIZED, F.abs(F.col("token_entropy") - F.col("mid_entropy")), "away_entropy")
-    met = _with(_with(rows, _with(middle, spread, _CLASS), _CLASS), _with(typical, entropy, _SIZED), _SIZED)
+    bands = materialize(_with(middle, spread, _CLASS), "bands"), materialize(_with(typical, entropy, _SIZED), "entropies")
+    met = _with(_with(rows, bands[0], _CLASS), bands[1], _SIZED)
 
     of_token = F.greatest(F.lit(LEAST_SPREAD), 1.4826 * F.col("away_chars"))
     error = F.sqrt((of_token / root) ** 2 + (DRIFT * F.col("mid_chars")) ** 2)
