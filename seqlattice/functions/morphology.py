@@ -1,116 +1,109 @@
-"""Joining forms: vowel join, consonant join, spelling rules, and speech."""
+"""Joining forms, spelling rules and speech, as Column expressions.
+
+Where two forms meet, their runs of vowels (or of consonants) become one run:
+
+- vowels: from the seam leftwards a vowel and the one behind it merge, as long as they are no nucleus in either order; a
+  merged vowel is y if one of the two is rounded, else i.  What is left before a nucleus is led by its first vowel and
+  the glide j; a single vowel before it keeps only the nucleus's first.
+- consonants: each consonant of the left run but the last opens a syllable of its own with a; the last one does too if
+  more than one consonant follows, else both become the onset, affricates without their stop.
+- where neither form has such a run at the seam, a or n stands between them.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .inventory import FUSION, NUCLEUS_PAIRS, PHONEMES, SPELLING, split
+from .inventory import CODE, CONSONANTS, DIGRAPHS, FUSION, NUCLEUS_PAIRS, PHONEMES, SPELLING, VOWELS, encoded, split, tokens
+
+# Affricates and what is left of them in an onset; what stands between forms that have nothing to join.
+OPENED = {"ts": "s", "tc": "c"}
+LINK_VOWEL, LINK_CONSONANT, GLIDE, EPENTHETIC = "a", "n", "j", "a"
+MERGED, MERGED_ROUND = "i", "y"
+
+
+def _lookup(values: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+
+
+def _decoded(code: Column) -> Column:
+    """A word of one character a sound as it is spelled."""
+    for p in DIGRAPHS:
+        code = F.replace(code, F.lit(CODE[p]), F.lit(p))
+    return code
+
+
+def _codes(spell: str) -> str:
+    return "".join(CODE[p] for p in split(spell))
+
 
+def spelled(word: Column) -> Column:
+    """A word of the inventory by the spelling rules: set after set, and within one no result is another rule's start.
 
-def spelling_rules(word: list[str]) -> list[str]:
-    """Each rule set to its fixpoint: the first rule that applies, at its first place, and again from the start."""
+    A rule that gives back the end of what it takes applies again there, so it takes any number of what it drops.
+    """
     for rules in SPELLING:
-        steps = [(split(a), split(b)) for a, b in rules.items()]
-        while True:
-            place = next(((i, a, b) for a, b in steps for i in range(len(word) - len(a) + 1) if word[i : i + len(a)] == a), None)
-            if place is None:
-                break
-            i, a, b = place
-            word = split("".join([*word[:i], *b, *word[i + len(a) :]])) or word
+        code = encoded(word)
+        for taken, given in rules.items():
+            dropped = taken.removesuffix(given)
+            pattern = _codes(taken) if dropped == taken else f"(?:{_codes(dropped)})+{_codes(given)}"
+            code = F.regexp_replace(code, F.lit(pattern), F.lit(_codes(given)))
+        word = _decoded(code)
     return word
 
 
-def _cut(word: list[str], vowels: bool, at_end: bool) -> int:
-    """Length of the run of vowels or consonants at an end."""
-    n = 0
-    for p in reversed(word) if at_end else word:
-        if PHONEMES[p]["syl"] != vowels:
-            break
-        n += 1
-    return n
-
-
-def join_vowels(x: list[str], y: list[str]) -> list[str]:
-    if not x or not y:
-        return x or y or ["a"]
-    if len(x) == 1 and len(y) == 1:
-        a, b = x[0], y[0]
-        if b in NUCLEUS_PAIRS.get(a, ""):
-            return [a, b]
-        if a in NUCLEUS_PAIRS.get(b, ""):
-            return [b, a]
-        return ["y" if PHONEMES[a].get("round") or PHONEMES[b].get("round") else "i"]
-    if len(x) == 1:
-        return [x[0], "j", y[0]]
-    if len(y) == 1:
-        return join_vowels(x[:-1], join_vowels(x[-1:], y))
-    return [x[0], "j", *y]
-
-
-def join_consonants(x: list[str], y: list[str]) -> list[str]:
-    if not x or not y:
-        return x or y or ["n"]
-    open_ = {"ts": "s", "tc": "c"}
-    if len(x) == 1 and len(y) == 1:
-        return [open_.get(x[0], x[0]), open_.get(y[0], y[0])]
-    if len(x) == 1:
-        return [x[0], "a", *y]
-    return join_consonants(x[:-1], join_consonants(x[-1:], y))
-
-
-def joined(left: str, right: str, vowels: bool) -> str | None:
-    """Two spellings joined by vowels or by consonants; None if one isn't of the inventory."""
-    a, b = split(left), split(right)
-    if a is None or b is None:
-        return None
-    if not a or not b:
-        return left or right
-    i, j = len(a) - _cut(a, vowels, True), _cut(b, vowels, False)
-    mid = (join_vowels if vowels else join_consonants)(a[i:], b[:j])
-    return "".join(spelling_rules(split("".join([*a[:i], *mid, *b[j:]])) or [*a[:i], *mid, *b[j:]]))
-
-
-def _udf(f):
-    @F.pandas_udf(T.StringType())
-    def apply(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else f(a, b) for a, b in zip(left, right, strict=True)], dtype=object)
-
-    return apply
-
-
-_join_v = _udf(lambda a, b: joined(a, b, True))
-_join_c = _udf(lambda a, b: joined(a, b, False))
+def _runs(symbols: Column, members: tuple[str, ...], at_end: bool) -> tuple[Column, Column]:
+    """(the rest, the run of members) at one end of an array of sounds."""
+    n = F.size(symbols)
+    inner = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: ~F.coalesce(F.try_element_at(symbols, i).isin(*members), F.lit(True)))
+    if at_end:
+        kept = F.coalesce(F.array_max(inner), F.lit(0))
+        return F.slice(symbols, F.lit(1), kept), F.slice(symbols, kept + 1, n - kept)
+    run = F.coalesce(F.array_min(inner) - 1, n)
+    return F.slice(symbols, run + 1, n - run), F.slice(symbols, F.lit(1), run)
+
+
+def _met(a: Column, b: Column) -> Column:
+    """The vowels that two vowels become."""
+    nuclei = [x + y for x, ys in NUCLEUS_PAIRS.items() for y in ys]
+    rounded = [p for p in VOWELS if PHONEMES[p]["round"]]
+    merged = F.when(a.isin(*rounded) | b.isin(*rounded), MERGED_ROUND).otherwise(MERGED)
+    return F.when(F.concat(a, b).isin(*nuclei), F.array(a, b)).when(F.concat(b, a).isin(*nuclei), F.array(b, a)).otherwise(F.array(merged))
+
+
+def _vowels_met(left: Column, right: Column) -> Column:
+    start = F.struct(right.alias("out"), F.size(left).alias("before"))
+    single = F.aggregate(F.reverse(left), start, lambda acc, v: F.when(F.size(acc["out"]) == 1, F.struct(_met(v, acc["out"][0]).alias("out"), (acc["before"] - 1).alias("before"))).otherwise(acc))
+    led = F.concat(F.slice(left, 1, 1), F.array(F.lit(GLIDE)), F.slice(single["out"], F.lit(1), F.when(single["before"] == 1, 1).otherwise(F.size(single["out"]))))
+    return F.when(single["before"] == 0, single["out"]).otherwise(led)
+
+
+def _consonants_met(left: Column, right: Column) -> Column:
+    opened = _lookup(OPENED)
+    last = F.slice(left, F.size(left), F.lit(1))
+    alone = F.flatten(F.transform(F.slice(left, F.lit(1), F.size(left) - 1), lambda c: F.array(c, F.lit(EPENTHETIC))))
+    pair = F.transform(F.concat(last, right), lambda c: F.coalesce(opened[c], c))
+    return F.concat(alone, F.when(F.size(right) == 1, pair).otherwise(F.concat(last, F.array(F.lit(EPENTHETIC)), right)))
+
+
+def _joined(left: Column, right: Column, members: tuple[str, ...], link: str, met) -> Column:
+    rest, a = _runs(tokens(left), members, True)
+    more, b = _runs(tokens(right), members, False)
+    seam = F.when((F.size(a) > 0) & (F.size(b) > 0), met(a, b)).when((F.size(a) > 0) | (F.size(b) > 0), F.concat(a, b)).otherwise(F.array(F.lit(link)))
+    form = spelled(F.concat_ws("", rest, seam, more))
+    known = tokens(left).isNotNull() & tokens(right).isNotNull()
+    return F.when(known & ((left == "") | (right == "")), F.concat(left, right)).when(known, form)
 
 
 def vowel_join(left: Column, right: Column) -> Column:
-    return _join_v(left, right)
+    """Two spellings joined by vowels; null if one isn't of the inventory.  An empty form leaves the other as it is."""
+    return _joined(left, right, VOWELS, LINK_VOWEL, _vowels_met)
 
 
 def consonant_join(left: Column, right: Column) -> Column:
-    return _join_c(left, right)
-
-
-def ipa(word: list[str]) -> str:
-    """Speech: vowel pairs fuse; a plosive at the end, alone or behind a nasal, becomes a glottal stop."""
-    out: list[str] = []
-    i = 0
-    while i < len(word):
-        pair = "".join(word[i : i + 2])
-        if i + 1 < len(word) and PHONEMES[word[i]]["syl"] and PHONEMES[word[i + 1]]["syl"] and pair in FUSION:
-            out.append(FUSION[pair])
-            i += 2
-        else:
-            out.append(PHONEMES[word[i]]["ipa"])
-            i += 1
-    if word and PHONEMES[word[-1]]["manner"] == "plosive":
-        if len(word) == 1 or not PHONEMES[word[-2]]["cons"]:
-            out[-1] = "ʔ"
-        elif PHONEMES[word[-2]]["manner"] == "nasal":
-            out[-2:] = ["ʔ"]
-    return "".join(out)
+    """Two spellings joined by consonants; null if one isn't of the inventory.  An empty form leaves the other as it is."""
+    return _joined(left, right, CONSONANTS, LINK_CONSONANT, _consonants_met)
 
 
 def to_ipa(symbols: Column) -> Column:

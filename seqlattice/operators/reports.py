@@ -41,7 +41,7 @@ def candidate_report(candidates: DataFrame, lexicon: DataFrame, word: str = "wor
     s = syllables(F.col(word))
     run = compile_pattern("[C][C][C][C]").count(encoded(F.col(word)))
     near = search.neighbours(candidates.select(F.col(word).alias("form")), lexicon.select(F.col(word).alias("form"))).groupBy(F.col("x").alias(word)).agg(F.count("*").alias("neighbours"), F.min("y").alias("nearest"))
-    spelled = morphology.vowel_join(F.col(word), F.lit(""))
+    spelled = F.when(tokens(F.col(word)).isNotNull(), morphology.spelled(F.col(word)))
     base = candidates.select(word).distinct().withColumn("__s", s)
     out = base.select(word, tokens(F.col(word)).isNotNull().alias("spellable"), (F.col("__s.error").isNull() & (F.size("__s.notes") == 0)).alias("strict"), F.col("__s.notes").alias("notes"), (run > 0).alias("long_run"), spelled.alias("spelled"))
     known = lexicon.select(F.col(word)).distinct().withColumn("registered", F.lit(True))
