@@ -1,8 +1,9 @@
 """Sound patterns compiled to regular expressions over words of one character a phoneme.
 
-A pattern is a sequence of ``[feature tests]`` or ``[Class]``, alternatives ``(a|b)``, lower-case literals, ``#`` for the
-edge of a word and the quantifiers ``? * + {n} {m,n}``; a leading ``*`` marks a prohibition.  Matches are counted by the
-places where they begin, so they may overlap.
+A pattern is a sequence of ``[feature tests]`` or ``[Class]``, alternatives ``(a|b)``, lower-case literals, ``#`` for
+either edge of a word wherever it stands, ``_`` for the place of a change, which has no width, and the quantifiers
+``? * + {n} {m,n}``; a leading ``*`` marks a prohibition.  Matches are counted by the places where they begin, so they may
+overlap.  Tests of features that no sound has, and marks of syllables, are errors.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .inventory import CODE, MEMBERS, PHONEMES, split
 
+_FEATURES = frozenset(k for f in PHONEMES.values() for k in f)
 _TEST = re.compile(r"(!?)([+-]?)([a-z]+)(?:(!=|>=|<=|=|>|<)([a-z0-9]+))?$")
 
 
@@ -24,6 +26,8 @@ def test(spec: str, features: dict) -> bool:
     if not m:
         raise ValueError(f"not a feature test: {spec!r}")
     negate, sign, name, op, value = m.groups()
+    if name not in _FEATURES and name not in features:
+        raise ValueError(f"no sound has the feature {name!r}")
     have = features.get(name)
     if sign:
         passed = have is (sign == "+")
@@ -75,8 +79,7 @@ def compile_pattern(text: str) -> Pattern:
             out.append(_class([p for p, f in PHONEMES.items() if segment(body[i + 1 : end], f)]))
             i = end + 1
         elif c == "#":
-            left = i == 0 or body[i - 1] in "(|"
-            out.append("^" if left and i + 1 < len(body) and not (i and body[i - 1] == "|" and depth) else "$")
+            out.append("(?:^|$)")
             i += 1
         elif c in "(|)":
             depth += (c == "(") - (c == ")")
@@ -97,7 +100,6 @@ def compile_pattern(text: str) -> Pattern:
             out.append("".join(CODE[p] for p in parts))
             i += len(run)
         elif c == "_" or c.isspace():
-            out.append("." if c == "_" else "")
             i += 1
         else:
             raise ValueError(f"unexpected {c!r} at {i} in {text!r}")

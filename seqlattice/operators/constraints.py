@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.inventory import CODE, CONSTRAINTS, CLASS_ORDER, encoded
 from ..functions.patterns import compile_pattern
+from ..functions.significance import binomial_p
 
 
 def violations(code: Column, constraints: list[tuple[str, str, float]] = CONSTRAINTS) -> dict[str, Column]:
@@ -65,23 +66,18 @@ def baseline(words: DataFrame, tokens: str, weight: str, n: int, seed: int = 1)
     return ordered.select("draw", F.concat_ws("", F.transform("s", lambda x: x["symbol"])).alias("word"))
 
 
-def binomial_p(k: int, n: int, p: float) -> float:
-    """Two-sided exact binomial test: all outcomes no likelier than the observed one."""
-    if not 0 < p < 1:
-        return 1.0 if (p == 0 and k == 0) or (p == 1 and k == n) else 0.0
-    i = np.arange(n + 1)
-    logs = np.array([math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) for x in i]) + i * math.log(p) + (n - i) * math.log1p(-p)
-    return float(min(1.0, np.exp(logs[logs <= logs[k] + 1e-7]).sum()))
+def fit_weights(seen: np.ndarray, weight: np.ndarray, sampled: np.ndarray, l2: float = 1.0, steps: int = 400, many: np.ndarray | None = None) -> np.ndarray:
+    """MaxEnt weights, not negative, of violation vectors (rows) against those of random words: projected Newton steps.
 
-
-def fit_weights(seen: np.ndarray, weight: np.ndarray, sampled: np.ndarray, l2: float = 1.0, steps: int = 400) -> np.ndarray:
-    """MaxEnt weights, not negative, of violation vectors (rows) against those of random words: projected Newton steps."""
+    ``many`` says how often each random vector was drawn; once each if it isn't given.
+    """
     n, k = float(weight.sum()), seen.shape[1]
+    many = np.ones(len(sampled)) if many is None else many
     mean = (seen * weight[:, None]).sum(axis=0) / n
     w = np.zeros(k)
     for _ in range(steps):
         logs = -sampled @ w
-        p = np.exp(logs - logs.max())
+        p = many * np.exp(logs - logs.max())
         p /= p.sum()
         expected = p @ sampled
         grad = n * (mean - expected) + l2 * w
@@ -93,10 +89,10 @@ def fit_weights(seen: np.ndarray, weight: np.ndarray, sampled: np.ndarray, l2: f
         step = np.zeros(k)
         step[free] = np.linalg.solve(hess[np.ix_(free, free)], grad[free])
         scale = 1.0
-        value = n * (mean @ w) + n * _log_z(sampled, w) + l2 / 2 * w @ w
+        value = n * (mean @ w) + n * _log_z(sampled, w, many) + l2 / 2 * w @ w
         while scale > 1e-6:
             now = np.maximum(w - scale * step, 0)
-            if n * (mean @ now) + n * _log_z(sampled, now) + l2 / 2 * now @ now <= value + 1e-12:
+            if n * (mean @ now) + n * _log_z(sampled, now, many) + l2 / 2 * now @ now <= value + 1e-12:
                 break
             scale /= 2
         if np.abs(now - w).max() < 1e-12:
@@ -105,9 +101,9 @@ def fit_weights(seen: np.ndarray, weight: np.ndarray, sampled: np.ndarray, l2: f
     return w
 
 
-def _log_z(sampled: np.ndarray, w: np.ndarray) -> float:
+def _log_z(sampled: np.ndarray, w: np.ndarray, many: np.ndarray) -> float:
     logs = -sampled @ w
-    return float(logs.max() + np.log(np.exp(logs - logs.max()).mean()))
+    return float(logs.max() + np.log((many * np.exp(logs - logs.max())).sum() / many.sum()))
 
 
 def grouped_vectors(words: DataFrame, word: str, weight: str | None, constraints: list[tuple[str, str, float]], most: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
@@ -124,22 +120,63 @@ def maxent(words: DataFrame, word: str, weight: str, samples: DataFrame, sample:
     """(name, weight) fitted on all words against random ones."""
     seen, w = grouped_vectors(words, word, weight, constraints)
     drawn, many = grouped_vectors(samples, sample, None, constraints)
-    fitted = fit_weights(seen, w, np.repeat(drawn, many.astype(int), axis=0), l2)
+    fitted = fit_weights(seen, w, drawn, l2, many=many)
     return words.sparkSession.createDataFrame([(n, float(x)) for (n, _, _), x in zip(constraints, fitted, strict=True)], "name string, weight double")
 
 
-def evaluated(words: DataFrame, word: str, weight: str, samples: DataFrame, sample: str, constraints: list[tuple[str, str, float]]) -> DataFrame:
-    """(name, observed, expected, oe, words_seen, words_expected, log_odds, p_value) of each candidate."""
+def count_histograms(words: DataFrame, word: str, weight: str, constraints: list[tuple[str, str, float]]) -> dict[str, dict[int, int]]:
+    """Of each constraint how many words violate it how often, but for the words that don't; one scan for all of them."""
+    counts = violations(encoded(F.col(word)), constraints)
+    found = F.filter(F.array(*(F.struct(F.lit(k).alias("name"), c.alias("v")) for k, c in counts.items())), lambda x: x["v"] > 0)
+    rows = words.select(F.col(weight).alias("w"), F.explode(found).alias("x")).groupBy("x.name", "x.v").agg(F.sum("w").alias("w"))
+    out: dict[str, dict[int, int]] = {k: {} for k, _, _ in constraints}
+    for r in rows.collect():
+        out[r.name][r.v] = r.w
+    return out
+
+
+def log_likelihood(seen: np.ndarray, weight: np.ndarray, sampled: np.ndarray, many: np.ndarray, w: np.ndarray) -> float:
+    """Mean log likelihood of words under weights, against random words; what both have in common is left out."""
+    logs = -sampled @ w
+    log_z = logs.max() + np.log((many * np.exp(logs - logs.max())).sum() / many.sum())
+    return float(-(weight * (seen @ w)).sum() / weight.sum() - log_z)
+
+
+def verdict(observed: float, expected: float, p: float) -> str:
+    ratio = observed / expected if expected > 0 else float("nan")
+    if observed == 0 and expected >= 3:
+        return "absolute"
+    if p < 0.01 and ratio < 0.5:
+        return "avoided"
+    if p < 0.05 and ratio < 0.8:
+        return "weakly avoided"
+    return "preferred" if p < 0.01 and ratio > 1.5 else "indistinct"
+
+
+def evaluated(words: DataFrame, word: str, weight: str, samples: DataFrame, sample: str, constraints: list[tuple[str, str, float]], l2: float = 0.01) -> DataFrame:
+    """(name, observed, expected, oe, words_seen, words_expected, log_odds, p_value, gain, verdict) of each candidate, best gain first.
+
+    ``gain`` is what the constraint adds to the mean log likelihood, with its weight fitted.  The driver holds, of each
+    candidate, how many words have how many violations.
+    """
     spark = words.sparkSession
-    seen = {r.name: r for r in totals(words, word, weight, constraints).collect()}
-    drawn = {r.name: r for r in totals(samples.withColumn("__w", F.lit(1).cast("long")), sample, "__w", constraints).collect()}
+    seen = count_histograms(words, word, weight, constraints)
+    drawn = count_histograms(samples.withColumn("__w", F.lit(1).cast("long")), sample, "__w", constraints)
     n, m = words.agg(F.sum(weight)).first()[0] or 0, max(1, samples.count())
     rows = []
     for name, _, _ in constraints:
-        o, e = seen[name].violations or 0, (drawn[name].violations or 0) / m * n
-        wo, rate = seen[name].words or 0, (drawn[name].words or 0) / m
+        o, e = sum(v * w for v, w in seen[name].items()), sum(v * w for v, w in drawn[name].items()) / m * n
+        wo, rate = sum(seen[name].values()), sum(drawn[name].values()) / m
         odds = math.log(((wo + 0.5) / (n - wo + 0.5)) / ((rate * n + 0.5) / (n - rate * n + 0.5)))
-        z = (wo - n * rate) / math.sqrt(n * rate * (1 - rate)) if 0 < rate < 1 and n else 0.0
-        p = binomial_p(wo, n, rate) if n <= 100_000 or not 0 < rate < 1 else math.erfc(abs(z) / math.sqrt(2))
-        rows.append((name, int(o), float(e), float(o / e) if e else None, int(wo), float(rate * n), odds, p))
-    return spark.createDataFrame(rows, "name string, observed long, expected double, oe double, words_seen long, words_expected double, log_odds double, p_value double")
+        p = binomial_p(wo, n, rate)
+        (a, wa), (b, wb) = (_vectors(h, all_) for h, all_ in ((seen[name], n), (drawn[name], m)))
+        gain = log_likelihood(a, wa, b, wb, fit_weights(a, wa, b, l2, many=wb)) if n else 0.0
+        rows.append((name, int(o), float(e), float(o / e) if e else None, int(wo), float(rate * n), odds, p, gain, verdict(o, e, p)))
+    schema = "name string, observed long, expected double, oe double, words_seen long, words_expected double, log_odds double, p_value double, gain double, verdict string"
+    return spark.createDataFrame(sorted(rows, key=lambda r: -r[8]), schema)
+
+
+def _vectors(histogram: dict[int, int], total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of violations as vectors of one, with their weights; the rest of ``total`` has none."""
+    values = [(0, total - sum(histogram.values())), *sorted(histogram.items())]
+    return np.array([[v] for v, _ in values], float), np.array([w for _, w in values], float)

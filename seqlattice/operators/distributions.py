@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut
+
+
+def _plateaus(counts: DataFrame, group: str) -> DataFrame:
+    """(group, n, types, before, total): how many symbols have a count, how many have a higher one, and the sum of all.
+
+    A window goes over the different counts of a group, which are few (their sum is at most the total), not its symbols.
+    """
+    by = Window.partitionBy(group)
+    equal = counts.groupBy(group, "n").agg(F.count("*").alias("types"))
+    above = F.sum("types").over(by.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("types")
+    return equal.select(group, "n", "types", above.alias("before"), F.sum(F.col("n") * F.col("types")).over(by).alias("total"))
+
 
 def rank_stats(counts: DataFrame, group: str, top: int = 10) -> DataFrame:
     """One row for each group of (group, symbol, n): types, tokens, shares of the first ranks, entropy, geometric p."""
-    by = Window.partitionBy(group)
-    ranked = counts.select(group, "n", F.row_number().over(by.orderBy(F.desc("n"), "symbol")).alias("r"), (F.col("n") / F.sum("n").over(by)).alias("f"))
-    out = ranked.groupBy(group).agg(
-        F.count("*").alias("n_types"), F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("r") <= top, F.col("f")).otherwise(0.0)).alias("top_share"),
-        F.max("f").alias("top1"), (-F.sum(F.col("f") * F.log2("f"))).alias("h_bits"), (1 / F.sum(F.col("r") * F.col("f"))).alias("p_geo"),
+    f, m, before = F.col("n") / F.col("total"), F.col("types"), F.col("before")
+    first = F.least(m, F.greatest(F.lit(top) - before, F.lit(0)))
+    out = _plateaus(counts, group).groupBy(group).agg(
+        F.sum(m).alias("n_types"), F.sum(F.col("n") * m).alias("n_tokens"), F.sum(f * first).alias("top_share"), F.max(f).alias("top1"),
+        (-F.sum(m * f * F.log2(f))).alias("h_bits"), (1 / F.sum(f * (m * before + m * (m + 1) / 2))).alias("p_geo"),
     )
     return out.withColumn("h_rel", F.when(F.col("n_types") > 1, F.col("h_bits") / F.log2("n_types")).otherwise(1.0))
 
@@ -23,8 +39,9 @@ def js_divergence(counts: DataFrame, group: str) -> DataFrame:
 
     Each symbol brings its share in each group to its pairs of groups: the groups are few, the symbols are grouped once.
     """
-    shares = counts.withColumn("f", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
-    groups = counts.select(group).distinct()
+    totals = counts.groupBy(group).agg(F.sum("n").alias("total"))
+    shares = counts.join(totals, group).withColumn("f", F.col("n") / F.col("total"))
+    groups = totals.select(group)
     pairs = groups.select(F.col(group).alias("left")).crossJoin(groups.select(F.col(group).alias("right"))).filter("left < right")
     by_symbol = shares.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct(group, "f"))).alias("by"))
     p, q = F.coalesce(F.try_element_at("by", "left"), F.lit(0.0)), F.coalesce(F.try_element_at("by", "right"), F.lit(0.0))
@@ -33,75 +50,124 @@ def js_divergence(counts: DataFrame, group: str) -> DataFrame:
     return by_symbol.crossJoin(F.broadcast(pairs)).groupBy("left", "right").agg(F.sum(part).alias("js"))
 
 
-def score_summary(scores: DataFrame, column: str, shares: tuple[float, ...] = (0.01, 0.05, 0.25, 0.5, 0.75)) -> DataFrame:
+#: Bins that values are counted in before one bin is sorted.
+BINS = 4096
+
+
+def falling_values(rows: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
+    """(share, value): the value at place int(n * share) of all values in falling order.
+
+    Equal values are counted first; counted bins show which one holds a place, and only that one is put in order.
+    """
+    values = cut(rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")))
+    ends = values.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("all")).first()
+    if not ends["all"]:
+        return rows.sparkSession.createDataFrame([], "share double, value double")
+    width = (ends.high - ends.low) or 1.0
+    binned = values.withColumn("bin", F.least(F.floor((F.col("value") - F.lit(ends.low)) / width * BINS), F.lit(BINS - 1)))
+    above, out = 0, []
+    asked = sorted((min(int(ends["all"] * s), ends["all"] - 1), s) for s in shares)
+    for r in binned.groupBy("bin").agg(F.sum("n").alias("n")).orderBy(F.desc("bin")).collect():
+        out += [(s, k, r.bin, above) for k, s in asked if above <= k < above + r.n]
+        above += r.n
+    places = rows.sparkSession.createDataFrame(out, "share double, place long, bin long, above long")
+    seen = F.sum("n").over(Window.partitionBy("share").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("above")
+    return binned.join(places, "bin").withColumn("seen", seen).filter(F.col("seen") > F.col("place")).groupBy("share").agg(F.max("value").alias("value"))
+
+
+def score_summary(scores: DataFrame, column: str, shares: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """One row: mean, population deviation, and the value at place int(n * share) of the falling list for each share."""
-    moments = scores.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("sd"), F.count("*").alias("n"), *(F.percentile(F.col(column), F.lit(1 - s)).alias(f"q{int(100 * s)}") for s in shares))
-    return moments
+    at = falling_values(scores, column, shares).agg(*(F.max(F.when(F.col("share") == s, F.col("value"))).alias(f"q{round(100 * s)}") for s in shares))
+    return scores.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("sd"), F.count("*").alias("n")).crossJoin(at)
+
+
+#: Ranks that are summed at a time.
+BLOCK = 1 << 20
+# Of each law: where its parameters start, and their bounds.
+LAWS = {
+    "zipf": (lambda f: [f, 1.0], [-np.inf, -np.inf], [np.inf, np.inf]),
+    "yule": (lambda f: [f, 0.5, 0.95], [0.0, 0.0, 1e-9], [np.inf, 5.0, 1.0]),
+    "sigurd": (lambda f: [0.9], [0.01], [0.9999]),
+    "borodovsky": (lambda f: [], [], []),
+}
+
+
+def predicted(law: str, t: np.ndarray, r: np.ndarray, n: int) -> np.ndarray:
+    """What a rank law gives for ranks ``r`` of ``n``."""
+    if law == "zipf":
+        return t[0] / r ** t[1]
+    if law == "yule":
+        return t[0] / r ** t[1] * t[2] ** r
+    if law == "sigurd":
+        return (1 - t[0]) * t[0] ** (r - 1) / (1 - t[0] ** n)
+    return (math.log(n + 1) - np.log(r)) / n
+
+
+def _blocks(f: np.ndarray):
+    for at in range(0, len(f), BLOCK):
+        yield np.arange(at + 1, min(at + BLOCK, len(f)) + 1, dtype=float), f[at : at + BLOCK]
+
+
+def _error(law: str, t: np.ndarray, f: np.ndarray) -> float:
+    return sum(float(((part - predicted(law, t, r, len(f))) ** 2).sum()) for r, part in _blocks(f))
+
+
+def log_r2(law: str, t: list[float], f: np.ndarray) -> float:
+    """R2 of the logarithms, where both are positive."""
+    n, total, squares, off = 0, 0.0, 0.0, 0.0
+    for r, part in _blocks(np.sort(np.asarray(f, float))[::-1]):
+        p = predicted(law, np.asarray(t), r, len(f))
+        seen = (part > 0) & (p > 0)
+        log = np.log(part[seen])
+        n, total, squares, off = n + len(log), total + log.sum(), squares + (log**2).sum(), off + ((log - np.log(p[seen])) ** 2).sum()
+    spread = squares - total**2 / n if n else 0.0
+    return float(1 - off / spread) if spread > 1e-12 else float("nan")
 
 
 def rank_law_fits(freqs: list[float], steps: int = 200) -> dict[str, tuple[list[float], float]]:
-    """Fits of four rank laws to falling relative frequencies by Gauss-Newton, with R2: zipf, yule, sigurd, borodovsky."""
+    """Fits of four rank laws to falling relative frequencies by damped Gauss-Newton steps, with R2; the last has no parameters."""
     f = np.sort(np.asarray(freqs, float))[::-1]
-    r = np.arange(1, len(f) + 1, dtype=float)
-    n = len(f)
-    laws = {
-        "zipf": (lambda t: t[0] / r ** t[1], np.array([f[0], 1.0])),
-        "yule": (lambda t: t[0] / r ** t[1] * t[2] ** r, np.array([f[0], 0.5, 0.95])),
-        "sigurd": (lambda t: (1 - t[0]) / (1 - t[0] ** n) * t[0] ** (r - 1) if abs(1 - t[0]) > 1e-9 else np.full(n, 1 / n), np.array([0.9])),
-    }
-    out: dict[str, tuple[list[float], float]] = {}
     spread = float(((f - f.mean()) ** 2).sum()) or 1.0
-    for name, (law, start) in laws.items():
-        t, damp = start.astype(float), 1e-3
-        best = float(((f - law(t)) ** 2).sum())
-        for _ in range(steps):
-            base = law(t)
-            jac = np.stack([(law(t + h) - base) / 1e-6 for h in np.eye(len(t)) * 1e-6], axis=1)
-            step = np.linalg.solve(jac.T @ jac + damp * np.eye(len(t)), jac.T @ (f - base))
-            now = t + step
-            if name == "yule":
-                now[2] = min(max(now[2], 0.01), 1.0)
-            if name == "sigurd":
-                now[0] = min(max(now[0], 0.01), 0.9999)
-            error = float(((f - law(now)) ** 2).sum())
+    out: dict[str, tuple[list[float], float]] = {}
+    for law, (start, least, most) in LAWS.items():
+        t, damp = np.array(start(f[0]), float), 1e-3
+        best = _error(law, t, f)
+        for _ in range(steps if len(t) else 0):
+            left, right = np.zeros((len(t), len(t))), np.zeros(len(t))
+            for r, part in _blocks(f):
+                base = predicted(law, t, r, len(f))
+                slopes = np.stack([(predicted(law, t + h, r, len(f)) - predicted(law, t - h, r, len(f))) / 2e-6 for h in np.eye(len(t)) * 1e-6], axis=1)
+                left += slopes.T @ slopes
+                right += slopes.T @ (part - base)
+            now = np.clip(t + np.linalg.solve(left + damp * np.diag(np.diag(left) + 1e-12), right), least, most)
+            error = _error(law, now, f)
             if np.isfinite(error) and error < best:
+                done = best - error <= 1e-15 * best
                 t, best, damp = now, error, damp / 3
+                if done:
+                    break
             else:
                 damp *= 4
-                if damp > 1e9:
+                if damp > 1e12:
                     break
-        out[name] = (t.tolist(), 1 - best / spread)
-    expected = np.array([(1 / n) * (1 / np.arange(k, n + 1)).sum() for k in range(1, n + 1)])
-    out["borodovsky"] = ([], 1 - float(((f - expected) ** 2).sum()) / spread)
+        out[law] = (t.tolist(), 1 - best / spread)
     return out
 
 
-def rank_laws(counts: DataFrame, group: str, most: int = 1000) -> DataFrame:
-    """(group, law, parameters, r2) of the ``most`` most frequent symbols of each group: a bounded table is fitted by itself."""
-    by = Window.partitionBy(group)
-    ranked = counts.select(group, (F.col("n") / F.sum("n").over(by)).alias("f"), F.row_number().over(by.orderBy(F.desc("n"), "symbol")).alias("r")).filter(F.col("r") <= most)
-
-    def fit(rows):
-        fits = rank_law_fits(rows["f"].tolist())
-        return rows.iloc[:1][[group]].assign(k=1).merge(_frame(fits), on="k").drop(columns="k")
-
-    return ranked.groupBy(group).applyInPandas(fit, f"{group} string, law string, parameters array<double>, r2 double")
+def rank_laws(counts: DataFrame, group: str) -> DataFrame:
+    """(group, law, parameters, r2, r2_log), fitted to all ranks of each group.
 
+    What comes to a group's task are its different counts and how many symbols have each; ranks are summed in blocks.
+    """
+    equal = counts.groupBy(group, "n").agg(F.count("*").alias("types"))
 
-def _frame(fits: dict):
-    import pandas as pd
-
-    return pd.DataFrame({"k": 1, "law": list(fits), "parameters": [t for t, _ in fits.values()], "r2": [r for _, r in fits.values()]})
-
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n", ascending=False)
+        f = np.repeat(rows["n"].to_numpy(float) / float((rows["n"] * rows["types"]).sum()), rows["types"])
+        fits = rank_law_fits(f)
+        return pd.DataFrame({group: rows[group].iloc[0], "law": list(fits), "parameters": [t for t, _ in fits.values()], "r2": [r for _, r in fits.values()], "r2_log": [log_r2(k, t, f) for k, (t, _) in fits.items()]})
 
-def dirichlet_ranks(spark: SparkSession, sizes: list[int], draws: int = 2000, seed: int = 0) -> dict[int, list[float]]:
-    """Expected falling frequencies of a symmetric Dirichlet over each size, concentration 19.47 * size ** -0.95."""
-    rng = np.random.default_rng(seed)
-    out = {}
-    for size in sizes:
-        x = np.sort(rng.dirichlet(np.full(size, 19.47 * size**-0.95), draws), axis=1)[:, ::-1]
-        out[size] = x.mean(axis=0).tolist()
-    return out
+    return equal.groupBy(group).applyInPandas(fit, f"{group} string, law string, parameters array<double>, r2 double, r2_log double")
 
 
 #: Draws that are one table at a time.

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import cut
 
 
-def closure(edges: DataFrame, most: int = 64, skip: DataFrame | None = None) -> DataFrame:
-    """(child, ancestor, depth): every ancestor with its least depth.  Stops when a step finds nothing new.
+#: Steps after which the tables found so far become one.
+STEPS = 32
+
+
+def closure(edges: DataFrame, skip: DataFrame | None = None) -> DataFrame:
+    """(child, ancestor, depth): every ancestor with its least depth, at any depth.  Stops when a step finds nothing new.
 
     A step joins what the last one found with the edges; what is known already is dropped, so cycles end too.  Lineage
     is cut by a written table every step.
@@ -19,13 +25,15 @@ def closure(edges: DataFrame, most: int = 64, skip: DataFrame | None = None) ->
     edges = cut(edges.select("child", "parent").distinct())
     found = edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     last = found
-    for depth in range(2, most + 1):
+    for depth in count(2):
         step = last.join(edges.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
         new = step.join(found.select("child", "ancestor"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth))
         new = cut(new)
         if new.isEmpty():
             break
         found, last = found.unionByName(new), new
+        if depth % STEPS == 0:
+            found = cut(found)
     return found
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.significance import chi_square_tail
+
 BOS, EOS = "<s>", "</s>"
 
 
@@ -129,7 +131,7 @@ def cooccurrence(rows: DataFrame, left: Column, right: Column, least: int = 0) -
 
 
 def chi_square(cells: DataFrame) -> DataFrame:
-    """One row of a dense table (x, y, n): chi2, dof, cramers_v, n_total; with one degree of freedom Yates' correction."""
+    """One row of a dense table (x, y, n): chi2, dof, p_value, cramers_v, n_total; with one degree of freedom Yates' correction."""
     by_x, by_y, whole = Window.partitionBy("x"), Window.partitionBy("y"), Window.partitionBy()
     sides = cells.agg(F.countDistinct("x").alias("r"), F.countDistinct("y").alias("c"))
     expected = cells.select("n", (F.sum("n").over(by_x) * F.sum("n").over(by_y) / F.sum("n").over(whole)).alias("e"))
@@ -138,7 +140,7 @@ def chi_square(cells: DataFrame) -> DataFrame:
     off = F.when(F.col("dof") == 1, off - F.least(F.lit(0.5), off)).otherwise(off)
     summed = joined.groupBy("dof", "r", "c").agg(F.sum(off * off / F.col("e")).alias("chi2"), F.sum("n").alias("n_total"))
     v = F.sqrt(F.col("chi2") / (F.col("n_total") * (F.least("r", "c") - 1)))
-    return summed.select("chi2", "dof", v.alias("cramers_v"), "n_total")
+    return summed.select("chi2", "dof", chi_square_tail(F.col("chi2"), F.col("dof")).alias("p_value"), v.alias("cramers_v"), "n_total")
 
 
 def sessions(rows: DataFrame, key: str, time: str, gap_seconds: float) -> DataFrame:

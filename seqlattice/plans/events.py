@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import distributions, ngrams
+from ..sources.storage import cut
 from ..sources.tables import table
 
 _GRAMS = """
@@ -22,7 +23,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bigrams(spark: SparkSession, sf_dir: str, n: int = 2) -> DataFrame:
-    return ngrams.ordered_ngram_counts(_events(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type", n)
+    """The counts, written: several branches of a query read them."""
+    return cut(ngrams.ordered_ngram_counts(_events(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type", n))
 
 
 def bigram_pmi_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ def event_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_weakest_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = ngrams.long_grams(_events(spark, sf_dir), "user_id", ["ts", "event_id"], "event_type")
     p = ngrams.probabilities(_bigrams(spark, sf_dir)).select("ctx", "sym", F.log2("p").alias("log_p"))
-    rows = grams.join(F.broadcast(p), ["ctx", "sym"])
+    rows = grams.join(p, ["ctx", "sym"])
     least = F.min(F.struct(F.round("log_p", 9).alias("log_p"), "pos", F.col("ctx")[0].alias("x"), F.col("sym").alias("y"))).alias("m")
     return rows.groupBy("user_id").agg(least).select("user_id", F.col("m.pos").alias("pos"), F.col("m.x").alias("x"), F.col("m.y").alias("y"), F.round("m.log_p", 6).alias("log_p"))
 
@@ -158,7 +160,7 @@ ORACLES = {
       counts AS (SELECT x, y, count(*) AS n FROM grams GROUP BY x, y), cx AS (SELECT x, sum(n) AS nx FROM counts GROUP BY x), cy AS (SELECT y, sum(n) AS ny FROM counts GROUP BY y)
       SELECT cx.x AS ctx, cy.y AS sym, round(CAST(nx * ny AS DOUBLE) / (SELECT sum(n) FROM counts), 2) AS expected FROM cx CROSS JOIN cy WHERE NOT EXISTS (SELECT 1 FROM counts c WHERE c.x = cx.x AND c.y = cy.y) AND CAST(nx * ny AS DOUBLE) / (SELECT sum(n) FROM counts) >= 0.5""",
     "event_sequence_score": _SCORES + "SELECT user_id, n_grams, round(log2_p, 4) AS log2_p, round(log2_p / n_grams, 6) AS normalised FROM scores",
-    "event_score_summary": _SCORES + ", s AS (SELECT log2_p / n_grams AS z FROM scores) SELECT count(*) AS n, round(avg(z), 6) AS mean, round(stddev_pop(z), 6) AS sd, " + ", ".join(f"round(quantile_cont(z, {1 - q}), 6) AS q{int(100 * q)}" for q in (0.01, 0.05, 0.25, 0.5, 0.75)) + " FROM s",
+    "event_score_summary": _SCORES + ", s AS (SELECT log2_p / n_grams AS z FROM scores) SELECT count(*) AS n, round(avg(z), 6) AS mean, round(stddev_pop(z), 6) AS sd, " + ", ".join(f"round(list_reverse_sort(list(z))[CAST(floor(count(*) * {q}) AS BIGINT) + 1], 6) AS q{round(100 * q)}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM s",
     "event_weakest_transition": _SCORES + ", r AS (SELECT user_id, pos, x, y, round(log2(CAST(p AS DOUBLE)), 9) AS lp, row_number() OVER (PARTITION BY user_id ORDER BY round(log2(CAST(p AS DOUBLE)), 9), pos) AS k FROM grams JOIN p USING (x, y)) SELECT user_id, pos, x, y, round(lp, 6) AS log_p FROM r WHERE k = 1",
     "event_distribution": "SELECT event_type AS symbol, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS freq FROM events GROUP BY event_type",
     "event_positional_dist": "WITH r AS (SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS pos, event_type AS symbol FROM events) SELECT pos, symbol, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY pos) AS DOUBLE), 6) AS freq FROM r GROUP BY pos, symbol",

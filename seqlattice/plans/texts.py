@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import morphology, patterns, prosody, syllables, tiers
 from ..functions.inventory import CLASS_OF, CODE, CONSONANTS, CONSTRAINTS, DIGRAPHS, MEMBERS, PHONEMES, TOKEN, VOWELS, clusters, cv_code, encoded
 from ..operators import constraints, distributions, ngrams, reports, rewriting
+from ..sources.storage import cut
 from ..sources.tables import lexicon, spoken, table, words_of
 
 
@@ -68,12 +69,12 @@ def phoneme_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phoneme_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = ngrams.ngram_counts(spoken(spark, sf_dir), F.col("tokens"), 2, F.col("n"))
+    counts = cut(ngrams.ngram_counts(spoken(spark, sf_dir), F.col("tokens"), 2, F.col("n")))
     return ngrams.pmi(counts, 2).select(F.col("ctx")[0].alias("x"), F.col("sym").alias("y"), "n", F.round("pmi", 6).alias("pmi"))
 
 
 def class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = ngrams.ngram_counts(spoken(spark, sf_dir), tiers.tier("natural_class")(F.col("tokens")), 2, F.col("n"))
+    counts = cut(ngrams.ngram_counts(spoken(spark, sf_dir), tiers.tier("natural_class")(F.col("tokens")), 2, F.col("n")))
     return ngrams.transition_matrix(counts).select(F.col("ctx")[0].alias("x"), F.col("sym").alias("y"), "n", F.round("p_smooth", 6).alias("p_smooth"), F.round("p_raw", 6).alias("p_raw"))
 
 

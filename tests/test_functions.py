@@ -1,11 +1,12 @@
 import itertools
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from seqlattice.functions import inventory, morphology, patterns, prosody, syllables, tiers
+from seqlattice.functions import inventory, morphology, patterns, prosody, significance, syllables, tiers
 from seqlattice.operators import constraints, rewriting
 
 
@@ -97,8 +98,14 @@ def test_pattern_counts(spark, pattern, word, n):
     assert sum(bool(re.compile(compiled.java).match(code, i)) for i in range(len(code) + 1)) == n
 
 
+@pytest.mark.parametrize("pattern, word, n", [("[C](#|[O])", "kat", 1), ("(#|[V])[T]", "kat", 2), ("(a|#b)", "baba", 3), ("[C]_[V]", "kat", 1), ("[V]_#", "ka", 1), ("#[V]", "kat", 0)])
+def test_edges_and_focus(spark, pattern, word, n):
+    compiled = patterns.compile_pattern(pattern)
+    assert spark.createDataFrame([(word,)], "w string").select(compiled.count(inventory.encoded(F.col("w")))).first()[0] == n
+
+
 def test_pattern_errors():
-    for bad in ("([C]", "[Cx", "qq", "&"):
+    for bad in ("([C]", "[Cx", "qq", "&", "[role=coda]", "[+nothing]"):
         with pytest.raises(ValueError):
             patterns.compile_pattern(bad)
 
@@ -154,3 +161,15 @@ def test_binomial():
     assert constraints.binomial_p(5, 10, 0.5) == pytest.approx(1.0)
     assert constraints.binomial_p(0, 10, 0.5) == pytest.approx(2 / 1024)
     assert constraints.binomial_p(0, 10, 0.0) == 1.0 and constraints.binomial_p(1, 10, 0.0) == 0.0
+    rng = random.Random(3)
+    for _ in range(200):
+        n, p = rng.randint(1, 60), rng.choice([rng.random(), 0.5])
+        k = rng.randint(0, n)
+        mass = [math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)]
+        assert constraints.binomial_p(k, n, p) == pytest.approx(min(1.0, sum(m for m in mass if m <= mass[k] * (1 + 1e-7))), rel=1e-6)
+    assert constraints.binomial_p(520_000, 1_000_000, 0.519) == pytest.approx(0.0453, abs=1e-4)
+
+
+def test_chi_square_tail():
+    for x, dof, p in ((3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (18.307038, 10, 0.05), (0.0, 4, 1.0)):
+        assert significance.chi_square_p(x, dof) == pytest.approx(p, abs=1e-6)

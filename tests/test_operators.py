@@ -1,9 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from seqlattice.operators import distributions, graph, mutations, ngrams, search
+from seqlattice.operators import constraints, distributions, graph, mutations, ngrams, search
 
 
 def _counts(spark, words, n=2, edges=True):
@@ -55,6 +56,58 @@ def test_rank_laws_recover_parameters():
     assert (a, b) == (pytest.approx(0.4, rel=1e-3), pytest.approx(1.1, rel=1e-3)) and r2 == pytest.approx(1.0)
 
 
+def test_rank_stats_equal_a_plain_ranking(spark):
+    rng = random.Random(4)
+    counts = [("g", f"s{i}", rng.choice([1, 1, 1, 2, 2, 5, 9, 30])) for i in range(60)] + [("h", "x", 4)]
+    out = {r.g: r for r in distributions.rank_stats(spark.createDataFrame(counts, "g string, symbol string, n long"), "g").collect()}
+    f = sorted((n for g, _, n in counts if g == "g"), reverse=True)
+    f = [n / sum(f) for n in f]
+    assert out["g"].top_share == pytest.approx(sum(f[:10])) and out["g"].h_bits == pytest.approx(-sum(x * math.log2(x) for x in f))
+    assert out["g"].p_geo == pytest.approx(1 / sum(r * x for r, x in enumerate(f, 1))) and out["g"].n_types == 60
+    assert (out["h"].h_rel, out["h"].top_share, out["h"].p_geo) == (1.0, 1.0, 1.0)
+
+
+def test_falling_values(spark):
+    rng = random.Random(5)
+    values = [rng.gauss(0, 1) for _ in range(500)] + [0.25] * 300 + [100.0]
+    shares = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.999)
+    falling = sorted(values, reverse=True)
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    assert {r.share: r.value for r in distributions.falling_values(rows, "v", shares).collect()} == {s: falling[int(len(values) * s)] for s in shares}
+    assert distributions.falling_values(rows.limit(0), "v", shares).count() == 0
+    assert distributions.falling_values(spark.createDataFrame([(2.0,)] * 3, "v double"), "v", (0.5,)).first().value == 2.0
+
+
+def test_rank_laws_of_all_ranks(spark):
+    import numpy as np
+
+    n = 1500
+    counts = [("g", f"s{r}", int(1e6 * 0.9 ** (r / 50))) for r in range(1, n + 1)]
+    out = {r.law: r for r in distributions.rank_laws(spark.createDataFrame(counts, "g string, symbol string, n long"), "g").collect()}
+    assert out["sigurd"].parameters[0] == pytest.approx(0.9 ** (1 / 50), rel=1e-3) and out["sigurd"].r2 > 0.999 and out["sigurd"].r2_log > 0.99
+    f = np.array([c for *_, c in counts]) / sum(c for *_, c in counts)
+    expected = np.array([(math.log(n + 1) - math.log(r)) / n for r in range(1, n + 1)])
+    assert out["borodovsky"].r2 == pytest.approx(1 - ((f - expected) ** 2).sum() / ((f - f.mean()) ** 2).sum())
+
+
+def test_gain_and_verdict_of_a_candidate(spark):
+    words = spark.createDataFrame([("pata", 50), ("kata", 40), ("mana", 30), ("asta", 1)], "word string, n long")
+    samples = spark.createDataFrame([(w,) for w in ["pata", "asta", "akta", "kapa", "apsa", "mana", "aspta", "tata"] * 5], "word string")
+    asked = [("cc", "*[C][C]", 1.0), ("final", "*[T]#", 1.0), ("tv", "*[T][V]", 1.0)]
+    rows = constraints.evaluated(words, "word", "n", samples, "word", asked).collect()
+    by = {r.name: r for r in rows}
+    assert [r.gain for r in rows] == sorted((r.gain for r in rows), reverse=True) and rows[0].name == "cc"
+    assert by["cc"].verdict == "avoided" and by["final"].verdict == "indistinct" and by["final"].gain == pytest.approx(0.0)
+    # the best weight of one constraint by search: 121 words of which one violates once, and 4 of 8 samples, one of them twice
+    best = max((-(w * 1 / 121) - math.log((4 + 3 * math.exp(-w) + math.exp(-2 * w)) / 8) - 0.01 / 2 * w * w / 121, w) for w in (i / 1000 for i in range(12000)))[1]
+    assert by["cc"].gain == pytest.approx(-best / 121 - math.log((4 + 3 * math.exp(-best) + math.exp(-2 * best)) / 8), abs=1e-5)
+
+
+def test_closure_at_any_depth(spark):
+    chain = _edges(spark, *((f"n{i}", f"n{i + 1}") for i in range(70)))
+    assert graph.closure(chain).count() == 70 * 71 // 2
+
+
 def test_yates(spark):
     cells = spark.createDataFrame([("a", "c", 10), ("a", "d", 20), ("b", "c", 30), ("b", "d", 5)], "x string, y string, n long")
     row = ngrams.chi_square(cells).first()
