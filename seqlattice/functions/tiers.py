@@ -43,3 +43,11 @@ def zipped(left: Column, right: Column, mark: str = "/") -> Column:
     """Two tiers joined pairwise; empty where their lengths differ."""
     both = F.zip_with(left, right, lambda a, b: F.concat_ws(mark, a, b))
     return F.when(F.size(left) == F.size(right), both).otherwise(F.array().cast("array<string>"))
+
+
+def sequence_offsets(symbols: Column, form: Column) -> Column:
+    """Letters before each place where the sounds ``form`` begin in ``symbols``, whole sounds only."""
+    places = F.sequence(F.lit(1), F.size(symbols) - F.size(form) + 1)
+    hits = F.filter(places, lambda i: F.slice(symbols, i, F.size(form)) == form)
+    found = F.transform(hits, lambda i: F.length(F.concat_ws("", F.slice(symbols, F.lit(1), i - 1))))
+    return F.when((F.size(form) > 0) & (F.size(form) <= F.size(symbols)), found).otherwise(F.array().cast("array<int>"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import cut
@@ -105,3 +105,16 @@ def issues(words: DataFrame, covers: DataFrame, closed: DataFrame | None = None)
     cycles = on_cycle(closed).select(F.col("node").alias("id"), F.col("node").alias("ref"))
     extra = redundant(covers, closed).select(F.col("child").alias("id"), F.col("parent").alias("ref"))
     return issue(gone, "DANGLING_REFERENCE", "error").unionByName(issue(twins, "DUPLICATE_ENTRY_IN_CATEGORY", "warning")).unionByName(issue(cycles, "CYCLE", "error")).unionByName(issue(extra, "REDUNDANT_COVER", "error"))
+
+
+def contexts(closed: DataFrame, limit: int = 50) -> DataFrame:
+    """(node, direction, n, first, truncated): how many nodes lie above and below each, the nearest ``limit``, and whether more do.
+
+    A node's list is ranked before it is gathered, so no list is longer than ``limit``.
+    """
+    up = closed.select(F.col("child").alias("node"), F.lit("up").alias("direction"), F.col("ancestor").alias("other"), "depth")
+    down = closed.select(F.col("ancestor").alias("node"), F.lit("down").alias("direction"), F.col("child").alias("other"), "depth")
+    both = up.unionByName(down)
+    place = F.row_number().over(Window.partitionBy("node", "direction").orderBy("depth", "other"))
+    first = both.withColumn("place", place).filter(F.col("place") <= limit).groupBy("node", "direction").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"]).alias("first"))
+    return both.groupBy("node", "direction").agg(F.count("*").alias("n")).join(first, ["node", "direction"]).withColumn("truncated", F.col("n") > limit)

@@ -74,6 +74,35 @@ def pmi(counts: DataFrame, least: int = 1) -> DataFrame:
     return joined.select("ctx", "sym", "n", "n_ctx", "n_sym", F.when(F.col("n") >= least, value).alias("pmi"))
 
 
+def pmi_extremes(counts: DataFrame, least: int = 2, top: int = 30) -> DataFrame:
+    """(side, place, ctx, sym, n, pmi): the ``top`` strongest and weakest pairs that occur ``least`` times; ties by symbols."""
+    known = pmi(counts, least).filter("pmi IS NOT NULL").select("ctx", "sym", "n", "pmi")
+
+    def side(name: str, order: Column) -> DataFrame:
+        picked = known.orderBy(order, "ctx", "sym").limit(top)
+        return picked.select(F.lit(name).alias("side"), F.row_number().over(Window.orderBy(order, "ctx", "sym")).alias("place"), "ctx", "sym", "n", "pmi")
+
+    return side("top", F.round("pmi", 9).desc()).unionByName(side("bottom", F.round("pmi", 9).asc()))
+
+
+def feature_agreement(triples: DataFrame, features: dict[str, dict[str, str]], least: int = 10, margin: float = 0.1) -> DataFrame:
+    """(c, feature, n, agreement, chance, mark) of counted triples (u, c, v): how often both sides have one value of a feature.
+
+    ``chance`` is that of two independent draws from all sides; the mark is + or - where the two differ by more than
+    ``margin``.  A middle with fewer than ``least`` triples is left out.
+    """
+    spark = triples.sparkSession
+    values = F.broadcast(spark.createDataFrame([(f, x, v) for f, of in features.items() for x, v in of.items()], "feature string, x string, value string"))
+    sides = triples.select(F.explode(F.array("u", "v")).alias("x"), "n").groupBy("x").agg(F.sum("n").alias("n"))
+    shares = sides.join(values, "x").groupBy("feature", "value").agg(F.sum("n").cast("double").alias("n"))
+    chance = shares.groupBy("feature").agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("chance"))
+    left, right = values.withColumnsRenamed({"x": "u", "value": "__u"}), values.withColumnsRenamed({"x": "v", "value": "__v"})
+    met = triples.join(left, "u").join(right, ["feature", "v"]).groupBy("c", "feature").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("__u") == F.col("__v"), F.col("n")).otherwise(0)).alias("same"))
+    away = F.col("agreement") - F.col("chance")
+    out = met.filter(F.col("n") >= least).join(chance, "feature").withColumn("agreement", F.col("same") / F.col("n"))
+    return out.select("c", "feature", "n", "agreement", "chance", F.when(away > margin, "+").when(away < -margin, "-").otherwise("").alias("mark"))
+
+
 def entropies(counts: DataFrame) -> DataFrame:
     """One row: h, h_cond, mi and redundancy in bits."""
     total = counts.agg(F.sum("n").cast("double").alias("total"))

@@ -48,6 +48,12 @@ def geo_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(geo_covers(spark, sf_dir)).select("child", "ancestor", F.col("depth").cast("long").alias("depth"))
 
 
+def geo_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies above and below each node: how much, and the nearest five."""
+    found = graph.contexts(graph.closure(geo_covers(spark, sf_dir)), 5)
+    return found.select("node", "direction", "n", F.array_join("first", ",").alias("first"), "truncated")
+
+
 def geo_redundant_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.redundant(geo_covers(spark, sf_dir, shortcuts=True))
 
@@ -158,7 +164,7 @@ def patched_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    geo_closure, geo_redundant_edges, geo_issues, geo_category_stats, geo_child_counts, geo_disjointness, dangling_refs, part_search, part_neighbours, part_similar, word_neighbours, prefix_covers, customer_changes,
+    geo_closure, geo_context, geo_redundant_edges, geo_issues, geo_category_stats, geo_child_counts, geo_disjointness, dangling_refs, part_search, part_neighbours, part_similar, word_neighbours, prefix_covers, customer_changes,
     template_similarity, patched_geo,
 )}
 
@@ -176,6 +182,10 @@ def _closure(edges: str, name: str = "closed") -> str:
 
 ORACLES = {
     "geo_closure": f"WITH RECURSIVE {_EDGES}, up AS (SELECT child, parent AS ancestor, 1 AS depth FROM edges UNION ALL SELECT up.child, e.parent, depth + 1 FROM up JOIN edges e ON e.child = up.ancestor) SELECT child, ancestor, CAST(min(depth) AS BIGINT) AS depth FROM up GROUP BY 1, 2",
+    "geo_context": f"""WITH RECURSIVE {_EDGES}, up AS (SELECT child, parent AS ancestor, 1 AS depth FROM edges UNION ALL SELECT up.child, e.parent, depth + 1 FROM up JOIN edges e ON e.child = up.ancestor),
+      c AS (SELECT child, ancestor, min(depth) AS depth FROM up GROUP BY 1, 2), b AS (SELECT child AS node, 'up' AS direction, ancestor AS other, depth FROM c UNION ALL SELECT ancestor, 'down', child, depth FROM c),
+      r AS (SELECT *, row_number() OVER (PARTITION BY node, direction ORDER BY depth, other) AS place, count(*) OVER (PARTITION BY node, direction) AS n FROM b)
+      SELECT node, direction, n, string_agg(other, ',' ORDER BY place) AS first, n > 5 AS truncated FROM r WHERE place <= 5 GROUP BY node, direction, n""",
     "geo_redundant_edges": f"WITH RECURSIVE {_EDGES}, {_SHORT}, {_closure('short')} SELECT DISTINCT s.child, s.parent FROM short s WHERE EXISTS (SELECT 1 FROM short v JOIN closed c ON c.child = v.parent WHERE v.child = s.child AND v.parent <> s.parent AND c.ancestor = s.parent)",
     "geo_issues": f"""WITH RECURSIVE {_EDGES}, {_SHORT}, {_WORDS}, live AS (SELECT * FROM words WHERE NOT (id LIKE 'n%' AND TRY_CAST(substr(id, 2) AS INT) % 7 = 3)), {_closure('short')}
       SELECT 'DANGLING_REFERENCE' AS code, 'error' AS severity, child AS id, parent AS ref FROM short WHERE parent NOT IN (SELECT id FROM live)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import morphology, patterns, prosody, syllables, tiers
-from ..functions.inventory import CLASS_OF, CODE, CONSONANTS, CONSTRAINTS, DIGRAPHS, MEMBERS, PHONEMES, TOKEN, VOWELS, clusters, cv_code, encoded
+from ..functions.inventory import CLASS_OF, CODE, CONSONANTS, CONSTRAINTS, DIGRAPHS, FUSION, MEMBERS, PHONEMES, TOKEN, VOWELS, clusters, cv_code, encoded
 from ..operators import constraints, distributions, ngrams, reports, rewriting
 from ..sources.storage import cut
 from ..sources.tables import lexicon, spoken, table, words_of
@@ -73,6 +73,43 @@ def phoneme_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.pmi(counts, 2).select(F.col("ctx")[0].alias("x"), F.col("sym").alias("y"), "n", F.round("pmi", 6).alias("pmi"))
 
 
+def phoneme_pmi_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 30 strongest and the 30 weakest pairs of sounds."""
+    counts = cut(ngrams.ngram_counts(spoken(spark, sf_dir), F.col("tokens"), 2, F.col("n")))
+    return ngrams.pmi_extremes(counts).select("side", F.col("place").cast("long").alias("place"), F.col("ctx")[0].alias("x"), F.col("sym").alias("y"), "n", F.round("pmi", 6).alias("pmi"))
+
+
+#: What vowels are compared by.
+_VOWEL_FEATURES = {k: {p: "+" if PHONEMES[p].get(k) else "-" for p in VOWELS} for k in ("high", "low", "back", "round", "central")}
+
+
+def vowel_feature_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the vowels on both sides of a consonant agree in a feature, against chance."""
+    grams = ngrams.ngram_counts(spoken(spark, sf_dir), F.col("tokens"), 3, F.col("n"), edges=False).select(F.col("ctx")[0].alias("u"), F.col("ctx")[1].alias("c"), F.col("sym").alias("v"), "n")
+    triples = cut(grams.filter(F.col("u").isin(*VOWELS) & F.col("v").isin(*VOWELS) & F.col("c").isin(*CONSONANTS)))
+    return ngrams.feature_agreement(triples, _VOWEL_FEATURES).select("c", "feature", "n", F.round("agreement", 6).alias("agreement"), F.round("chance", 6).alias("chance"), "mark")
+
+
+def top10_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each language the ten most frequent letters: their tokens among all words, and words of nothing else."""
+    words = lexicon(spark, sf_dir)
+    letters = words.select("lang", F.explode(F.split("word", "")).alias("symbol"), "n").groupBy("lang", "symbol").agg(F.sum("n").alias("n"))
+    top = cut(letters.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "symbol"))).filter("place <= 10"))
+    sets = top.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_list("symbol")), "").alias("letters"), F.sum("n").alias("tokens"))
+    whole = words.groupBy("lang").agg(F.sum("n").alias("words")).join(sets, "lang").select("lang", F.lit("truncate").alias("mode"), "letters", "words", "tokens")
+    only = words.join(sets.drop("tokens"), "lang").filter(F.expr("translate(word, letters, '') = ''"))
+    kept = only.groupBy("lang", "letters").agg(F.sum("n").alias("words"), F.sum(F.length("word") * F.col("n")).alias("tokens"))
+    return whole.unionByName(kept.select("lang", F.lit("only").alias("mode"), "letters", "words", "tokens"))
+
+
+def sequence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where registered sequences of sounds stand in words: whole sounds, so that c is not found in tc."""
+    asked = [("c", ["c"]), ("t", ["t"]), ("an", ["a", "n"]), ("tsa", ["ts", "a"])]
+    forms = F.array(*(F.struct(F.lit(k).alias("form"), F.array(*map(F.lit, v)).alias("sounds")) for k, v in asked))
+    rows = spoken(spark, sf_dir).select("word", "n", "tokens", F.explode(forms).alias("f")).select("word", "n", F.col("f.form").alias("form"), tiers.sequence_offsets(F.col("tokens"), F.col("f.sounds")).alias("at"))
+    return rows.filter(F.size("at") > 0).select("word", "n", "form", F.array_join(F.transform("at", lambda i: i.cast("string")), ",").alias("offsets"))
+
+
 def class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cut(ngrams.ngram_counts(spoken(spark, sf_dir), tiers.tier("natural_class")(F.col("tokens")), 2, F.col("n")))
     return ngrams.transition_matrix(counts).select(F.col("ctx")[0].alias("x"), F.col("sym").alias("y"), "n", F.round("p_smooth", 6).alias("p_smooth"), F.round("p_raw", 6).alias("p_raw"))
@@ -186,7 +223,7 @@ def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    word_rank_stats, lang_js_divergence, lang_summary_ratios, cv_clusters, cv_counts, phoneme_tokenise, phoneme_distribution, phoneme_bigrams, class_bigrams, vowel_harmony, pattern_count,
+    word_rank_stats, lang_js_divergence, lang_summary_ratios, cv_clusters, cv_counts, phoneme_tokenise, phoneme_distribution, phoneme_bigrams, phoneme_pmi_extremes, vowel_feature_agreement, top10_variants, sequence_hits, class_bigrams, vowel_harmony, pattern_count,
     constraint_violations, harmony_rank, word_ipa, syllable_shapes, rewrite_corrections, join_forms, word_audit, affix_seams, candidate_words, default_falls, stimulus_cells, maxent_weights, constraint_evaluation, rank_laws_letters, page_markers,
 )}
 
@@ -233,7 +270,42 @@ a AS (SELECT c, u AS x, sum(n) AS nu FROM vcv GROUP BY 1, 2), b AS (SELECT c, v
 ind AS (SELECT c, sum(CAST(nu AS DOUBLE) * nv / (CAST(t AS DOUBLE) * t)) AS i FROM a JOIN b USING (c, x) JOIN t USING (c) GROUP BY c)
 SELECT c, CAST(t AS BIGINT) AS n, round(e / CAST(t AS DOUBLE), 6) AS equal, round(coalesce(i, 0), 6) AS independent FROM t LEFT JOIN ind USING (c)"""
 
+_FUSED = {pair: chr(0xE000 + i) for i, pair in enumerate(FUSION)}  # one character for each pair that has fused
+_PLOSIVES, _NASALS = _set(MEMBERS["T"]), _set(MEMBERS["N"])
+_FUSE = "list_reduce(list_prepend('', string_split(code, '')), lambda a, x: CASE " + " ".join(f"WHEN right(a, 1) || x = '{k}' THEN left(a, length(a) - 1) || '{v}'" for k, v in _FUSED.items()) + " ELSE a || x END)"
+
+
+def _sounds(code: str) -> str:
+    for c, sound in [*((CODE[p], f["ipa"]) for p, f in PHONEMES.items() if p in DIGRAPHS), *((v, FUSION[k]) for k, v in _FUSED.items())]:
+        code = f"replace({code}, '{c}', '{sound}')"
+    return code
+
+
+_PLAIN_IPA = {p: f["ipa"] for p, f in PHONEMES.items() if p not in DIGRAPHS and f["ipa"] != p}
+_IPA = f"""WITH {_SPOKEN}, e AS (SELECT word, n, {_code('word')} AS code FROM spoken),
+p AS (SELECT word, n, CASE WHEN regexp_matches(code, '(^|[^{_set(CONSONANTS)}])[{_PLOSIVES}]$') THEN left(code, length(code) - 1) WHEN regexp_matches(code, '[{_NASALS}][{_PLOSIVES}]$') THEN left(code, length(code) - 2) ELSE code END AS code,
+  CASE WHEN regexp_matches(code, '(^|[^{_set(CONSONANTS)}]|[{_NASALS}])[{_PLOSIVES}]$') THEN 'ʔ' ELSE '' END AS stop FROM e),
+f AS (SELECT word, n, stop, coalesce({_FUSE}, '') AS code FROM p)
+SELECT word, n, {_sounds(f"translate(code, '{''.join(_PLAIN_IPA)}', '{''.join(_PLAIN_IPA.values())}')")} || stop AS ipa FROM f"""
+_VCV = f"g AS (SELECT tokens[i] AS u, tokens[i + 1] AS c, tokens[i + 2] AS v, n FROM (SELECT tokens, n, unnest(range(1, len(tokens) - 1)) AS i FROM spoken)), vcv AS (SELECT u, c, v, sum(n) AS n FROM g WHERE u IN {VOWELS} AND v IN {VOWELS} AND c IN {CONSONANTS} GROUP BY 1, 2, 3)"
+_FEATURE_ROWS = "feats(feature, x, value) AS (VALUES " + ", ".join(f"('{k}', '{x}', '{v}')" for k, of in _VOWEL_FEATURES.items() for x, v in of.items()) + ")"
+
 ORACLES = {
+    "word_ipa": _IPA,
+    "phoneme_pmi_extremes": f"""WITH {_SPOKEN}, {_GRAMS.format('tokens')}, m AS (SELECT x, y, n, log2(CAST(n AS DOUBLE) * sum(n) OVER () / (CAST(sum(n) OVER (PARTITION BY x) AS DOUBLE) * sum(n) OVER (PARTITION BY y))) AS pmi FROM counts),
+      r AS (SELECT *, row_number() OVER (ORDER BY round(pmi, 9) DESC, x, y) AS a, row_number() OVER (ORDER BY round(pmi, 9), x, y) AS b FROM m WHERE n >= 2)
+      SELECT 'top' AS side, a AS place, x, y, n, round(pmi, 6) AS pmi FROM r WHERE a <= 30 UNION ALL SELECT 'bottom', b, x, y, n, round(pmi, 6) FROM r WHERE b <= 30""",
+    "vowel_feature_agreement": f"""WITH {_SPOKEN}, {_VCV}, {_FEATURE_ROWS}, sides AS (SELECT x, sum(n) AS n FROM (SELECT u AS x, n FROM vcv UNION ALL SELECT v, n FROM vcv) GROUP BY x),
+      s AS (SELECT feature, value, CAST(sum(n) AS DOUBLE) AS n FROM sides JOIN feats USING (x) GROUP BY 1, 2), chance AS (SELECT feature, sum(n * n) / (sum(n) * sum(n)) AS chance FROM s GROUP BY feature),
+      m AS (SELECT c, a.feature, sum(n) AS n, sum(CASE WHEN a.value = b.value THEN n ELSE 0 END) AS same FROM vcv JOIN feats a ON a.x = u JOIN feats b ON b.x = v AND b.feature = a.feature GROUP BY 1, 2)
+      SELECT c, feature, CAST(n AS BIGINT) AS n, round(same / CAST(n AS DOUBLE), 6) AS agreement, round(chance, 6) AS chance, CASE WHEN same / CAST(n AS DOUBLE) - chance > 0.1 THEN '+' WHEN same / CAST(n AS DOUBLE) - chance < -0.1 THEN '-' ELSE '' END AS mark FROM m JOIN chance USING (feature) WHERE n >= 10""",
+    "top10_variants": f"""WITH {_LEX}, l AS (SELECT lang, symbol, sum(n) AS n FROM (SELECT lang, unnest(string_split(word, '')) AS symbol, n FROM lex) GROUP BY 1, 2),
+      t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, symbol) AS r FROM l) WHERE r <= 10), s AS (SELECT lang, string_agg(symbol, '' ORDER BY symbol) AS letters, sum(n) AS tokens FROM t GROUP BY lang)
+      SELECT lang, 'truncate' AS mode, letters, CAST(sum(n) AS BIGINT) AS words, CAST(any_value(tokens) AS BIGINT) AS tokens FROM lex JOIN s USING (lang) GROUP BY lang, letters
+      UNION ALL SELECT lang, 'only', letters, CAST(sum(n) AS BIGINT), CAST(sum(n * length(word)) AS BIGINT) FROM lex JOIN s USING (lang) WHERE len(list_filter(string_split(word, ''), lambda c: NOT contains(letters, c))) = 0 GROUP BY lang, letters""",
+    "sequence_hits": f"""WITH {_SPOKEN}, f(form, sounds) AS (VALUES ('c', ['c']), ('t', ['t']), ('an', ['a', 'n']), ('tsa', ['ts', 'a'])),
+      h AS (SELECT word, n, form, list_transform(list_filter(range(1, len(tokens) - len(sounds) + 2), lambda i: array_to_string(tokens[i:i + len(sounds) - 1], ' ') = array_to_string(sounds, ' ')), lambda i: length(array_to_string(tokens[1:i - 1], ''))) AS places FROM spoken, f)
+      SELECT word, n, form, array_to_string(places, ',') AS offsets FROM h WHERE len(places) > 0""",
     "word_rank_stats": f"""WITH {_LEX}, r AS (SELECT lang, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r, n / CAST(sum(n) OVER (PARTITION BY lang) AS DOUBLE) AS f FROM lex)
       SELECT lang, count(*) AS n_types, CAST(sum(n) AS BIGINT) AS n_tokens, round(sum(CASE WHEN r <= 10 THEN f ELSE 0 END), 6) AS top_share, round(max(f), 6) AS top1, round(-sum(f * log2(f)), 6) AS h_bits, round(-sum(f * log2(f)) / log2(count(*)), 6) AS h_rel, round(1 / sum(r * f), 9) AS p_geo FROM r GROUP BY lang""",
     "lang_js_divergence": f"""WITH {_LEX}, c AS (SELECT 'word' AS unit, lang, word AS symbol, n FROM lex UNION ALL SELECT 'letter', lang, symbol, sum(n) FROM (SELECT lang, n, unnest(string_split(word, '')) AS symbol FROM lex) GROUP BY lang, symbol),
