@@ -7,7 +7,9 @@ of the document inside a band, again behind a match's end as far as the part goe
 
 The index is broadcast; its size is that of the templates, which are a parameter of at most ``MOST_WORDS`` words.
 
-Defined cases: null and empty texts have no matches; repeated rows are scanned each by itself.
+Defined cases: null and empty texts have no matches; repeated rows are scanned each by itself; an empty table gives no
+rows.  Of matches that overlap one stays: that of more matched words, then of more coverage, then by name and place.  Only
+the id and text columns are read, so other columns can't clash.  A text of any length is scanned whole, in one task.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ that begins and ends inside it; of its first and last key it returns the rows an
 for each range, and these are put together afterwards.
 
 Defined cases: a null text counts as empty (one empty line).  Rows of one document id count as one document; a null
-id is a document smaller than all others.  Rows that repeat wholly get the same result each.
+id is a document smaller than all others.  Rows that repeat wholly get the same result each.  An empty table gives no
+rows.  Columns of any name pass through; one named ``__lines`` gives way to the result.  A text of any length is hashed
+whole, in one task; its lines are then rows of their own.
 """
 
 from __future__ import annotations
@@ -172,11 +174,7 @@ def _kept_lines(raw: pd.Series, bitmap: pd.Series) -> pd.DataFrame:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with a struct column ``__lines`` of the kept text, the lines before and the lines dropped."""
-    doc, tx = _identity(F.col(id_col), F.col(text_col))
-    keyed = docs.withColumns({"__doc": doc, "__tx": tx})
-    found = bitmaps.select(F.col("doc").alias("__doc"), F.col("tx").alias("__tx"), F.col("bitmap").alias("__bits"), F.col("n_dropped").alias("__dropped"))
-    joined = keyed.join(found, ["__doc", "__tx"], "left")
-    lines = _kept_lines(text_bytes(F.col(text_col)), F.col("__bits"))
-    return joined.withColumn("__kept", lines).withColumn(
-        "__lines", F.struct(F.col("__kept.text").alias("text"), F.col("__kept.n_lines").alias("n_lines"), F.coalesce("__dropped", F.lit(0).cast("long")).alias("n_dropped"))
-    ).drop("__doc", "__tx", "__bits", "__dropped", "__kept")
+    row = F.struct(*(F.col(c) for c in docs.columns if c != "__lines")).alias("row")
+    keyed = docs.select(row, *_identity(F.col(id_col), F.col(text_col)), text_bytes(F.col(text_col)).alias("raw"))
+    joined = keyed.join(bitmaps, ["doc", "tx"], "left").withColumn("kept", _kept_lines(F.col("raw"), F.col("bitmap")))
+    return joined.select("row.*", F.struct("kept.text", "kept.n_lines", F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped")).alias("__lines"))

@@ -12,7 +12,8 @@ stretches each task sends one on.  The unequal stretches of one minimizer go to
 them; of a larger group every window is dealt out by a 128-bit hash, equal ones of a task as one row.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` stay as they are.  Rows that repeat wholly are
-copies of each other like any other copies.
+copies of each other like any other copies.  An empty table gives no rows.  Only the id and text columns are read, so
+other columns can't clash.  A text of any length is read whole, in one task, and sent on in stretches.
 """
 
 from __future__ import annotations

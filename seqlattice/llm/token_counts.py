@@ -7,7 +7,9 @@ most).  Second tier: what is not in the table is encoded by the library and kept
 shuffled beyond those bounded tables, and neither tier changes a count.
 
 Defined cases: a null text counts as empty (no tokens).  The vocabulary's special strings inside a text are what the
-library makes of them by default: one token each.
+library makes of them by default: one token each.  Repeated rows are counted each by itself; an empty table gives no rows.
+Of equally frequent pieces any may be in the table.  Only the id and text columns are read, so other columns can't clash.
+A text of any length is counted whole, in one task.
 """
 
 from __future__ import annotations

@@ -36,7 +36,9 @@ def _all_operators(docs, benchmark):
 
 @pytest.mark.parametrize("name", ["lines", "passages", "quality", "tokens", "leaks", "pieces", "suffixes", "near", "licences"])
 def test_nulls_ties_empty_and_repeated_rows(spark, name):
-    rows = _docs(spark, *EDGE).unionByName(_docs(spark, "word", None, ids=[4, None]))
+    long = " ".join(f"word{i * i % 40009}" for i in range(60_000))
+    rows = _docs(spark, *EDGE, long).unionByName(_docs(spark, "word", None, ids=[4, None]))
+    rows = rows.withColumns({c: F.lit(1) for c in ("raw", "h", "t1", "t2", "key", "rep", "root", "tx", "doc", "row", "n_words", "script", "__lines", "a", "b")})
     benchmark = spark.createDataFrame([(1, "same text same text"), (None, "word"), (3, None)], "item_id long, text string")
     out = _all_operators(rows, benchmark)[name]()
     n = len(out.collect())
