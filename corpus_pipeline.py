@@ -1,7 +1,8 @@
 """From raw documents to sampled token sequences, in five stages; each works on all that the one before kept.
 
 ``run`` writes each stage's result as Parquet to the shared folder and reads it again as the next one's documents.  All
-stages but the last return the columns of their input.  SQL can't express the first stage (a tokenizer's figures) or the
+stages but the last return the columns of their input, whatever further columns there are and however they are named;
+they take empty tables, null and very long texts and repeated rows.  SQL can't express the first stage (a tokenizer's figures) or the
 last (a sampler), so there is no SQL for the whole; the tests hold each stage against a plain version.
 """
 
@@ -33,10 +34,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text stays null; a text that loses all of its lines is empty.
     """
-    kept = line_dedup.apply_bitmaps(docs, line_dedup.line_dedup(docs))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    kept = line_dedup.apply_bitmaps(rows, line_dedup.line_dedup(docs))
     text = F.when(F.col("text").isNotNull(), F.col("__lines.text"))
     new = {"text": text, "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "bigint"))}
-    return kept.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    return kept.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +56,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.col("__n_hit") == 0).select(*docs.columns)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), {"kept": F.struct(*docs.columns)})
+    return found.filter(F.col("__n_hit") == 0).select("kept.*")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
