@@ -175,6 +175,6 @@ def _kept_lines(raw: pd.Series, bitmap: pd.Series) -> pd.DataFrame:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with a struct column ``__lines`` of the kept text, the lines before and the lines dropped."""
     row = F.struct(*(F.col(c) for c in docs.columns if c != "__lines")).alias("row")
-    keyed = docs.select(row, *_identity(F.col(id_col), F.col(text_col)), text_bytes(F.col(text_col)).alias("raw"))
-    joined = keyed.join(bitmaps, ["doc", "tx"], "left").withColumn("kept", _kept_lines(F.col("raw"), F.col("bitmap")))
+    keyed = docs.select(row, *_identity(F.col(id_col), F.col(text_col)))
+    joined = keyed.join(bitmaps, ["doc", "tx"], "left").withColumn("kept", _kept_lines(text_bytes(F.col("row")[text_col]), F.col("bitmap")))
     return joined.select("row.*", F.struct("kept.text", "kept.n_lines", F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped")).alias("__lines"))
