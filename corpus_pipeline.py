@@ -34,11 +34,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text stays null; a text that loses all of its lines is empty.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.struct(F.lit(None).alias("__"), *others).alias("row"), "doc_id", "text")
     kept = line_dedup.apply_bitmaps(rows, line_dedup.line_dedup(docs))
     text = F.when(F.col("text").isNotNull(), F.col("__lines.text"))
     new = {"text": text, "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "bigint"))}
-    return kept.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
+    return kept.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) if c in others else F.col(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
