@@ -197,15 +197,15 @@ def stimulus_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def maxent_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spoken(spark, sf_dir)
+    words = cut(spoken(spark, sf_dir))
     asked = [("ccc", "*[C][C][C]", 1.0), ("final_t", "*[T]#", 1.0), ("vv", "*[V][V]", 1.0), CONSTRAINTS[2]]
-    return constraints.maxent(words, "word", "n", constraints.baseline(words, "tokens", "n", 4000), "word", asked)
+    return constraints.maxent(words, "word", "n", cut(constraints.baseline(words, "tokens", "n", 4000)), "word", asked)
 
 
 def constraint_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of classes at three places, against random words of the same skeletons."""
-    words = spoken(spark, sf_dir)
-    return constraints.evaluated(words, "word", "n", constraints.baseline(words, "tokens", "n", 4000), "word", constraints.candidates())
+    words = cut(spoken(spark, sf_dir))
+    return constraints.evaluated(words, "word", "n", cut(constraints.baseline(words, "tokens", "n", 4000)), "word", constraints.candidates())
 
 
 def rank_laws_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
