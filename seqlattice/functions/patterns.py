@@ -16,24 +16,29 @@ from pyspark.sql import functions as F
 
 from .inventory import CODE, MEMBERS, PHONEMES, split
 
-_FEATURES = frozenset(k for f in PHONEMES.values() for k in f)
-_TEST = re.compile(r"(!?)([+-]?)([a-z]+)(?:(!=|>=|<=|=|>|<)([a-z0-9]+))?$")
+FEATURES = frozenset(k for f in PHONEMES.values() for k in f)
+_TEST = re.compile(r"(!?)([+-]?)([a-z_]+)(?:(!=|>=|<=|=|>|<)([A-Za-z0-9_.]+))?$")
 
 
-def test(spec: str, features: dict) -> bool:
-    """Whether features pass a test.  A missing feature is neither + nor -; ``!`` turns a failed test into a passed one."""
+def parse_test(spec: str) -> tuple:
+    """(negate, sign, name, op, value) of a feature test."""
     m = _TEST.match(spec)
     if not m:
         raise ValueError(f"not a feature test: {spec!r}")
-    negate, sign, name, op, value = m.groups()
-    if name not in _FEATURES and name not in features:
+    return m.groups()
+
+
+def test(spec: str, features: dict) -> bool:
+    """Whether features pass a test.  A missing feature is neither + nor - and differs from every value; ``!`` turns a failed test into a passed one."""
+    negate, sign, name, op, value = parse_test(spec)
+    if name not in FEATURES and name not in features:
         raise ValueError(f"no sound has the feature {name!r}")
     have = features.get(name)
     if sign:
         passed = have is (sign == "+")
     elif op in ("=", "!="):
         text = str(have).lower() if isinstance(have, bool) else str(have)
-        passed = have is not None and (text == value) == (op == "=")
+        passed = (have is not None and text == value) == (op == "=")
     elif op:
         number = have is not None and not isinstance(have, bool) and isinstance(have, int | float)
         passed = number and {">": have > float(value), "<": have < float(value), ">=": have >= float(value), "<=": have <= float(value)}[op]

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .inventory import CLASS_OF, PHONEMES, mapped
+from . import prosody
+from .inventory import CLASS_OF, PHONEMES, SCALES, mapped
+from .marked import spelling
 
 Tier = Callable[[Column], Column]
 
@@ -29,6 +32,39 @@ TIERS: dict[str, Tier] = {
 }
 
 
+def _classes(part: Column) -> Column:
+    return F.array_join(mapped(part, CLASS_OF, "?"), "")
+
+
+def _weight(scale: str, syllable: Column) -> Column:
+    return prosody.weight(prosody.morae(syllable, scale))
+
+
+def _mora(scale: str, syllable: Column) -> Column:
+    return prosody.morae(syllable, scale).cast("string")
+
+
+def _each(of: Callable[[Column], Column]) -> Tier:
+    return lambda syllables: F.transform(syllables, lambda s: of(s))
+
+
+#: What a divided word's syllables are projected to: functions of an array of (onset, nucleus, coda).
+SYLLABLE_TIERS: dict[str, Tier] = {
+    "syllable": _each(spelling),
+    "syllable_shape": _each(prosody.shape),
+    "syllable_class_shape": _each(lambda s: F.concat_ws("-", _classes(s["onset"]), _classes(s["nucleus"]), _classes(s["coda"]))),
+    "onset_shape": _each(lambda s: F.when(F.size(s["onset"]) == 0, "∅").otherwise(_classes(s["onset"]))),
+    "coda_shape": _each(lambda s: F.when(F.size(s["coda"]) == 0, "∅").otherwise(_classes(s["coda"]))),
+    **{f"weight:{k}": _each(partial(_weight, k)) for k in SCALES},
+    **{f"mora:{k}": _each(partial(_mora, k)) for k in SCALES},
+}
+
+
+def accent(column: Column) -> Column:
+    """The accent tier: its letters, none where there is no accent."""
+    return F.when(F.length(column) > 0, F.split(column, "")).otherwise(F.array().cast("array<string>"))
+
+
 def tier(name: str) -> Tier:
     """A tier by name; ``feature:x`` projects to any feature."""
     kind, _, rest = name.partition(":")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import morphology, patterns, prosody, syllables, tiers
-from ..functions.inventory import CLASS_OF, CODE, CONSONANTS, CONSTRAINTS, DIGRAPHS, FUSION, MEMBERS, PHONEMES, TOKEN, VOWELS, clusters, cv_code, encoded
+from ..functions import marked, morphology, patterns, prosody, syllables, tiers
+from ..functions.inventory import CLASS_OF, CODA_PAIRS, CODE, CONSONANTS, CONSTRAINTS, DIGRAPHS, FUSION, MEMBERS, NUCLEUS_PAIRS, ONSET_PAIRS, PHONEMES, TOKEN, VOWELS, clusters, cv_code, encoded
 from ..operators import constraints, distributions, ngrams, reports, rewriting
 from ..sources.storage import cut
 from ..sources.tables import lexicon, spoken, table, words_of
@@ -155,6 +155,35 @@ def syllable_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.groupBy(prosody.shape(F.col("s")).alias("shape"), prosody.weight(prosody.morae(F.col("s"))).alias("rime_weight"), prosody.weight(prosody.morae(F.col("s"), "onset_sensitive")).alias("onset_weight")).agg(F.sum("n").alias("n"))
 
 
+def _divided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, n, s): the words that can be divided, with their syllables."""
+    return _spread(spoken(spark, sf_dir)).select("word", "n", syllables.syllables(F.col("word"))["syllables"].alias("s")).filter("s is not null")
+
+
+def syllable_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distribution of every syllable tier's symbols."""
+    tagged = F.array(*(F.struct(F.lit(name).alias("tier"), t(F.col("s")).alias("symbols")) for name, t in tiers.SYLLABLE_TIERS.items()))
+    rows = _divided(spark, sf_dir).select("n", F.explode(tagged).alias("t")).select("n", F.col("t.tier").alias("tier"), F.explode("t.symbols").alias("symbol"))
+    counted = rows.groupBy("tier", "symbol").agg(F.sum("n").alias("n"))
+    return counted.select("tier", "symbol", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("tier")), 6).alias("freq"))
+
+
+#: (name, tier, pattern) of ``pattern_syllable_count``.
+_MARKED = [
+    ("coda before onset", "segment", "[C].[C]"), ("open before onset", "segment", "[V].[C]"), ("across syllables", "segment", "*[C][C][C]"), ("final coda", "segment", "[role=coda]#"),
+    ("penult nucleus", "segment", "[+syl,role=nucleus,penult=true]"), ("second of an onset", "segment", "[role=onset,role_index>=1]"), ("superheavy", "syllable", "[weight=superheavy]"), ("two open at the end", "syllable", "[open=true]{2}#"),
+    ("three syllables", "syllable", "σσσ"), ("from the third on", "syllable", "[index>=2]"),
+]
+
+
+def pattern_syllable_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of patterns over sounds and syllables of divided words, all in one scan."""
+    rows = _divided(spark, sf_dir).select("n", *(f(F.col("s")).alias(k) for k, f in (("segment", marked.segments), ("syllable", marked.syllable_tier))))
+    hits = rows.select("n", *(marked.compile_marked(p, t).count(F.col(t)).alias(f"v{i}") for i, (_, t, p) in enumerate(_MARKED)))
+    summed = hits.agg(*(F.sum(F.col(f"v{i}") * F.col("n")).alias(f"m{i}") for i in range(len(_MARKED))), *(F.sum(F.when(F.col(f"v{i}") > 0, F.col("n")).otherwise(0)).alias(f"w{i}") for i in range(len(_MARKED))))
+    return summed.select(F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.col(f"m{i}").alias("matches"), F.col(f"w{i}").alias("words")) for i, (name, _, _) in enumerate(_MARKED)))).alias("r")).select("r.*")
+
+
 def rewrite_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     derived = _spread(spoken(spark, sf_dir)).select("word", rewriting.rewritten(F.col("word"))["result"].alias("result"))
     return rewriting.collisions(derived)
@@ -224,7 +253,7 @@ def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     word_rank_stats, lang_js_divergence, lang_summary_ratios, cv_clusters, cv_counts, phoneme_tokenise, phoneme_distribution, phoneme_bigrams, phoneme_pmi_extremes, vowel_feature_agreement, top10_variants, sequence_hits, class_bigrams, vowel_harmony, pattern_count,
-    constraint_violations, harmony_rank, word_ipa, syllable_shapes, rewrite_corrections, join_forms, word_audit, affix_seams, candidate_words, default_falls, stimulus_cells, maxent_weights, constraint_evaluation, rank_laws_letters, page_markers,
+    constraint_violations, harmony_rank, word_ipa, syllable_shapes, syllable_tiers, pattern_syllable_count, rewrite_corrections, join_forms, word_audit, affix_seams, candidate_words, default_falls, stimulus_cells, maxent_weights, constraint_evaluation, rank_laws_letters, page_markers,
 )}
 
 _LEX = "lex AS (SELECT lang, w AS word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY lang, w)"
@@ -290,7 +319,78 @@ SELECT word, n, {_sounds(f"translate(code, '{''.join(_PLAIN_IPA)}', '{''.join(_P
 _VCV = f"g AS (SELECT tokens[i] AS u, tokens[i + 1] AS c, tokens[i + 2] AS v, n FROM (SELECT tokens, n, unnest(range(1, len(tokens) - 1)) AS i FROM spoken)), vcv AS (SELECT u, c, v, sum(n) AS n FROM g WHERE u IN {VOWELS} AND v IN {VOWELS} AND c IN {CONSONANTS} GROUP BY 1, 2, 3)"
 _FEATURE_ROWS = "feats(feature, x, value) AS (VALUES " + ", ".join(f"('{k}', '{x}', '{v}')" for k, of in _VOWEL_FEATURES.items() for x, v in of.items()) + ")"
 
+_C, _V = _set(CONSONANTS), _set(VOWELS)
+
+
+def _pairs(allowed: dict[str, str], classes: bool) -> list[str]:
+    """Every legal part of two sounds, encoded."""
+    return [CODE[a] + CODE[b] for a in PHONEMES for b in PHONEMES if (CLASS_OF[b] in allowed.get(CLASS_OF[a], "") if classes else b in allowed.get(a, ""))]
+
+
+def _ways(name: str, source: str, strict: bool) -> str:
+    """Every division of the encoded words of ``source`` into onset, nucleus and coda of at most two sounds, and the best of each word."""
+    legal = [f"(length({part}) < 2 OR {part} IN ({', '.join(repr(p) for p in pairs)}))" for part, pairs in (("o", _pairs(ONSET_PAIRS, True)), ("v", _pairs(NUCLEUS_PAIRS, False)), ("c", _pairs(CODA_PAIRS, True)))]
+    tests = " AND ".join([f"regexp_full_match(o, '[{_C}]*') AND regexp_full_match(v, '[{_V}]+') AND regexp_full_match(c, '[{_C}]*')", *(legal if strict else [])])
+    return f"""{name}_cut AS (SELECT word, n, code, 1 AS pos, 0 AS total, [] :: INT[] AS onsets, [] :: INT[] AS sizes, [] :: STRUCT(o VARCHAR, v VARCHAR, c VARCHAR)[] AS s FROM {source}
+  UNION ALL SELECT word, n, code, pos + length(o) + length(v) + length(c), total + length(o), list_append(onsets, length(o)), list_append(sizes, length(v) * 10 + length(c)), list_append(s, {{'o': o, 'v': v, 'c': c}}) FROM
+    (SELECT d.*, substr(code, pos, a) AS o, substr(code, pos + a, b) AS v, substr(code, pos + a + b, e) AS c FROM {name}_cut d, sizes_of WHERE pos + a + b + e <= length(code) + 1) WHERE {tests}),
+{name} AS (SELECT word, n, code, s FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY total DESC, len(onsets), onsets DESC, sizes) AS r FROM {name}_cut WHERE pos > length(code)) WHERE r = 1)"""
+
+
+_DIVIDED = f"""WITH RECURSIVE {_SPOKEN}, sizes_of AS (SELECT a, b, e FROM (VALUES (0), (1), (2)) x(a), (VALUES (1), (2)) y(b), (VALUES (0), (1), (2)) z(e)), enc AS (SELECT word, n, {_code('word')} AS code FROM spoken),
+{_ways('strict', 'enc', True)}, rest AS (SELECT * FROM enc WHERE word NOT IN (SELECT word FROM strict)), {_ways('relaxed', 'rest', False)},
+divided AS (SELECT *, true AS whole FROM strict UNION ALL SELECT *, false FROM relaxed)"""
+
+
+def _morae(s: str, scale: str = "rime") -> str:
+    return f"(CASE WHEN length({s}.v) > 1 THEN 2 ELSE 1 END + length({s}.c) + greatest(length({s}.o) - 1, 0) * {prosody.SCALES[scale]['onset']})"
+
+
+def _weight(s: str, scale: str = "rime") -> str:
+    return f"CASE WHEN {_morae(s, scale)} <= 1 THEN 'light' WHEN {_morae(s, scale)} = 2 THEN 'heavy' ELSE 'superheavy' END"
+
+
+def _spelled(code: str) -> str:
+    for p in DIGRAPHS:
+        code = f"replace({code}, '{CODE[p]}', '{p}')"
+    return code
+
+
+def _class_of(code: str) -> str:
+    return f"translate({code}, '{''.join(CODE[p] for p in CLASS_OF)}', '{''.join(CLASS_OF.values())}')"
+
+
+_SHAPE = "repeat('C', length(x.o)) || repeat('V', length(x.v)) || repeat('C', length(x.c))"
+_SYLLABLE_SQL = {
+    "syllable": _spelled("x.o || x.v || x.c"), "syllable_shape": _SHAPE, "syllable_class_shape": f"{_class_of('x.o')} || '-' || {_class_of('x.v')} || '-' || {_class_of('x.c')}",
+    "onset_shape": f"CASE WHEN x.o = '' THEN '∅' ELSE {_class_of('x.o')} END", "coda_shape": f"CASE WHEN x.c = '' THEN '∅' ELSE {_class_of('x.c')} END",
+    **{f"weight:{k}": _weight("x", k) for k in prosody.SCALES}, **{f"mora:{k}": f"CAST({_morae('x', k)} AS VARCHAR)" for k in prosody.SCALES},
+}
+
+
+def _dotted(pattern: str) -> str:
+    """Places of a word, marked by # and ., where an expression begins."""
+    return f"len(list_filter(range(1, length(dotted) + 1), lambda i: regexp_matches(substr(dotted, i), '^(?:{pattern})')))"
+
+
+_MARKED_SQL = [
+    _dotted(rf"[{_C}]\.[{_C}]"), _dotted(rf"[{_V}]\.[{_C}]"), _dotted(rf"[{_C}]\.?[{_C}]\.?[{_C}]"), "CASE WHEN s[-1].c <> '' THEN 1 ELSE 0 END", "CASE WHEN len(s) > 1 THEN length(s[-2].v) ELSE 0 END",
+    "len(list_filter(s, lambda x: length(x.o) > 1))", f"len(list_filter(s, lambda x: {_morae('x')} > 2))", "CASE WHEN len(s) > 1 AND s[-1].c = '' AND s[-2].c = '' THEN 1 ELSE 0 END", "greatest(len(s) - 2, 0)", "greatest(len(s) - 2, 0)",
+]
+
+
+def _fall(scale: str) -> str:
+    heavy = f"list_filter(range(0, len(s) - 1), lambda i: {_morae('s[i + 1]', scale)} > 1)"
+    return f"CASE WHEN len(s) = 1 THEN 0 ELSE coalesce({heavy}[1], len(s) - 2) END"
+
+
 ORACLES = {
+    "syllable_shapes": f"{_DIVIDED}, x AS (SELECT n, unnest(s) AS x FROM divided) SELECT {_SHAPE} AS shape, {_weight('x')} AS rime_weight, {_weight('x', 'onset_sensitive')} AS onset_weight, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY 1, 2, 3",
+    "syllable_tiers": f"{_DIVIDED}, x AS (SELECT n, unnest(s) AS x FROM divided), c AS (SELECT tier, symbol, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS tier, {q} AS symbol, n FROM x" for k, q in _SYLLABLE_SQL.items()) + ") GROUP BY 1, 2) SELECT tier, symbol, n, round(n / CAST(sum(n) OVER (PARTITION BY tier) AS DOUBLE), 6) AS freq FROM c",
+    "pattern_syllable_count": f"{_DIVIDED}, d AS (SELECT n, s, '#' || array_to_string(list_transform(s, lambda x: x.o || x.v || x.c), '.') || '#' AS dotted FROM divided), v AS (SELECT n, " + ", ".join(f"{q} AS v{i}" for i, q in enumerate(_MARKED_SQL)) + " FROM d) " + " UNION ALL ".join(f"SELECT '{k}' AS name, CAST(sum(v{i} * n) AS BIGINT) AS matches, CAST(sum(CASE WHEN v{i} > 0 THEN n ELSE 0 END) AS BIGINT) AS words FROM v" for i, (k, _, _) in enumerate(_MARKED)),
+    "default_falls": f"{_DIVIDED} " + " UNION ALL ".join(f"SELECT '{k}' AS scale, len(s) AS syllables, {_fall(k)} AS fall, CAST(sum(n) AS BIGINT) AS n FROM divided GROUP BY 2, 3" for k in prosody.SCALES),
+    "word_audit": f"""{_DIVIDED}, all_words AS (SELECT DISTINCT word FROM lex), j AS (SELECT a.word, spoken.word IS NOT NULL AS known, d.whole, {_code('a.word')} AS code FROM all_words a LEFT JOIN spoken USING (word) LEFT JOIN divided d USING (word))
+      SELECT CASE WHEN NOT known THEN 'not spellable' WHEN whole IS NULL THEN 'no division' WHEN NOT whole THEN 'relaxed tables' WHEN {_starts(CONSTRAINTS[0][1])} + {_starts(CONSTRAINTS[1][1])} > 0 THEN 'hard constraint' ELSE 'none' END AS issue, count(*) AS n FROM j GROUP BY 1""",
     "word_ipa": _IPA,
     "phoneme_pmi_extremes": f"""WITH {_SPOKEN}, {_GRAMS.format('tokens')}, m AS (SELECT x, y, n, log2(CAST(n AS DOUBLE) * sum(n) OVER () / (CAST(sum(n) OVER (PARTITION BY x) AS DOUBLE) * sum(n) OVER (PARTITION BY y))) AS pmi FROM counts),
       r AS (SELECT *, row_number() OVER (ORDER BY round(pmi, 9) DESC, x, y) AS a, row_number() OVER (ORDER BY round(pmi, 9), x, y) AS b FROM m WHERE n >= 2)

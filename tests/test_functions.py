@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from seqlattice.functions import inventory, morphology, patterns, prosody, significance, syllables, tiers
+from seqlattice.functions import inventory, marked, morphology, patterns, prosody, significance, syllables, tiers
 from seqlattice.operators import constraints, rewriting
 
 
@@ -173,3 +173,39 @@ def test_binomial():
 def test_chi_square_tail():
     for x, dof, p in ((3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (18.307038, 10, 0.05), (0.0, 4, 1.0)):
         assert significance.chi_square_p(x, dof) == pytest.approx(p, abs=1e-6)
+
+
+@pytest.mark.parametrize(
+    "pattern, tier, word, n",
+    [
+        ("*[C][C][C]", "segment", "konstav", 1), ("[C].[C]", "segment", "likka", 1), ("[C].[C]", "segment", "pata", 0), ("#[C]", "segment", "pata", 1), ("[+syl]#", "segment", "pata", 1), ("[T][L]", "segment", "paklata", 1),
+        ("kl", "segment", "paklata", 1), ("<k><l>", "segment", "paklata", 1), ("[-son,+cons][+lat]", "segment", "paklata", 1), ("([S]|[T])[+syl]", "segment", "tesav", 2), ("[!V]", "segment", "pata", 2), ("[]{2}", "segment", "pata", 3),
+        ("[weight=superheavy]", "syllable", "suis|kant", 2), ("[final=true]", "syllable", "suis|kant", 1), ("[penult=true]", "syllable", "suis|kant", 1), ("[+cons,role=coda]", "segment", "naz|loft", 3), ("[+cons,role=onset]", "segment", "naz|loft", 2),
+        ("σ{2}", "syllable", "pakata", 2), ("σ", "segment", "pakata", 0), ("[V]?", "segment", "ka", 5), ("#", "segment", "ka", 2), (".[C]", "segment", "pata", 0), ("a_.[C]", "segment", "pata", 1), ("[role!=coda]", "segment", "kat", 2),
+        ("[high!=true]", "segment", "kit", 2), ("[-high]", "segment", "kit", 0), ("[!+high]", "segment", "kit", 2), ("[syl_mora>2]", "segment", "kant", 4), ("[shape=CVC]#", "syllable", "pakat", 1), ("<ka>", "syllable", "pakata", 1), ("kat*[V]", "segment", "kattta", 1),
+    ],
+)
+def test_marked_patterns(spark, pattern, tier, word, n):
+    compiled = marked.compile_marked(pattern, tier)
+    of = marked.segments if tier == "segment" else marked.syllable_tier
+    row = spark.createDataFrame([(word,)], "w string").select(syllables.syllables(F.col("w"))["syllables"].alias("s")).select(of(F.col("s")).alias("t"))
+    assert tuple(row.select(compiled.count(F.col("t")), compiled.found(F.col("t"))).first()) == (n, n > 0)
+
+
+def test_marked_edge_cases(spark):
+    count = marked.compile_marked("[C][C]").count(marked.undivided(inventory.tokens(F.col("w"))))
+    rows = spark.createDataFrame([("kst",), ("",), (None,)], "w string").select(count.alias("n")).collect()
+    assert [r.n for r in rows] == [2, 0, None]
+    accented = marked.compile_marked("[accent=F]").count(marked.segments(F.col("s"), F.col("a")))
+    rows = spark.createDataFrame([("kata", "HF"), ("kata", ""), ("kata", None)], "w string, a string").withColumn("s", syllables.syllables(F.col("w"))["syllables"]).select(accented.alias("n")).collect()
+    assert [r.n for r in rows] == [2, 0, 0]
+    for bad in ("([C]", "[C])", "*|", "qq", "&", "[+nothing]", "[!R]", "+", "[index>x]", "X"):
+        with pytest.raises(ValueError):
+            marked.compile_marked(bad)
+
+
+def test_syllable_tiers(spark):
+    row = spark.createDataFrame([("paklata",)], "w string").select(syllables.syllables(F.col("w"))["syllables"].alias("s"))
+    got = row.select(*(t(F.col("s")).alias(k) for k, t in tiers.SYLLABLE_TIERS.items())).first().asDict()
+    assert got["syllable"] == ["pa", "kla", "ta"] and got["syllable_class_shape"] == ["T-V-", "TL-V-", "T-V-"]
+    assert got["onset_shape"] == ["T", "TL", "T"] and got["coda_shape"] == ["∅"] * 3 and got["mora:onset_sensitive"] == ["1", "2", "1"]
