@@ -216,3 +216,11 @@ ORACLES = {
 _TOK = f"regexp_extract_all(word, '{'|'.join(DIGRAPHS)}|[{_ALPHABET}]')"
 ORACLES["prefix_covers"] = f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark), s AS (SELECT word, {_code('word')} AS code FROM w WHERE array_to_string({_TOK}, '') = word),
   p AS (SELECT a.word, arg_max(b.word, length(b.code)) AS parent FROM s a JOIN s b ON length(b.code) < length(a.code) AND starts_with(a.code, b.code) GROUP BY a.word) SELECT word, parent FROM s LEFT JOIN p USING (word)"""
+ORACLES["patched_geo"] = f"""WITH RECURSIVE {_EDGES}, {_WORDS}, parted AS (SELECT child, parent FROM edges WHERE child NOT IN ('n1', 'n4') AND parent <> 'n4' UNION SELECT 'r9', 'root' UNION SELECT 'n1', 'r9' UNION SELECT 'n3', 'root'
+    UNION SELECT a.child, b.parent FROM edges a JOIN edges b ON a.parent = b.child WHERE b.child = 'n4'), {_closure('parted')},
+  patched AS (SELECT * FROM parted p WHERE NOT EXISTS (SELECT 1 FROM parted v JOIN closed c ON c.child = v.parent WHERE v.child = p.child AND v.parent <> p.parent AND c.ancestor = p.parent)),
+  renamed AS (SELECT id, CASE WHEN id = 'n2' THEN 'RENAMED' ELSE entry END AS entry, category FROM words WHERE id <> 'n4' UNION ALL SELECT 'r9', 'NEW REGION', 'region'),
+  b AS (SELECT id, entry, category, (SELECT string_agg(parent, ' ' ORDER BY parent) FROM edges WHERE child = id) AS parents FROM words), a AS (SELECT id, entry, category, (SELECT string_agg(parent, ' ' ORDER BY parent) FROM patched WHERE child = id) AS parents FROM renamed)
+  SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'add' WHEN a.id IS NULL THEN 'delete' ELSE 'update' END AS change,
+    CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN concat_ws(',', CASE WHEN a.entry <> b.entry THEN 'entry' END, CASE WHEN a.category <> b.category THEN 'category' END, CASE WHEN a.parents IS DISTINCT FROM b.parents THEN 'parents' END) END AS fields
+  FROM b FULL JOIN a ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.entry <> b.entry OR a.category <> b.category OR a.parents IS DISTINCT FROM b.parents"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import marked, morphology, patterns, prosody, syllables, tiers
-from ..functions.inventory import CLASS_OF, CODA_PAIRS, CODE, CONSONANTS, CONSTRAINTS, DIGRAPHS, FUSION, MEMBERS, NUCLEUS_PAIRS, ONSET_PAIRS, PHONEMES, TOKEN, VOWELS, clusters, cv_code, encoded
+from ..functions.inventory import CLASS_OF, CODA_PAIRS, CODE, CONSONANTS, CONSTRAINTS, DIGRAPHS, FUSION, MEMBERS, NUCLEUS_PAIRS, ONSET_PAIRS, PHONEMES, SPELLING, TOKEN, VOWELS, clusters, cv_code, encoded, split
 from ..operators import constraints, distributions, ngrams, reports, rewriting
 from ..sources.storage import cut
 from ..sources.tables import lexicon, spoken, table, words_of
@@ -210,14 +210,14 @@ def affix_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's words as candidates for the lexicon of the documents."""
     asked = table(spark, sf_dir, "benchmark").select(F.explode(words_of(F.col("text"))).alias("word"))
-    return reports.candidate_report(asked, lexicon(spark, sf_dir))
+    return reports.candidate_report(asked, lexicon(spark, sf_dir)).withColumn("notes", F.array_join("notes", ","))
 
 
 def default_falls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the default rule puts the accent, by number of syllables and weight scale."""
     rows = _spread(spoken(spark, sf_dir)).select("n", syllables.syllables(F.col("word"))["syllables"].alias("s")).filter("s is not null")
     scales = F.array(*(F.struct(F.lit(k).alias("scale"), reports.default_fall(F.col("s"), k).alias("fall")) for k in prosody.SCALES))
-    return rows.select("n", F.size("s").alias("syllables"), F.explode(scales).alias("d")).groupBy("d.scale", "syllables", "d.fall").agg(F.sum("n").alias("n"))
+    return rows.select("n", F.size("s").cast("long").alias("syllables"), F.explode(scales).alias("d")).groupBy("d.scale", "syllables", F.col("d.fall").cast("long").alias("fall")).agg(F.sum("n").alias("n"))
 
 
 def stimulus_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,9 +327,16 @@ def _pairs(allowed: dict[str, str], classes: bool) -> list[str]:
     return [CODE[a] + CODE[b] for a in PHONEMES for b in PHONEMES if (CLASS_OF[b] in allowed.get(CLASS_OF[a], "") if classes else b in allowed.get(a, ""))]
 
 
+_PARTS = {"o": ("onset", _pairs(ONSET_PAIRS, True)), "v": ("nucleus", _pairs(NUCLEUS_PAIRS, False)), "c": ("coda", _pairs(CODA_PAIRS, True))}
+
+
+def _legal(part: str, kind: str) -> str:
+    return f"(length({part}) < 2 OR {part} IN ({', '.join(repr(p) for p in _PARTS[kind][1])}))"
+
+
 def _ways(name: str, source: str, strict: bool) -> str:
     """Every division of the encoded words of ``source`` into onset, nucleus and coda of at most two sounds, and the best of each word."""
-    legal = [f"(length({part}) < 2 OR {part} IN ({', '.join(repr(p) for p in pairs)}))" for part, pairs in (("o", _pairs(ONSET_PAIRS, True)), ("v", _pairs(NUCLEUS_PAIRS, False)), ("c", _pairs(CODA_PAIRS, True)))]
+    legal = [_legal(part, part) for part in _PARTS]
     tests = " AND ".join([f"regexp_full_match(o, '[{_C}]*') AND regexp_full_match(v, '[{_V}]+') AND regexp_full_match(c, '[{_C}]*')", *(legal if strict else [])])
     return f"""{name}_cut AS (SELECT word, n, code, 1 AS pos, 0 AS total, [] :: INT[] AS onsets, [] :: INT[] AS sizes, [] :: STRUCT(o VARCHAR, v VARCHAR, c VARCHAR)[] AS s FROM {source}
   UNION ALL SELECT word, n, code, pos + length(o) + length(v) + length(c), total + length(o), list_append(onsets, length(o)), list_append(sizes, length(v) * 10 + length(c)), list_append(s, {{'o': o, 'v': v, 'c': c}}) FROM
@@ -337,11 +344,19 @@ def _ways(name: str, source: str, strict: bool) -> str:
 {name} AS (SELECT word, n, code, s FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY total DESC, len(onsets), onsets DESC, sizes) AS r FROM {name}_cut WHERE pos > length(code)) WHERE r = 1)"""
 
 
-_DIVIDED = f"""WITH RECURSIVE {_SPOKEN}, sizes_of AS (SELECT a, b, e FROM (VALUES (0), (1), (2)) x(a), (VALUES (1), (2)) y(b), (VALUES (0), (1), (2)) z(e)), enc AS (SELECT word, n, {_code('word')} AS code FROM spoken),
+_SIZES = "sizes_of AS (SELECT a, b, e FROM (VALUES (0), (1), (2)) x(a), (VALUES (1), (2)) y(b), (VALUES (0), (1), (2)) z(e))"
+
+
+def _divided_sql(sources: str) -> str:
+    """``divided``: the words of ``spoken``, which ``sources`` defines, with their syllables; ``whole`` where all parts are legal."""
+    return f"""WITH RECURSIVE {sources}, {_SIZES}, enc AS (SELECT word, n, {_code('word')} AS code FROM spoken),
 {_ways('strict', 'enc', True)}, rest AS (SELECT * FROM enc WHERE word NOT IN (SELECT word FROM strict)), {_ways('relaxed', 'rest', False)},
 divided AS (SELECT *, true AS whole FROM strict UNION ALL SELECT *, false FROM relaxed)"""
 
 
+_DIVIDED = _divided_sql(_SPOKEN)
+
+
 def _morae(s: str, scale: str = "rime") -> str:
     return f"(CASE WHEN length({s}.v) > 1 THEN 2 ELSE 1 END + length({s}.c) + greatest(length({s}.o) - 1, 0) * {prosody.SCALES[scale]['onset']})"
 
@@ -384,7 +399,30 @@ def _fall(scale: str) -> str:
     return f"CASE WHEN len(s) = 1 THEN 0 ELSE coalesce({heavy}[1], len(s) - 2) END"
 
 
+def _respelled(word: str) -> str:
+    """A word by the spelling rules, set after set."""
+    for rules in SPELLING:
+        code = _code(word)
+        for taken, given in rules.items():
+            a, b, dropped = ("".join(CODE[p] for p in split(x)) for x in (taken, given, taken.removesuffix(given)))
+            pattern = a if not taken.endswith(given) else f"(?:{dropped})+{b}"
+            code = f"regexp_replace({code}, '{pattern}', '{b}', 'g')"
+        word = _spelled(code)
+    return word
+
+
+_ASKED = f"asked AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark), spoken AS (SELECT word, 1 AS n FROM asked WHERE array_to_string({_TOKENS}, '') = word)"
+_NOTES = "flatten(list_transform(s, lambda x: list_filter([" + ", ".join(f"CASE WHEN {_legal('x.' + k, k)} THEN '' ELSE '{name} ' || {_spelled('x.' + k)} END" for k, (name, _) in _PARTS.items()) + "], lambda y: y <> '')))"
+_DELETED = "SELECT DISTINCT {0} AS {1}, k FROM (SELECT {0}, unnest(list_append(list_transform(range(1, length({0}) + 1), lambda i: substr({0}, 1, i - 1) || substr({0}, i + 1)), {0})) AS k FROM {2})"
+_CANDIDATES = f"""{_divided_sql(f"{_LEX}, {_ASKED}")}, known AS (SELECT DISTINCT word FROM lex), da AS ({_DELETED.format('word', 'x', 'asked')}), db AS ({_DELETED.format('word', 'y', 'known')}),
+near AS (SELECT x AS word, count(*) AS neighbours, min(y) AS nearest FROM (SELECT DISTINCT x, y FROM da JOIN db USING (k) WHERE x <> y AND levenshtein(x, y) <= 1) GROUP BY x)
+SELECT word, p.word IS NOT NULL AS spellable, coalesce(d.whole, false) AS strict, CASE WHEN d.s IS NULL OR d.whole THEN '' ELSE array_to_string({_NOTES}, ',') END AS notes, length(regexp_extract({_code('word')}, '[{_C}]{{4}}')) > 0 AS long_run,
+  CASE WHEN p.word IS NOT NULL THEN {_respelled('word')} END AS spelled, coalesce(neighbours, 0) AS neighbours, nearest, k.word IS NOT NULL AS registered
+FROM asked LEFT JOIN spoken p USING (word) LEFT JOIN divided d USING (word) LEFT JOIN near USING (word) LEFT JOIN known k USING (word)"""
+
+
 ORACLES = {
+    "candidate_words": _CANDIDATES,
     "syllable_shapes": f"{_DIVIDED}, x AS (SELECT n, unnest(s) AS x FROM divided) SELECT {_SHAPE} AS shape, {_weight('x')} AS rime_weight, {_weight('x', 'onset_sensitive')} AS onset_weight, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY 1, 2, 3",
     "syllable_tiers": f"{_DIVIDED}, x AS (SELECT n, unnest(s) AS x FROM divided), c AS (SELECT tier, symbol, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS tier, {q} AS symbol, n FROM x" for k, q in _SYLLABLE_SQL.items()) + ") GROUP BY 1, 2) SELECT tier, symbol, n, round(n / CAST(sum(n) OVER (PARTITION BY tier) AS DOUBLE), 6) AS freq FROM c",
     "pattern_syllable_count": f"{_DIVIDED}, d AS (SELECT n, s, '#' || array_to_string(list_transform(s, lambda x: x.o || x.v || x.c), '.') || '#' AS dotted FROM divided), v AS (SELECT n, " + ", ".join(f"{q} AS v{i}" for i, q in enumerate(_MARKED_SQL)) + " FROM d) " + " UNION ALL ".join(f"SELECT '{k}' AS name, CAST(sum(v{i} * n) AS BIGINT) AS matches, CAST(sum(CASE WHEN v{i} > 0 THEN n ELSE 0 END) AS BIGINT) AS words FROM v" for i, (k, _, _) in enumerate(_MARKED)),
