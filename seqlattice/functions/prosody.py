@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .inventory import SCALES
+from .inventory import PHONEMES, SCALES
 
 
 def morae(syllable: Column, scale: str = "rime") -> Column:
@@ -38,3 +38,9 @@ def contour_problems(accent: Column, syllables: Column, scale: str = "rime", lea
     at = F.sequence(F.lit(0), F.greatest(F.size(syllables) - 1, F.lit(0)))
     bad = F.filter(at, lambda i: F.substring(accent, 1, 64).substr(i + 1, F.lit(1)).isin("F", "R") & (licensing_morae(F.get(syllables, i), scale) < least))
     return F.when(F.size(syllables) > 0, bad).otherwise(F.array().cast("array<int>"))
+
+
+def needs_lengthening(syllable: Column) -> Column:
+    """Whether a syllable has one vowel and no sonorant right behind it."""
+    sonorants = [p for p, f in PHONEMES.items() if f["cons"] and f["son"]]
+    return (F.size(syllable["nucleus"]) < 2) & ~F.coalesce(F.get(syllable["coda"], F.lit(0)).isin(*sonorants), F.lit(False))

@@ -28,6 +28,16 @@ def harmony(counts: dict[str, Column], constraints: list[tuple[str, str, float]]
     return out
 
 
+def explained(counts: dict[str, Column], constraints: list[tuple[str, str, float]] = CONSTRAINTS) -> Column:
+    """The violated constraints as an array of (name, violations, contribution), the greatest contribution first.
+
+    A hard constraint contributes infinity; ties keep the order in which the constraints are declared.
+    """
+    rows = [F.struct((-F.when(counts[n] > 0, F.lit(w)).otherwise(0.0) * (F.lit(1) if math.isinf(w) else counts[n])).alias("less"), F.lit(i).alias("place"), F.lit(n).alias("name"), counts[n].alias("violations")) for i, (n, _, w) in enumerate(constraints)]
+    seen = F.array_sort(F.filter(F.array(*rows), lambda x: x["violations"] > 0))
+    return F.transform(seen, lambda x: F.struct(x["name"].alias("name"), x["violations"].alias("violations"), (-x["less"]).alias("contribution")))
+
+
 def candidates() -> list[tuple[str, str, float]]:
     """Every pair of classes anywhere, at the start and at the end of a word."""
     return [(f"{a}{b}{edge}", f"*{'#' if edge == '<' else ''}[{a}][{b}]{'#' if edge == '>' else ''}", 1.0) for a in CLASS_ORDER for b in CLASS_ORDER for edge in ("", "<", ">")]

@@ -60,6 +60,30 @@ def dangling(refs: DataFrame, ref: str, live: DataFrame, key: str) -> DataFrame:
     return refs.filter(F.col(ref).isNotNull()).join(live.select(F.col(key).alias(ref)).distinct(), ref, "left_anti")
 
 
+def references(sources: dict[str, tuple[DataFrame, str, str]], limit: int = 50) -> DataFrame:
+    """(target, field, n, first): what refers to each target, by field: how many rows, and the ``limit`` smallest of them.
+
+    A source is (rows, key, reference), all strings, where the reference may be an array; nulls refer to nothing, and a
+    row that names a target twice counts once.  Rows are ranked before they are gathered.
+    """
+    found = None
+    for field, (rows, key, ref) in sources.items():
+        target = F.explode(ref) if dict(rows.dtypes)[ref].startswith("array") else F.col(ref)
+        part = rows.select(F.col(key).alias("source"), target.alias("target"), F.lit(field).alias("field")).filter("target is not null").distinct()
+        found = part if found is None else found.unionByName(part)
+    place = F.row_number().over(Window.partitionBy("target", "field").orderBy("source"))
+    first = found.withColumn("place", place).filter(F.col("place") <= limit).groupBy("target", "field").agg(F.array_sort(F.collect_list("source")).alias("first"))
+    return found.groupBy("target", "field").agg(F.count("*").alias("n")).join(first, ["target", "field"])
+
+
+def neighbourhood(node: str, covers: DataFrame, refs: DataFrame) -> DataFrame:
+    """(relation, other) of all that a node's deletion touches: parents, children, and rows of (target, field, source)."""
+    up = covers.filter(F.col("child") == node).select(F.lit("parent").alias("relation"), F.col("parent").alias("other"))
+    down = covers.filter(F.col("parent") == node).select(F.lit("child").alias("relation"), F.col("child").alias("other"))
+    named = refs.filter(F.col("target") == node).select(F.concat(F.lit("reference:"), F.col("field")).alias("relation"), F.col("source").alias("other"))
+    return up.unionByName(down).unionByName(named).distinct()
+
+
 def asymmetric(upper: DataFrame, lower: DataFrame) -> DataFrame:
     """(child, parent, missing): covers that only one of the two directions states."""
     a, b = upper.select("child", "parent"), lower.select("child", "parent")
@@ -80,6 +104,19 @@ def prefix_covers(words: DataFrame, word: str = "word", tokens: str | None = Non
     return base.select("word").join(best, "word", "left")
 
 
+def cover_mismatches(derived: DataFrame, stored: DataFrame) -> DataFrame:
+    """(child, expected, actual): children whose stored parents aren't the derived ones, both as sorted arrays.
+
+    Children are those of either table; to derive anew is to store ``derived`` for them.
+    """
+    def parents(covers: DataFrame, name: str) -> DataFrame:
+        return covers.filter("parent is not null").groupBy("child").agg(F.array_sort(F.collect_set("parent")).alias(name))
+
+    none = F.array().cast("array<string>")
+    both = parents(derived, "expected").join(parents(stored, "actual"), "child", "full")
+    return both.select("child", F.coalesce("expected", none).alias("expected"), F.coalesce("actual", none).alias("actual")).filter("expected <> actual")
+
+
 def disjointness_violations(closed: DataFrame, branches: DataFrame) -> DataFrame:
     """(node, partition): nodes under two or more branches (partition, branch) of a partition, where no parent already is."""
     own = branches.select("partition", "branch", F.col("branch").alias("node"))

@@ -87,6 +87,20 @@ def geo_disjointness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.disjointness_violations(graph.closure(covers), branches)
 
 
+def geo_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What refers to each nation and region, by field, with the first three."""
+    fields = [("customer.nation", "customer", "c_custkey", "c_nationkey", "n"), ("supplier.nation", "supplier", "s_suppkey", "s_nationkey", "n"), ("nation.region", "nation", "n_nationkey", "n_regionkey", "r")]
+    sources = {f: (table(spark, sf_dir, t).select(F.col(k).cast("string").alias("key"), F.concat(F.lit(kind), F.col(r).cast("string")).alias("ref")), "key", "ref") for f, t, k, r, kind in fields}
+    return graph.references(sources, 3).withColumn("first", F.array_join("first", ","))
+
+
+def geo_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that the deletion of one nation touches, orders of its customers included."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("target"))
+    orders = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("target", F.lit("order").alias("field"), F.col("o_orderkey").cast("string").alias("source"))
+    return graph.neighbourhood("n4", geo_covers(spark, sf_dir), orders)
+
+
 def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of customers that are no longer live: those of negative balance count as deleted."""
     live = table(spark, sf_dir, "customer").filter("c_acctbal >= 0")
@@ -122,6 +136,18 @@ def prefix_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.prefix_covers(spelled, "word", "tokens")
 
 
+def prefix_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived covers of the benchmark's words against a stored version that knew only words of odd length."""
+    rows = table(spark, sf_dir, "benchmark").select(F.explode(words_of(F.col("text"))).alias("word"))
+
+    def covers(of: DataFrame) -> DataFrame:
+        spelled = of.select("word").distinct().withColumn("tokens", tokens(F.col("word"))).filter("tokens is not null")
+        return graph.prefix_covers(spelled, "word", "tokens").withColumnRenamed("word", "child")
+
+    found = graph.cover_mismatches(covers(rows), covers(rows.filter(F.length("word") % 2 == 1)))
+    return found.select("child", F.array_join("expected", ",").alias("expected"), F.array_join("actual", ",").alias("actual"))
+
+
 def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers against a version in which some are gone, new or have moved."""
     now = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
@@ -164,7 +190,7 @@ def patched_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    geo_closure, geo_context, geo_redundant_edges, geo_issues, geo_category_stats, geo_child_counts, geo_disjointness, dangling_refs, part_search, part_neighbours, part_similar, word_neighbours, prefix_covers, customer_changes,
+    geo_closure, geo_context, geo_redundant_edges, geo_issues, geo_category_stats, geo_child_counts, geo_disjointness, geo_references, geo_deletion, dangling_refs, part_search, part_neighbours, part_similar, word_neighbours, prefix_covers, prefix_mismatches, customer_changes,
     template_similarity, patched_geo,
 )}
 
@@ -224,3 +250,12 @@ ORACLES["patched_geo"] = f"""WITH RECURSIVE {_EDGES}, {_WORDS}, parted AS (SELEC
   SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'add' WHEN a.id IS NULL THEN 'delete' ELSE 'update' END AS change,
     CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN concat_ws(',', CASE WHEN a.entry <> b.entry THEN 'entry' END, CASE WHEN a.category <> b.category THEN 'category' END, CASE WHEN a.parents IS DISTINCT FROM b.parents THEN 'parents' END) END AS fields
   FROM b FULL JOIN a ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.entry <> b.entry OR a.category <> b.category OR a.parents IS DISTINCT FROM b.parents"""
+ORACLES["prefix_mismatches"] = f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark), s AS (SELECT word, {_code('word')} AS code FROM w WHERE array_to_string({_TOK}, '') = word), o AS (SELECT * FROM s WHERE length(word) % 2 = 1),
+  e AS (SELECT a.word, arg_max(b.word, length(b.code)) AS parent FROM s a JOIN s b ON length(b.code) < length(a.code) AND starts_with(a.code, b.code) GROUP BY a.word),
+  f AS (SELECT a.word, arg_max(b.word, length(b.code)) AS parent FROM o a JOIN o b ON length(b.code) < length(a.code) AND starts_with(a.code, b.code) GROUP BY a.word)
+  SELECT word AS child, coalesce(e.parent, '') AS expected, coalesce(f.parent, '') AS actual FROM e FULL JOIN f USING (word) WHERE e.parent IS DISTINCT FROM f.parent"""
+ORACLES["geo_references"] = """WITH r AS (SELECT 'n' || c_nationkey AS target, 'customer.nation' AS field, CAST(c_custkey AS VARCHAR) AS source FROM customer UNION SELECT 'n' || s_nationkey, 'supplier.nation', CAST(s_suppkey AS VARCHAR) FROM supplier
+  UNION SELECT 'r' || n_regionkey, 'nation.region', CAST(n_nationkey AS VARCHAR) FROM nation), p AS (SELECT *, row_number() OVER (PARTITION BY target, field ORDER BY source) AS i FROM r WHERE target IS NOT NULL)
+  SELECT target, field, count(*) AS n, string_agg(source, ',' ORDER BY source) FILTER (i <= 3) AS first FROM p GROUP BY 1, 2"""
+ORACLES["geo_deletion"] = f"""WITH {_EDGES} SELECT 'parent' AS relation, parent AS other FROM edges WHERE child = 'n4' UNION SELECT 'child', child FROM edges WHERE parent = 'n4'
+  UNION SELECT 'reference:order', CAST(o_orderkey AS VARCHAR) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 4"""

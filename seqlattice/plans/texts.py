@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import marked, morphology, patterns, prosody, syllables, tiers
 from ..functions.inventory import CLASS_OF, CODA_PAIRS, CODE, CONSONANTS, CONSTRAINTS, DIGRAPHS, FUSION, MEMBERS, NUCLEUS_PAIRS, ONSET_PAIRS, PHONEMES, SPELLING, TOKEN, VOWELS, clusters, cv_code, encoded, split
-from ..operators import constraints, distributions, ngrams, reports, rewriting
+from ..operators import constraints, distributions, ngrams, onsets, reports, rewriting
 from ..sources.storage import cut
 from ..sources.tables import lexicon, spoken, table, words_of
 
@@ -146,6 +146,32 @@ def harmony_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.when(F.col("h") == float("inf"), "excluded").otherwise(F.format_string("%.1f", "h")).alias("harmony")).agg(F.count("*").alias("n_types"), F.sum("n").alias("n"))
 
 
+def harmony_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What words violate, the greatest contribution first: how many words of each such list."""
+    counts = constraints.violations(encoded(F.col("word")))
+    rows = spoken(spark, sf_dir).select("n", constraints.explained(counts).alias("e")).filter("size(e) > 0")
+    text = F.array_join(F.transform("e", lambda x: F.format_string("%s:%d:%.1f", x["name"], x["violations"], x["contribution"])), " ")
+    return rows.groupBy(text.alias("explained")).agg(F.count("*").alias("n_types"), F.sum("n").alias("n"))
+
+
+def licensed_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of each language's syllables, by onsets that begin two of its words or more."""
+    words = lexicon(spark, sf_dir).filter(F.concat_ws("", F.regexp_extract_all("word", F.lit(TOKEN), F.lit(1))) == F.col("word"))
+    rows = onsets.licensed(cut(words.select("lang", encoded(F.col("word")).alias("code"), "n")), "".join(CODE[p] for p in VOWELS))
+    vowels, rest = (("".join(CODE[p] for p in of)) for of in (VOWELS, CONSONANTS))
+    shapes = rows.select("lang", "n", F.explode(F.split(F.translate("divided", vowels + rest, "V" * len(vowels) + "C" * len(rest)), r"\.")).alias("shape"))
+    return shapes.groupBy("lang", "shape").agg(F.sum("n").alias("n"))
+
+
+def word_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each divided word with its syllables, their shapes and morae by both scales, and those that lengthen."""
+    def listed(of) -> Column:
+        return F.array_join(F.transform("s", of), ".")
+
+    return _divided(spark, sf_dir).select("word", "n", listed(lambda x: marked.spelling(x)).alias("syllabified"), F.size("s").cast("long").alias("n_syllables"), listed(lambda x: prosody.shape(x)).alias("shape"),
+        *(listed(lambda x: prosody.morae(x, k).cast("string")).alias(f"morae_{k}") for k in prosody.SCALES), F.size(F.filter("s", lambda x: prosody.needs_lengthening(x))).cast("long").alias("n_lengthened"))
+
+
 def word_ipa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoken(spark, sf_dir).select("word", "n", morphology.to_ipa(F.col("tokens")).alias("ipa"))
 
@@ -253,7 +279,7 @@ def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     word_rank_stats, lang_js_divergence, lang_summary_ratios, cv_clusters, cv_counts, phoneme_tokenise, phoneme_distribution, phoneme_bigrams, phoneme_pmi_extremes, vowel_feature_agreement, top10_variants, sequence_hits, class_bigrams, vowel_harmony, pattern_count,
-    constraint_violations, harmony_rank, word_ipa, syllable_shapes, syllable_tiers, pattern_syllable_count, rewrite_corrections, join_forms, word_audit, affix_seams, candidate_words, default_falls, stimulus_cells, maxent_weights, constraint_evaluation, rank_laws_letters, page_markers,
+    constraint_violations, harmony_rank, harmony_explained, licensed_shapes, word_projection, word_ipa, syllable_shapes, syllable_tiers, pattern_syllable_count, rewrite_corrections, join_forms, word_audit, affix_seams, candidate_words, default_falls, stimulus_cells, maxent_weights, constraint_evaluation, rank_laws_letters, page_markers,
 )}
 
 _LEX = "lex AS (SELECT lang, w AS word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY lang, w)"
@@ -421,7 +447,26 @@ SELECT word, p.word IS NOT NULL AS spellable, coalesce(d.whole, false) AS strict
 FROM asked LEFT JOIN spoken p USING (word) LEFT JOIN divided d USING (word) LEFT JOIN near USING (word) LEFT JOIN known k USING (word)"""
 
 
+def _listed(of: str) -> str:
+    return f"array_to_string(list_transform(s, lambda x: {of}), '.')"
+
+
+_LICENSED = f"""WITH {_LEX}, w AS (SELECT lang, n, {_code('word')} AS code FROM lex WHERE array_to_string({_TOKENS}, '') = word),
+lic AS (SELECT lang, onset FROM (SELECT lang, regexp_extract(code, '^([{_C}]+)[{_V}]', 1) AS onset FROM w) WHERE onset <> '' GROUP BY 1, 2 HAVING count(*) >= 2),
+p AS (SELECT lang, code, n, regexp_extract(code, '^[{_C}]*') AS lead, regexp_extract_all(code, '[{_V}][{_C}]*') AS pieces FROM w),
+q AS (SELECT lang, code, n, lead, len(pieces) AS k, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS i FROM p),
+c AS (SELECT DISTINCT lang, substr(piece, 2) AS cluster FROM q WHERE i < k), b AS (SELECT c.lang, cluster, max(length(onset)) AS keep FROM c JOIN lic ON lic.lang = c.lang AND ends_with(cluster, onset) GROUP BY 1, 2),
+d AS (SELECT q.lang, code, any_value(n) AS n, any_value(lead) || string_agg(CASE WHEN i = k THEN piece ELSE left(piece, length(piece) - coalesce(keep, 0)) || '.' || right(piece, coalesce(keep, 0)) END, '' ORDER BY i) AS divided FROM q LEFT JOIN b ON b.lang = q.lang AND b.cluster = substr(piece, 2) AND i < k GROUP BY 1, 2
+  UNION ALL SELECT lang, code, n, code FROM p WHERE len(pieces) = 0),
+s AS (SELECT lang, n, unnest(string_split(translate(divided, '{_V}{_C}', '{'V' * len(_V)}{'C' * len(_C)}'), '.')) AS shape FROM d) SELECT lang, shape, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY 1, 2"""
+_EXPLAINED = f"""WITH {_SPOKEN}, e AS (SELECT n, {_code('word')} AS code FROM spoken), v AS (SELECT n, """ + ", ".join(f"{_starts(p)} AS v{i}" for i, (_, p, _) in enumerate(CONSTRAINTS)) + f""" FROM e)
+SELECT concat_ws(' ', {', '.join(f"CASE WHEN v{i} > 0 THEN '{k}:' || v{i} || ':{'Infinity' if w == float('inf') else ''}'" + ("" if w == float("inf") else f" || printf('%.1f', v{i} * {w}::DOUBLE)") + " END" for i, (k, _, w) in enumerate(CONSTRAINTS))}) AS explained, count(*) AS n_types, CAST(sum(n) AS BIGINT) AS n FROM v WHERE {' + '.join(f'v{i}' for i in range(len(CONSTRAINTS)))} > 0 GROUP BY 1"""
+
 ORACLES = {
+    "harmony_explained": _EXPLAINED,
+    "licensed_shapes": _LICENSED,
+    "word_projection": f"""{_DIVIDED} SELECT word, CAST(n AS BIGINT) AS n, {_listed(_spelled('x.o || x.v || x.c'))} AS syllabified, len(s) AS n_syllables, {_listed(_SHAPE)} AS shape, {', '.join(f"{_listed(f'CAST({_morae("x", k)} AS VARCHAR)')} AS morae_{k}" for k in prosody.SCALES)},
+      len(list_filter(s, lambda x: length(x.v) < 2 AND NOT regexp_matches(x.c, '^[{_set(MEMBERS["R"])}]'))) AS n_lengthened FROM divided""",
     "candidate_words": _CANDIDATES,
     "syllable_shapes": f"{_DIVIDED}, x AS (SELECT n, unnest(s) AS x FROM divided) SELECT {_SHAPE} AS shape, {_weight('x')} AS rime_weight, {_weight('x', 'onset_sensitive')} AS onset_weight, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY 1, 2, 3",
     "syllable_tiers": f"{_DIVIDED}, x AS (SELECT n, unnest(s) AS x FROM divided), c AS (SELECT tier, symbol, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS tier, {q} AS symbol, n FROM x" for k, q in _SYLLABLE_SQL.items()) + ") GROUP BY 1, 2) SELECT tier, symbol, n, round(n / CAST(sum(n) OVER (PARTITION BY tier) AS DOUBLE), 6) AS freq FROM c",

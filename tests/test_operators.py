@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seqlattice.operators import constraints, distributions, graph, mutations, ngrams, search
+from seqlattice.functions.inventory import encoded
+from seqlattice.operators import constraints, distributions, graph, mutations, ngrams, onsets, search
 
 
 def _counts(spark, words, n=2, edges=True):
@@ -217,3 +218,33 @@ def test_similar_pairs_equal_all_pairs(spark):
     need = {(a, b, distance(a, b)) for a in forms for b in forms if a < b and distance(a, b) <= max(1, max(len(a), len(b)) // 4)}
     got = search.similar_pairs(spark.createDataFrame([(f,) for f in [*forms, None, "x"]], "form string")).collect()
     assert {tuple(r) for r in got} == need and len(got) == len(need)
+
+
+def test_learned_onsets_divide_clusters(spark):
+    words = ["tra", "tri", "ka", "ki", "sta", "atra", "aksti", "akka", "ktu", "n", "aia", ""]
+    rows = onsets.licensed(spark.createDataFrame([("x", w) for w in words], "lang string, code string"), "aiu").collect()
+    assert {r.code: r.divided for r in rows} == {
+        "tra": "tra", "tri": "tri", "ka": "ka", "ki": "ki", "sta": "sta", "atra": "a.tra", "aksti": "akst.i", "akka": "ak.ka", "ktu": "ktu", "n": "n", "aia": "a.i.a", "": "",
+    }
+    assert onsets.licensed(spark.createDataFrame([], "lang string, code string"), "aiu").count() == 0
+
+
+def test_references_and_neighbourhood(spark):
+    rows = spark.createDataFrame([("a", ["x", "y", "x"]), ("b", ["x"]), ("c", None)], "id string, refs array<string>")
+    out = {r.target: (r.field, r.n, r.first) for r in graph.references({"f": (rows, "id", "refs")}, 1).collect()}
+    assert out == {"x": ("f", 2, ["a"]), "y": ("f", 1, ["a"])}
+    covers = spark.createDataFrame([("x", "up"), ("down", "x"), ("down", "up")], "child string, parent string")
+    refs = spark.createDataFrame([("x", "f", "a"), ("y", "f", "b")], "target string, field string, source string")
+    assert {tuple(r) for r in graph.neighbourhood("x", covers, refs).collect()} == {("parent", "up"), ("child", "down"), ("reference:f", "a")}
+
+
+def test_cover_mismatches(spark):
+    derived = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None)], "child string, parent string")
+    stored = spark.createDataFrame([("a", "x"), ("b", "z"), ("d", "x")], "child string, parent string")
+    assert {(r.child, tuple(r.expected), tuple(r.actual)) for r in graph.cover_mismatches(derived, stored).collect()} == {("b", ("y",), ("z",)), ("d", (), ("x",))}
+
+
+def test_explained_sorts_by_contribution(spark):
+    asked = [("soft", "*[V]", 1.5), ("none", "*[Q]", 9.0), ("hard", "*[T]#", float("inf"))]
+    row = spark.createDataFrame([("kat",)], "w string").select(constraints.explained(constraints.violations(encoded(F.col("w")), asked), asked).alias("e")).first()
+    assert [tuple(x) for x in row.e] == [("hard", 1, float("inf")), ("soft", 1, 1.5)]
