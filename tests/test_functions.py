@@ -175,21 +175,23 @@ def test_chi_square_tail():
         assert significance.chi_square_p(x, dof) == pytest.approx(p, abs=1e-6)
 
 
-@pytest.mark.parametrize(
-    "pattern, tier, word, n",
-    [
-        ("*[C][C][C]", "segment", "konstav", 1), ("[C].[C]", "segment", "likka", 1), ("[C].[C]", "segment", "pata", 0), ("#[C]", "segment", "pata", 1), ("[+syl]#", "segment", "pata", 1), ("[T][L]", "segment", "paklata", 1),
-        ("kl", "segment", "paklata", 1), ("<k><l>", "segment", "paklata", 1), ("[-son,+cons][+lat]", "segment", "paklata", 1), ("([S]|[T])[+syl]", "segment", "tesav", 2), ("[!V]", "segment", "pata", 2), ("[]{2}", "segment", "pata", 3),
-        ("[weight=superheavy]", "syllable", "suis|kant", 2), ("[final=true]", "syllable", "suis|kant", 1), ("[penult=true]", "syllable", "suis|kant", 1), ("[+cons,role=coda]", "segment", "naz|loft", 3), ("[+cons,role=onset]", "segment", "naz|loft", 2),
-        ("σ{2}", "syllable", "pakata", 2), ("σ", "segment", "pakata", 0), ("[V]?", "segment", "ka", 5), ("#", "segment", "ka", 2), (".[C]", "segment", "pata", 0), ("a_.[C]", "segment", "pata", 1), ("[role!=coda]", "segment", "kat", 2),
-        ("[high!=true]", "segment", "kit", 2), ("[-high]", "segment", "kit", 0), ("[!+high]", "segment", "kit", 2), ("[syl_mora>2]", "segment", "kant", 4), ("[shape=CVC]#", "syllable", "pakat", 1), ("<ka>", "syllable", "pakata", 1), ("kat*[V]", "segment", "kattta", 1),
-    ],
-)
-def test_marked_patterns(spark, pattern, tier, word, n):
-    compiled = marked.compile_marked(pattern, tier)
-    of = marked.segments if tier == "segment" else marked.syllable_tier
-    row = spark.createDataFrame([(word,)], "w string").select(syllables.syllables(F.col("w"))["syllables"].alias("s")).select(of(F.col("s")).alias("t"))
-    assert tuple(row.select(compiled.count(F.col("t")), compiled.found(F.col("t"))).first()) == (n, n > 0)
+# (pattern, tier, word, places)
+MARKED = [
+    ("*[C][C][C]", "segment", "konstav", 1), ("[C].[C]", "segment", "likka", 1), ("[C].[C]", "segment", "pata", 0), ("#[C]", "segment", "pata", 1), ("[+syl]#", "segment", "pata", 1), ("[T][L]", "segment", "paklata", 1),
+    ("kl", "segment", "paklata", 1), ("<k><l>", "segment", "paklata", 1), ("[-son,+cons][+lat]", "segment", "paklata", 1), ("([S]|[T])[+syl]", "segment", "tesav", 2), ("[!V]", "segment", "pata", 2), ("[]{2}", "segment", "pata", 3),
+    ("[weight=superheavy]", "syllable", "suis|kant", 2), ("[final=true]", "syllable", "suis|kant", 1), ("[penult=true]", "syllable", "suis|kant", 1), ("[+cons,role=coda]", "segment", "naz|loft", 3), ("[+cons,role=onset]", "segment", "naz|loft", 2),
+    ("σ{2}", "syllable", "pakata", 2), ("σ", "segment", "pakata", 0), ("[V]?", "segment", "ka", 5), ("#", "segment", "ka", 2), (".[C]", "segment", "pata", 0), ("a_.[C]", "segment", "pata", 1), ("[role!=coda]", "segment", "kat", 2),
+    ("[high!=true]", "segment", "kit", 2), ("[-high]", "segment", "kit", 0), ("[!+high]", "segment", "kit", 2), ("[syl_mora>2]", "segment", "kant", 4), ("[shape=CVC]#", "syllable", "pakat", 1), ("<ka>", "syllable", "pakata", 1), ("kat*[V]", "segment", "kattta", 1),
+]
+
+
+def test_marked_patterns(spark):
+    words = spark.createDataFrame([(w,) for w in sorted({w for _, _, w, _ in MARKED})], "w string").withColumn("s", syllables.syllables(F.col("w"))["syllables"])
+    tiered = words.select("w", marked.segments(F.col("s")).alias("segment"), marked.syllable_tier(F.col("s")).alias("syllable"))
+    compiled = [(marked.compile_marked(p, t), F.col(t)) for p, t, _, _ in MARKED]
+    rows = {r[0]: r for r in tiered.select("w", *(f for c, t in compiled for f in (c.count(t), c.found(t)))).collect()}
+    for i, (pattern, tier, word, n) in enumerate(MARKED):
+        assert (pattern, tier, word, rows[word][1 + 2 * i], rows[word][2 + 2 * i]) == (pattern, tier, word, n, n > 0)
 
 
 def test_marked_edge_cases(spark):
