@@ -63,4 +63,59 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op8_suffix_array_dedup": OP8, "op1_line_dedup": OP1, "op6_decontamination": OP6, "op9_minhash_dedup": OP9}
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+
+#: The checksum goes through the bytes of the decimal id with the polynomial 0xEDB88320, bit by bit.
+OP12 = f"""
+WITH RECURSIVE sums AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda c, b:
+    list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+d AS (
+  SELECT doc_id, source, sha256({_LEAF.format(text="text")}) AS leaf, CASE WHEN crc % 5 = 0 THEN sha256({_LEAF.format(text=_LOWER.format("text"))}) END AS other
+  FROM documents LEFT JOIN sums USING (doc_id)),
+leaves AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM d),
+nodes AS (
+  SELECT 0 AS level, s, r, leaf AS digest, count(*) OVER (PARTITION BY s) AS n FROM leaves
+  UNION ALL
+  SELECT level + 1, s, r // 16, sha256(string_agg(digest, '' ORDER BY r)), (n + 15) // 16 FROM nodes WHERE n > 1 GROUP BY level, s, r // 16, n),
+roots AS (SELECT s AS r, digest AS subroot, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, r, subroot AS digest, n FROM roots
+  UNION ALL
+  SELECT level + 1, r // 16, sha256(string_agg(digest, '' ORDER BY r)), (n + 15) // 16 FROM tops WHERE n > 1 GROUP BY level, r // 16, n),
+low AS (
+  SELECT l.id, x.level, coalesce(string_agg(x.digest, '' ORDER BY x.r) FILTER (x.r < l.r >> (4 * x.level)), '') AS before, coalesce(string_agg(x.digest, '' ORDER BY x.r) FILTER (x.r > l.r >> (4 * x.level)), '') AS after
+  FROM leaves l JOIN nodes x ON x.s = l.s AND x.n > 1 AND x.r // 16 = l.r >> (4 * x.level + 4) GROUP BY 1, 2),
+high AS (
+  SELECT l.id, 100 + x.level AS level, coalesce(string_agg(x.digest, '' ORDER BY x.r) FILTER (x.r < l.s >> (4 * x.level)), '') AS before, coalesce(string_agg(x.digest, '' ORDER BY x.r) FILTER (x.r > l.s >> (4 * x.level)), '') AS after
+  FROM leaves l JOIN tops x ON x.n > 1 AND x.r // 16 = l.s >> (4 * x.level + 4) GROUP BY 1, 2),
+steps AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY level) AS k, before, after FROM (SELECT * FROM low UNION ALL SELECT * FROM high)),
+folds AS (
+  SELECT id, 0 AS k, coalesce(other, leaf) AS digest FROM leaves
+  UNION ALL
+  SELECT f.id, f.k + 1, sha256(before || digest || after) FROM folds f JOIN steps t ON t.id = f.id AND t.k = f.k + 1),
+last AS (SELECT id, max_by(digest, k) AS folded_root FROM folds GROUP BY id),
+proofs AS (SELECT id, string_agg(before || after, '' ORDER BY k) AS p FROM steps GROUP BY id)
+SELECT doc_id, leaf, subroot, (SELECT digest FROM tops WHERE n = 1) AS root, sha256(coalesce(p, '')) AS proof_sha256, folded_root, folded_root = (SELECT digest FROM tops WHERE n = 1) AS verified
+FROM leaves JOIN roots ON roots.r = leaves.s JOIN last USING (id) LEFT JOIN proofs USING (id)
+"""
+
+OP11 = """
+WITH e AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS anchor_id, b.id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.id IS DISTINCT FROM b.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, positive_score, other_id AS negative_id, score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+ORACLES = {"op11_hard_negatives": OP11, "op12_merkle_manifest": OP12, "op8_suffix_array_dedup": OP8, "op1_line_dedup": OP1, "op6_decontamination": OP6, "op9_minhash_dedup": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, license_scan, line_dedup, minhash, quality_rules, segmentation, substring_dedup, suffix_dedup, token_counts
+from . import decontaminate, fingerprints, hard_negatives, html_extract, license_scan, line_dedup, manifest, minhash, quality_rules, segmentation, substring_dedup, suffix_dedup, token_counts
 from .common import table
 from .oracles import ORACLES
 
@@ -65,6 +65,26 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).withColumn("n_matches", F.size("matches").cast("long"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.usable(table(spark, sf_dir, "embeddings"), F.col("vec_id"), label, F.col("embedding"))
+    return hard_negatives.hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of every document; of those whose id's checksum 5 divides, the text is lower-cased before its proof is tried."""
+    columns = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    other = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, manifest.leaf_hash([*(columns | {"text": lowered}).values()]))
+    proofs = manifest.merkle_manifest(table(spark, sf_dir, "documents"), manifest.leaf_hash([*columns.values()]), F.col("source"), F.col("doc_id"), {"doc_id": F.col("doc_id"), "other": other})
+    folded = proofs.withColumns({"proof_sha256": manifest.proof_hash(F.col("path")), "folded_root": manifest.fold(F.coalesce("other", "leaf"), F.col("path"))})
+    return folded.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -13,7 +13,7 @@ def test_query_equals_sql(spark, small, name):
 
 
 def test_there_is_one_query_for_each_operator():
-    assert {int(k[2:].split("_")[0]) for k in queries.queries()} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in queries.queries()} == set(range(1, 14))
 
 
 def test_base_counts_equal_sql(spark, small):
