@@ -142,7 +142,8 @@ def merkle_manifest(docs: DataFrame, leaf: Column, group: Column, order: Column,
     """
     key = F.coalesce(F.concat(F.lit("1"), group.cast("string")), F.lit("0"))
     rows = docs.select(key.alias("g"), order.alias("o"), leaf.alias("digest"), F.struct(*(c.alias(k) for k, c in (keep or {"none": F.lit(None).cast("boolean")}).items())).alias("item"))
-    blocks = _tree(ranked(rows, "g", ["o", "digest"]), "g")
+    leaves = materialize(rows, "leaves")  # the range shuffle reads its input twice: not the texts
+    blocks = _tree(ranked(leaves, "g", ["o", "digest"]), "g")
     tops = blocks.filter(F.col("block") == 0).select(F.lit("").alias("all"), F.col("g"), F.col("top").alias("digest"))
     over = _tree(ranked(tops, "all", ["g"]).withColumn("item", F.struct("g")), "all")
     above = _leaves(over, "top").select(F.col("item.g").alias("g"), F.col("path").alias("upper"), F.col("top").alias("root"))
