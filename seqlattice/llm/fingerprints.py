@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,39 +42,46 @@ WINDOW = 3
 _M32 = np.uint64(0xFFFFFFFF)
 
 
-def _sketched(lines: list[list[bytes]], words: WordHashes) -> np.ndarray:
-    """The sum of the paragraphs' sketches: each paragraph's windows count once in it."""
-    out = np.zeros(LANES, np.int64)
+def _sketched(lines: list[list[bytes]], owners: np.ndarray, n: int, words: WordHashes) -> np.ndarray:
+    """For each of n texts the sum of its paragraphs' sketches: each paragraph's windows count once in it."""
+    if not lines:
+        return np.zeros((n, LANES), np.int64)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    if not len(sizes):
-        return out
     h = words.of([w for line in lines for w in line])
     line_of = np.repeat(np.arange(len(sizes)), sizes)
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(len(h)) - first[line_of]
+    place = np.arange(len(h)) - (np.cumsum(sizes) - sizes)[line_of]
     starts = np.flatnonzero((place + WINDOW <= sizes[line_of]) | (place == 0))
-    window, left = np.zeros(len(starts), np.uint64), np.minimum(sizes[line_of[starts]], WINDOW)
+    line, window = line_of[starts], np.zeros(len(starts), np.uint64)
+    left = np.minimum(sizes[line], WINDOW)
     with np.errstate(over="ignore"):
         for i in range(WINDOW):
             on = left > i
             window[on] = window[on] * np.uint64(0x9E3779B97F4A7C15) + h[starts[on] + i] + np.uint64(1)
         window = mix(window)
-        line = line_of[starts].astype(np.uint64)
-        _, once = np.unique(mix(window + line * np.uint64(0xBF58476D1CE4E5B9)), return_index=True)
-    window = window[once]
-    lane = (window >> np.uint64(1)).astype(np.int64) % LANES
+        _, once = np.unique(mix(window + line.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)), return_index=True)
+    window, lane = window[once], owners[line[once]] * LANES
+    lane += (window >> np.uint64(1)).astype(np.int64) % LANES
     sign = 1 - 2 * (window & np.uint64(1)).astype(np.int64)
-    return np.bincount(lane, weights=sign, minlength=LANES).astype(np.int64)
+    return np.bincount(lane, weights=sign, minlength=n * LANES).astype(np.int64).reshape(n, LANES)
 
 
-def vector(raw: bytes, words: WordHashes | None = None) -> np.ndarray:
-    """The fingerprint of a text as DIGEST + LANES numbers modulo 2 ** 32."""
-    lines, digest = [], np.zeros(DIGEST, np.uint64)
-    for line in raw.split(b"\n"):
-        if split := line.split():
-            lines.append(split)
-            digest += np.frombuffer(hashlib.shake_128(line).digest(4 * DIGEST), "<u4")
-    return np.concatenate([digest & _M32, _sketched(lines, WordHashes() if words is None else words).astype(np.uint64) & _M32])
+def vectors(raws: list[bytes], words: WordHashes | None = None) -> np.ndarray:
+    """The fingerprints of texts, each as DIGEST + LANES numbers modulo 2 ** 32."""
+    lines, owners, digests = [], [], []
+    for i, raw in enumerate(raws):
+        for line in raw.split(b"\n"):
+            if split := line.split():
+                lines.append(split)
+                owners.append(i)
+                digests.append(hashlib.shake_128(line).digest(4 * DIGEST))
+    out = np.zeros((len(raws), DIGEST + LANES), np.uint64)
+    np.add.at(out[:, :DIGEST], owners, np.frombuffer(b"".join(digests), "<u4").reshape(-1, DIGEST).astype(np.uint64))
+    out[:, DIGEST:] = _sketched(lines, np.array(owners, np.int64), len(raws), WordHashes() if words is None else words).astype(np.uint64)
+    return out & _M32
+
+
+def vector(raw: bytes) -> np.ndarray:
+    return vectors([raw])[0]
 
 
 def insert(sum_: np.ndarray, raw: bytes) -> np.ndarray:
@@ -127,7 +135,7 @@ def fingerprint(text: Column) -> Column:
     @F.pandas_udf("string")
     def written(raws: pd.Series) -> pd.Series:
         words = WordHashes()
-        return pd.Series([encode(vector(raw, words)) for raw in raws], dtype=object)
+        return pd.Series([encode(v) for part in _groups(raws) for v in vectors(part, words)], dtype=object)
 
     return written(text_bytes(text))
 
@@ -146,43 +154,71 @@ def _edit(raw: bytes, after: bytes) -> tuple[int, bytes, int]:
     return len(text), kept + start.encode("utf-8", "surrogateescape"), len(kept)
 
 
-def _edited(raw: bytes, sum_: np.ndarray, after: bytes, words: WordHashes) -> tuple[int, bytes, np.ndarray]:
-    """As ``_edit``, with the edited text's fingerprint: the paragraphs that the edit touches are taken out, the new ones put in."""
-    n, new, kept = _edit(raw, after)
-    line = raw.rfind(b"\n", 0, kept) + 1  # the line that the edit begins in
-    return n, new, (sum_ - vector(raw[line:], words) + vector(new[line:], words)) & _M32
-
+def _rows(chain: list[bytes], words: WordHashes) -> list[list]:
+    """The result's columns for the texts of a chain but its last one, which is only their end.
 
-def _row(raw: bytes, sum_: np.ndarray, after: bytes, next_sum: np.ndarray, words: WordHashes) -> tuple:
-    n, new, edited = _edited(raw, sum_, after, words)
-    return n, hashlib.sha256(new).hexdigest(), encode(sum_), encode(edited), _cosine(sum_, edited), _cosine(sum_, next_sum)
+    An edited text's fingerprint comes from the text's: the paragraphs that the edit touches are taken out, the new ones
+    put in.
+    """
+    n, new, old_rest, new_rest = [], [], [], []
+    for raw, next_ in itertools.pairwise(chain):
+        chars, text, kept = _edit(raw, next_)
+        line = raw.rfind(b"\n", 0, kept) + 1  # the line that the edit begins in
+        n.append(chars)
+        new.append(hashlib.sha256(text).hexdigest())
+        old_rest.append(raw[line:])
+        new_rest.append(text[line:])
+    k = len(n)
+    every = vectors([*chain, *old_rest, *new_rest], words)
+    sums, edited = every[:k], (every[:k] - every[k + 1 : -k] + every[-k:]) & _M32
+    return [n, new, *([encode(v) for v in x] for x in (sums, edited)), *([_cosine(x, y) for x, y in zip(sums, others, strict=True)] for others in (edited, every[1 : k + 1]))]
+
+
+#: Texts that are hashed at once: so many, or so many bytes and the text beyond.
+GROUP, GROUP_BYTES = 64, 1 << 18
+
+
+def _groups(texts) -> Iterator[list]:
+    group, size = [], 0
+    for x in texts:
+        group.append(x)
+        size += len(x if isinstance(x, bytes) else x[1])
+        if len(group) >= GROUP or size >= GROUP_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 @released
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with the next one of its partition; of the first and last row the text, for the partitions beside."""
     part, words = TaskContext.get().partitionId(), WordHashes()
+
+    def edge(name: str, id_: int | None, raw: bytes) -> pa.RecordBatch:
+        return record_batch(_PART_ARROW, *([x] for x in (id_, *(None,) * 6, part, name, raw)))
+
     last = None
     for batch in batches:
-        rows = []
-        for id_, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sum_ = vector(raw, words)
+        for group in _groups(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             if last is None:
-                rows.append((None,) * 7 + (part, "first", raw))
+                yield edge("first", *group[0])
             else:
-                rows.append((last[0], *_row(last[1], last[2], raw, sum_, words), None, None, None))
-            last = id_, raw, sum_
-        yield record_batch(_PART_ARROW, *(list(c) for c in zip(*rows, strict=True))) if rows else record_batch(_PART_ARROW, *([[]] * 10))
+                group.insert(0, last)
+            last = group[-1]
+            if len(group) > 1:
+                nothing = [None] * (len(group) - 1)
+                yield record_batch(_PART_ARROW, [id_ for id_, _ in group[:-1]], *_rows([raw for _, raw in group], words), nothing, nothing, nothing)
     if last is not None:
-        yield record_batch(_PART_ARROW, *([x] for x in (last[0], *(None,) * 6, part, "last", last[1])))
+        yield edge("last", *last)
 
 
 @released
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
     for batch in batches:
-        rows = [(id_, *_row(raw, vector(raw, words), after, vector(after, words), words)) for id_, raw, after in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
-        yield record_batch(_PAIR_ARROW, *(list(c) for c in zip(*rows, strict=True))) if rows else record_batch(_PAIR_ARROW, *([[]] * 7))
+        for row in batch.to_pylist():
+            yield record_batch(_PAIR_ARROW, [row["id"]], *_rows([row["end"], row["start"]], words))
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
