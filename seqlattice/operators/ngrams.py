@@ -18,10 +18,11 @@ BOS, EOS = "<s>", "</s>"
 def ngram_counts(rows: DataFrame, symbols: Column, n: int = 2, weight: Column | None = None, edges: bool = True) -> DataFrame:
     """(ctx array, sym, n): n-grams of an array column; empty sequences are left out."""
     syms = F.concat(F.array_repeat(F.lit(BOS), n - 1), symbols, F.array(F.lit(EOS))) if edges else symbols
-    grams = F.transform(F.sequence(F.lit(1), F.size("s") - n + 1), lambda i: F.slice("s", i, n))
     kept = rows.filter(F.size(symbols) > 0).select(syms.alias("s"), (weight if weight is not None else F.lit(1)).cast("long").alias("w")).filter(F.size("s") >= n)
-    exploded = kept.select(F.explode(grams).alias("g"), "w")
-    return exploded.groupBy(F.slice("g", 1, n - 1).alias("ctx"), F.element_at("g", -1).alias("sym")).agg(F.sum("w").alias("n"))
+    shifted = F.arrays_zip(*(F.slice("s", i + 1, F.size("s") - n + 1) for i in range(n)))
+    grams = kept.select(F.explode(shifted).alias("g"), "w").select(*(F.col("g")[str(i)].alias(f"g{i}") for i in range(n)), "w")
+    counted = grams.groupBy(*(f"g{i}" for i in range(n))).agg(F.sum("w").alias("n"))
+    return counted.select(F.array(*(f"g{i}" for i in range(n - 1))).cast("array<string>").alias("ctx"), F.col(f"g{n - 1}").alias("sym"), "n")
 
 
 def ordered_ngram_counts(rows: DataFrame, key: str, order: list[str], symbol: str, n: int = 2) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import marked, morphology, patterns, prosody, syllables, tiers
 from ..functions.inventory import CLASS_OF, CODA_PAIRS, CODE, CONSONANTS, CONSTRAINTS, DIGRAPHS, FUSION, MEMBERS, NUCLEUS_PAIRS, ONSET_PAIRS, PHONEMES, SPELLING, TOKEN, VOWELS, clusters, cv_code, encoded, split
 from ..operators import constraints, distributions, ngrams, onsets, reports, rewriting
 from ..sources.storage import cut
-from ..sources.tables import lexicon, spoken, table, words_of
+from ..sources.tables import lexicon, spoken, table, vocabulary, words_of
 
 
 def _spread(words: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def cv_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phoneme_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lexicon(spark, sf_dir).groupBy("word").agg(F.sum("n").alias("n"))
+    words = vocabulary(spark, sf_dir)
     found = F.regexp_extract_all("word", F.lit(TOKEN), F.lit(1))
     return words.select("word", "n", F.concat_ws(" ", found).alias("tokens"), (F.concat_ws("", found) == F.col("word")).alias("accepted"))
 

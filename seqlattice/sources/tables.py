@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.inventory import tokens
+from .storage import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +19,20 @@ def words_of(text: Column) -> Column:
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(lang, word, n): the words of all documents, counted once; what follows works on words, not on running text."""
+    """(lang, word, n): the words of all documents, counted once and written, so that what follows works on words.
+
+    A filter on words would else move below the count and look at every word of the running text.
+    """
     rows = table(spark, sf_dir, "documents").select("lang", F.explode(words_of(F.col("text"))).alias("word"))
-    return rows.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return cut(rows.groupBy("lang", "word").agg(F.count("*").alias("n")))
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, n) of all languages together, counted once and written."""
+    rows = table(spark, sf_dir, "documents").select(F.explode(words_of(F.col("text"))).alias("word"))
+    return cut(rows.groupBy("word").agg(F.count("*").alias("n")))
 
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, n, tokens) of the words that the inventory can spell."""
-    counted = lexicon(spark, sf_dir).groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.withColumn("tokens", tokens(F.col("word"))).filter("tokens is not null")
+    return vocabulary(spark, sf_dir).withColumn("tokens", tokens(F.col("word"))).filter("tokens is not null")
