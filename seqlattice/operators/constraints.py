@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.inventory import CODE, CONSTRAINTS, CLASS_ORDER, encoded
+from ..functions.inventory import CONSTRAINTS, CLASS_ORDER, encoded
 from ..functions.patterns import compile_pattern
 from ..functions.significance import binomial_p
 
@@ -51,31 +51,6 @@ def totals(words: DataFrame, word: str, weight: str, constraints: list[tuple[str
     return summed.select(F.inline(rows))
 
 
-def baseline(words: DataFrame, tokens: str, weight: str, n: int, seed: int = 1) -> DataFrame:
-    """(draw, word) of ``n`` random words: a skeleton of C and V as often as words have it, each place filled by frequency.
-
-    Cumulative shares are range-joined with hashed uniform draws, so that draws don't depend on partitions.
-    """
-    vowel = F.create_map(*(x for p in CODE for x in (F.lit(p), F.lit("V" if p in "aoeiyuv" else "C"))))
-    skeleton = F.concat_ws("", F.transform(tokens, lambda p: vowel[p]))
-    skeletons = words.groupBy(skeleton.alias("symbol")).agg(F.sum(weight).alias("w")).withColumn("kind", F.lit("S"))
-    sounds = words.select(F.explode(tokens).alias("symbol"), weight).groupBy("symbol").agg(F.sum(weight).alias("w")).withColumn("kind", vowel[F.col("symbol")])
-    by = Window.partitionBy("kind")
-    upto = F.sum("w").over(by.orderBy("symbol").rowsBetween(Window.unboundedPreceding, 0))
-    table = skeletons.unionByName(sounds).select("kind", "symbol", ((upto - F.col("w")) / F.sum("w").over(by)).alias("low"), (upto / F.sum("w").over(by)).alias("high"))
-
-    def uniform(*keys) -> Column:
-        return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-
-    spark = words.sparkSession
-    draws = spark.range(n).select(F.col("id").alias("draw"), uniform("id", F.lit(-1)).alias("u"))
-    drawn = draws.join(F.broadcast(table.filter("kind = 'S'")), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("draw", F.posexplode(F.split("symbol", "")).alias("pos", "kind"))
-    placed = drawn.withColumn("u", uniform("draw", "pos"))
-    filled = placed.alias("d").join(F.broadcast(table.filter("kind <> 'S'")).alias("t"), (F.col("d.kind") == F.col("t.kind")) & (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
-    ordered = filled.groupBy("draw").agg(F.array_sort(F.collect_list(F.struct("pos", "symbol"))).alias("s"))
-    return ordered.select("draw", F.concat_ws("", F.transform("s", lambda x: x["symbol"])).alias("word"))
-
-
 def fit_weights(seen: np.ndarray, weight: np.ndarray, sampled: np.ndarray, l2: float = 1.0, steps: int = 400, many: np.ndarray | None = None) -> np.ndarray:
     """MaxEnt weights, not negative, of violation vectors (rows) against those of random words: projected Newton steps.
 
@@ -134,14 +109,31 @@ def maxent(words: DataFrame, word: str, weight: str, samples: DataFrame, sample:
     return words.sparkSession.createDataFrame([(n, float(x)) for (n, _, _), x in zip(constraints, fitted, strict=True)], "name string, weight double")
 
 
-def count_histograms(words: DataFrame, word: str, weight: str, constraints: list[tuple[str, str, float]]) -> dict[str, dict[int, int]]:
-    """Of each constraint how many words violate it how often, but for the words that don't; one scan for all of them."""
-    counts = violations(encoded(F.col(word)), constraints)
-    found = F.filter(F.array(*(F.struct(F.lit(k).alias("name"), c.alias("v")) for k, c in counts.items())), lambda x: x["v"] > 0)
-    rows = words.select(F.col(weight).alias("w"), F.explode(found).alias("x")).groupBy("x.name", "x.v").agg(F.sum("w").alias("w"))
-    out: dict[str, dict[int, int]] = {k: {} for k, _, _ in constraints}
-    for r in rows.collect():
-        out[r.name][r.v] = r.w
+Histogram = dict[tuple[tuple[int, ...], int, bool], int]
+
+
+def count_histograms(words: DataFrame, word: str, weight: str, constraints: list[tuple[str, str, float]], grammar: list[tuple[str, str, float]] = (), most: int = 10_000) -> dict[str, Histogram]:
+    """Of each constraint how many words have which violations: of the grammar's soft constraints, of it, and whether of a hard one.
+
+    One scan serves all constraints; the driver gets a row for each distinct violation of each, ``most`` for each at most.
+    """
+    counts = violations(encoded(F.col(word)), [*grammar, *(("+" + n, p, w) for n, p, w in constraints)])
+    soft = F.array(*(counts[n] for n, _, w in grammar if math.isfinite(w))).cast("array<long>")
+    hard = F.lit(False)
+    for n, _, w in grammar:
+        hard = hard | (counts[n] > 0) if math.isinf(w) else hard
+    found = F.filter(F.array(*(F.struct(F.lit(n).alias("name"), counts["+" + n].alias("v")) for n, _, _ in constraints)), lambda x: x["v"] > 0)
+    every = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).cast("long").alias("v")))
+    rows = words.select(F.col(weight).alias("w"), soft.alias("soft"), hard.alias("hard"), F.explode(F.concat(every, found)).alias("x"))
+    grouped = rows.groupBy("x.name", "x.v", "soft", "hard").agg(F.sum("w").alias("w")).limit(most * (len(constraints) + 1) + 1).collect()
+    if len(grouped) > most * (len(constraints) + 1):
+        raise ValueError("too many distinct violations; take a smaller grammar")
+    out: dict[str, Histogram] = {n: {(tuple(r.soft), 0, r.hard): r.w for r in grouped if r.name is None} for n, _, _ in constraints}
+    for r in grouped:
+        if r.name is not None:
+            of, key = out[r.name], (tuple(r.soft), r.hard)
+            of[key[0], r.v, key[1]] = r.w
+            of[key[0], 0, key[1]] -= r.w
     return out
 
 
@@ -152,41 +144,52 @@ def log_likelihood(seen: np.ndarray, weight: np.ndarray, sampled: np.ndarray, ma
     return float(-(weight * (seen @ w)).sum() / weight.sum() - log_z)
 
 
+#: Fixed values: (verdict, p below, ratio above, ratio below), the first that holds; none is "indistinct".
+VERDICTS = [("avoided", 0.01, None, 0.5), ("weakly avoided", 0.05, None, 0.8), ("preferred", 0.01, 1.5, None)]
+#: Expected at least so often, and never seen: "absolute".
+NEVER = 3
+
+
 def verdict(observed: float, expected: float, p: float) -> str:
-    ratio = observed / expected if expected > 0 else float("nan")
-    if observed == 0 and expected >= 3:
+    """What the numbers say of a candidate."""
+    if observed == 0 and expected >= NEVER:
         return "absolute"
-    if p < 0.01 and ratio < 0.5:
-        return "avoided"
-    if p < 0.05 and ratio < 0.8:
-        return "weakly avoided"
-    return "preferred" if p < 0.01 and ratio > 1.5 else "indistinct"
+    ratio = observed / expected if expected > 0 else math.nan
+    holds = (name for name, most_p, above, below in VERDICTS if p < most_p and (above is None or ratio > above) and (below is None or ratio < below))
+    return next((name for name in holds if not math.isnan(ratio)), "indistinct")
 
 
-def evaluated(words: DataFrame, word: str, weight: str, samples: DataFrame, sample: str, constraints: list[tuple[str, str, float]], l2: float = 0.01) -> DataFrame:
+def evaluated(words: DataFrame, word: str, weight: str, samples: DataFrame, sample: str, constraints: list[tuple[str, str, float]], l2: float = 0.01, grammar: list[tuple[str, str, float]] = (), seen: dict[str, Histogram] | None = None) -> DataFrame:
     """(name, observed, expected, oe, words_seen, words_expected, log_odds, p_value, gain, verdict) of each candidate, best gain first.
 
-    ``gain`` is what the constraint adds to the mean log likelihood, with its weight fitted.  The driver holds, of each
-    candidate, how many words have how many violations.
+    ``gain`` is what the constraint adds to the mean log likelihood of ``grammar`` as declared, when all soft weights are
+    fitted anew with it.  Random words that violate a hard constraint have no part in the likelihoods, though in the fit.
+    The driver holds, of each candidate, how many words have which violations; ``seen`` are those of the words, where
+    they are known from an evaluation against other samples.
     """
     spark = words.sparkSession
-    seen = count_histograms(words, word, weight, constraints)
-    drawn = count_histograms(samples.withColumn("__w", F.lit(1).cast("long")), sample, "__w", constraints)
+    seen = seen or count_histograms(words, word, weight, constraints, grammar)
+    drawn = count_histograms(samples.withColumn("__w", F.lit(1).cast("long")), sample, "__w", constraints, grammar)
     n, m = words.agg(F.sum(weight)).first()[0] or 0, max(1, samples.count())
+    base = np.array([w for _, _, w in grammar if math.isfinite(w)] + [0.0])
     rows = []
     for name, _, _ in constraints:
-        o, e = sum(v * w for v, w in seen[name].items()), sum(v * w for v, w in drawn[name].items()) / m * n
-        wo, rate = sum(seen[name].values()), sum(drawn[name].values()) / m
+        o, e = (sum(v * w for (_, v, _), w in of[name].items()) for of in (seen, drawn))
+        wo, we = (sum(w for (_, v, _), w in of[name].items() if v) for of in (seen, drawn))
+        e, rate = e / m * n, we / m
         odds = math.log(((wo + 0.5) / (n - wo + 0.5)) / ((rate * n + 0.5) / (n - rate * n + 0.5)))
         p = binomial_p(wo, n, rate)
-        (a, wa), (b, wb) = (_vectors(h, all_) for h, all_ in ((seen[name], n), (drawn[name], m)))
-        gain = log_likelihood(a, wa, b, wb, fit_weights(a, wa, b, l2, many=wb)) if n else 0.0
+        (a, wa, _), (b, wb, legal) = (_vectors(of[name], len(base)) for of in (seen, drawn))
+        gain = 0.0
+        if n and len(b) and legal.any():
+            fitted = fit_weights(a, wa, b, l2, many=wb)
+            gain = log_likelihood(a, wa, b[legal], wb[legal], fitted) - log_likelihood(a, wa, b[legal], wb[legal], base)
         rows.append((name, int(o), float(e), float(o / e) if e else None, int(wo), float(rate * n), odds, p, gain, verdict(o, e, p)))
     schema = "name string, observed long, expected double, oe double, words_seen long, words_expected double, log_odds double, p_value double, gain double, verdict string"
     return spark.createDataFrame(sorted(rows, key=lambda r: -r[8]), schema)
 
 
-def _vectors(histogram: dict[int, int], total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of violations as vectors of one, with their weights; the rest of ``total`` has none."""
-    values = [(0, total - sum(histogram.values())), *sorted(histogram.items())]
-    return np.array([[v] for v, _ in values], float), np.array([w for _, w in values], float)
+def _vectors(histogram: Histogram, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Violation vectors (the grammar's soft constraints, the candidate), their weights, and which violate no hard constraint."""
+    rows = [((*soft, v), w, not hard) for (soft, v, hard), w in sorted(histogram.items()) if w]
+    return np.array([r[0] for r in rows], float).reshape(len(rows), size), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], bool)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import marked, morphology, patterns, prosody, syllables, tiers
 from ..functions.inventory import CLASS_OF, CODA_PAIRS, CODE, CONSONANTS, CONSTRAINTS, DIGRAPHS, FUSION, MEMBERS, NUCLEUS_PAIRS, ONSET_PAIRS, PHONEMES, SPELLING, TOKEN, VOWELS, clusters, cv_code, encoded, split
-from ..operators import constraints, distributions, ngrams, onsets, reports, rewriting
+from ..operators import baselines, constraints, distributions, ngrams, onsets, reports, rewriting
 from ..sources.storage import cut
 from ..sources.tables import lexicon, spoken, table, vocabulary, words_of
 
@@ -254,13 +254,44 @@ def stimulus_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def maxent_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = cut(spoken(spark, sf_dir))
     asked = [("ccc", "*[C][C][C]", 1.0), ("final_t", "*[T]#", 1.0), ("vv", "*[V][V]", 1.0), CONSTRAINTS[2]]
-    return constraints.maxent(words, "word", "n", cut(constraints.baseline(words, "tokens", "n", 4000)), "word", asked)
+    return constraints.maxent(words, "word", "n", baselines.sample(baselines.fit(words, "tokens", "n"), 4000), "word", asked)
 
 
 def constraint_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of classes at three places, against random words of the same skeletons."""
     words = cut(spoken(spark, sf_dir))
-    return constraints.evaluated(words, "word", "n", cut(constraints.baseline(words, "tokens", "n", 4000)), "word", constraints.candidates())
+    return constraints.evaluated(words, "word", "n", baselines.sample(baselines.fit(words, "tokens", "n"), 4000), "word", constraints.candidates())
+
+
+def constraint_evaluation_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against divisible random words of each model, on top of the declared constraints."""
+    words = cut(spoken(spark, sf_dir))
+    found, seen = None, constraints.count_histograms(words, "word", "n", constraints.candidates(), CONSTRAINTS)
+    for mode in baselines.MODES:
+        samples = baselines.sample(baselines.fit(words, "tokens", "n", mode), 4000, accept="divided")
+        rows = constraints.evaluated(words, "word", "n", samples, "word", constraints.candidates(), grammar=CONSTRAINTS, seen=seen).withColumn("mode", F.lit(mode))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def baseline_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """300 random words of legal syllables by each model of the spoken words."""
+    words = cut(spoken(spark, sf_dir))
+    found = [baselines.sample(baselines.fit(words, "tokens", "n", mode), 300, 1, "legal").select(F.lit(mode).alias("mode"), "try", "word") for mode in baselines.MODES]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def baseline_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of 1000 tries of each model: how many can be divided, have legal parts, and are words of the lexicon."""
+    words = cut(spoken(spark, sf_dir))
+    out = None
+    for mode in baselines.MODES:
+        tries = cut(baselines.spelled(baselines.fit(words, "tokens", "n", mode), 0, 1000, 2))
+        known = tries.join(words.select("word"), "word", "left_semi").select(F.lit("known").alias("test"))
+        tests = [baselines.accepted(tries, a).select(F.lit(a).alias("test")) for a in baselines.ACCEPT]
+        rows = known.unionByName(tests[0]).unionByName(tests[1]).unionByName(tests[2]).groupBy("test").agg(F.count("*").alias("words")).withColumn("mode", F.lit(mode))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def rank_laws_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +310,7 @@ def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     word_rank_stats, lang_js_divergence, lang_summary_ratios, cv_clusters, cv_counts, phoneme_tokenise, phoneme_distribution, phoneme_bigrams, phoneme_pmi_extremes, vowel_feature_agreement, top10_variants, sequence_hits, class_bigrams, vowel_harmony, pattern_count,
-    constraint_violations, harmony_rank, harmony_explained, licensed_shapes, word_projection, word_ipa, syllable_shapes, syllable_tiers, pattern_syllable_count, rewrite_corrections, join_forms, word_audit, affix_seams, candidate_words, default_falls, stimulus_cells, maxent_weights, constraint_evaluation, rank_laws_letters, page_markers,
+    constraint_violations, harmony_rank, harmony_explained, licensed_shapes, word_projection, word_ipa, syllable_shapes, syllable_tiers, pattern_syllable_count, rewrite_corrections, join_forms, word_audit, affix_seams, candidate_words, default_falls, stimulus_cells, maxent_weights, constraint_evaluation, constraint_evaluation_models, baseline_samples, baseline_acceptance, rank_laws_letters, page_markers,
 )}
 
 _LEX = "lex AS (SELECT lang, w AS word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY lang, w)"
@@ -383,6 +414,38 @@ divided AS (SELECT *, true AS whole FROM strict UNION ALL SELECT *, false FROM r
 _DIVIDED = _divided_sql(_SPOKEN)
 
 
+def _baseline_sql(seed: int, tries: int) -> str:
+    """``tried`` (mode, try, word): random words of the three models by the hashes of their tries."""
+    u = "CAST('0x' || substr(md5('{0}:' || {1}), 1, 12) AS BIGINT)"
+    return f"""{_SPOKEN},
+places AS (SELECT tokens[i] AS symbol, i, len(tokens) AS size, n FROM (SELECT tokens, n, unnest(range(1, len(tokens) + 1)) AS i FROM spoken)),
+placed AS (
+  SELECT 'cv' AS mode, CASE WHEN symbol IN {VOWELS} THEN 'V' ELSE 'C' END AS place, symbol, n FROM places UNION ALL SELECT 'unigram', 'all', symbol, n FROM places
+  UNION ALL SELECT 'positional', CASE WHEN i = 1 THEN 'first' WHEN i = size THEN 'last' ELSE 'middle' END, symbol, n FROM places),
+sounds AS (SELECT mode, place, symbol, w, sum(w) OVER (PARTITION BY mode, place ORDER BY symbol) AS high, sum(w) OVER (PARTITION BY mode, place) AS total FROM (SELECT mode, place, symbol, sum(n) AS w FROM placed GROUP BY ALL)),
+wholes AS (
+  SELECT 'cv' AS mode, array_to_string(list_transform(tokens, lambda p: CASE WHEN p IN {VOWELS} THEN 'V' ELSE 'C' END), '') AS symbol, n FROM spoken
+  UNION ALL SELECT m, CAST(len(tokens) AS VARCHAR), n FROM spoken, (VALUES ('unigram'), ('positional')) v(m)),
+ranges AS (SELECT mode, symbol, w, sum(w) OVER (PARTITION BY mode ORDER BY md5(symbol), symbol) AS high, sum(w) OVER (PARTITION BY mode) AS total FROM (SELECT mode, symbol, sum(n) AS w FROM wholes GROUP BY ALL)),
+drawn AS (SELECT mode, t, symbol FROM ranges, (SELECT unnest(range(0, {tries})) AS t) WHERE {u.format(seed, "t || ':w'")} % total >= high - w AND {u.format(seed, "t || ':w'")} % total < high),
+spots AS (SELECT mode, t, symbol, unnest(range(0, size)) AS i, size FROM (SELECT *, CASE WHEN mode = 'cv' THEN length(symbol) ELSE CAST(symbol AS INT) END AS size FROM (SELECT * FROM drawn))),
+kinds AS (SELECT mode, t, i, CASE WHEN mode = 'cv' THEN symbol[i + 1] WHEN mode = 'unigram' THEN 'all' WHEN i = 0 THEN 'first' WHEN i = size - 1 THEN 'last' ELSE 'middle' END AS place FROM spots),
+tried AS (SELECT k.mode, t AS try, string_agg(symbol, '' ORDER BY i) AS word FROM kinds k JOIN sounds s ON s.mode = k.mode AND s.place = k.place AND {u.format(seed, "t || ':' || i")} % total >= high - w AND {u.format(seed, "t || ':' || i")} % total < high GROUP BY k.mode, t)"""
+
+
+def _accepted_sql(seed: int, tries: int) -> str:
+    return f"""WITH RECURSIVE {_baseline_sql(seed, tries)}, {_SIZES}, enc AS (SELECT word, 1 AS n, {_code('word')} AS code FROM (SELECT DISTINCT word FROM tried)),
+{_ways('strict', 'enc', True)}, rest AS (SELECT * FROM enc WHERE word NOT IN (SELECT word FROM strict)), {_ways('relaxed', 'rest', False)}"""
+
+
+_BASELINES = {
+    "baseline_samples": f"{_accepted_sql(1, 2500)} SELECT mode, try, word FROM tried WHERE word IN (SELECT word FROM strict) QUALIFY row_number() OVER (PARTITION BY mode ORDER BY try) <= 300",
+    "baseline_acceptance": f"""{_accepted_sql(2, 1000)} SELECT mode, test, count(*) AS words FROM (
+  SELECT mode, 'any' AS test FROM tried UNION ALL SELECT mode, 'legal' FROM tried WHERE word IN (SELECT word FROM strict) UNION ALL SELECT mode, 'known' FROM tried WHERE word IN (SELECT word FROM spoken)
+  UNION ALL SELECT mode, 'divided' FROM tried WHERE word IN (SELECT word FROM strict) OR word IN (SELECT word FROM relaxed)) GROUP BY mode, test""",
+}
+
+
 def _morae(s: str, scale: str = "rime") -> str:
     return f"(CASE WHEN length({s}.v) > 1 THEN 2 ELSE 1 END + length({s}.c) + greatest(length({s}.o) - 1, 0) * {prosody.SCALES[scale]['onset']})"
 
@@ -508,3 +571,4 @@ ORACLES = {
     "harmony_rank": f"WITH {_SPOKEN}, e AS (SELECT n, {_code('word')} AS code FROM spoken), v AS (SELECT n, {_starts(CONSTRAINTS[0][1])} + {_starts(CONSTRAINTS[1][1])} AS hard, {_starts(CONSTRAINTS[2][1])} AS soft FROM e) SELECT CASE WHEN hard > 0 THEN 'excluded' ELSE printf('%.1f', 4.0 * soft) END AS harmony, count(*) AS n_types, CAST(sum(n) AS BIGINT) AS n FROM v GROUP BY 1",
     "page_markers": "WITH t AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '<(!--|[a-zA-Z][a-zA-Z0-9]*)', 1) AS tags FROM pages), p AS (SELECT tags, unnest(range(1, len(tags) + 1)) AS i FROM t) SELECT coalesce(tags[i + 1], '(end)') AS next, count(*) AS n FROM p WHERE tags[i] = '!--' GROUP BY 1",
 }
+ORACLES |= _BASELINES
