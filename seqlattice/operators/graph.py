@@ -42,6 +42,32 @@ def on_cycle(closed: DataFrame) -> DataFrame:
     return closed.filter(F.col("child") == F.col("ancestor")).select(F.col("child").alias("node")).distinct()
 
 
+def cycle_paths(edges: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+    """(root, path): of each set of nodes that reach one another, a shortest cycle through its least node, which stands at both ends.
+
+    The closure holds the least number of steps between two nodes; from the root, each step goes to the parent that is
+    nearest to the root again, the least one of several.  All cycles are walked at once, a join a step.
+    """
+    closed = closure(edges) if closed is None else closed
+    steps = closed.select("child", "ancestor", "depth")
+    back = steps.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("child"))
+    same = steps.select("child", "ancestor").join(back, ["child", "ancestor"])
+    roots = same.groupBy("child").agg(F.min("ancestor").alias("root")).filter("child = root").select("root")
+    to_root = cut(steps.join(roots, F.col("ancestor") == F.col("root")).select("root", F.col("child").alias("node"), "depth"))
+    way = to_root.filter("node = root").select("root", "node", F.col("depth").alias("left"), F.array("root").alias("path"))
+    done = None
+    ups = edges.select(F.col("child").alias("node"), F.col("parent").alias("next")).filter("next is not null").distinct()
+    while True:
+        ended = way.filter("left = 1").select("root", F.concat("path", F.array("root")).alias("path"))
+        done = ended if done is None else done.unionByName(ended)
+        going = way.filter("left > 1")
+        if going.isEmpty():
+            return done
+        near = to_root.select("root", F.col("node").alias("next"), F.col("depth").alias("rest"))
+        onward = going.join(ups, "node").join(near, ["root", "next"]).filter("rest = left - 1")
+        way = cut(onward.groupBy("root", "left", "path").agg(F.min("next").alias("node")).select("root", "node", (F.col("left") - 1).alias("left"), F.concat("path", F.array("node")).alias("path")))
+
+
 def redundant(edges: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     """Covers (child, parent) that another path implies.  In a graph without cycles all of them can go at once."""
     closed = closure(edges) if closed is None else closed

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.inventory import DIGRAPHS, tokens
 from ..operators import graph, mutations, search
+from ..sources import versions
+from ..sources.storage import shared_dir
 from ..sources.tables import table, words_of
 from .texts import _ALPHABET, _code
 
@@ -189,9 +193,43 @@ def patched_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.difference(mutations.with_parents(words, covers), mutations.with_parents(result.words, result.covers), "id", ["entry", "category", "parents"]).select("id", "change", F.array_join("fields", ",").alias("fields"))
 
 
+def geo_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest cycle of each region once some nations, and some customers, also stand above it."""
+    nation = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("n"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("r"), "n_nationkey")
+    customer = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 7").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    wrong = nation.filter("n_nationkey % 12 = 1").select(F.col("r").alias("child"), F.col("n").alias("parent")).unionByName(customer.select(F.col("r").alias("child"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("parent")))
+    return graph.cycle_paths(geo_covers(spark, sf_dir).unionByName(wrong)).select("root", F.array_join("path", " ").alias("path"))
+
+
+def transacted_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a patch with deletions in a row, a quote, references and states changes, as read from the version it publishes."""
+    words, covers = geo_words(spark, sf_dir).withColumn("quote_of", F.lit(None).cast("string")), geo_covers(spark, sf_dir)
+    key = F.col("o_custkey") % 25
+    refs = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("ships to").alias("field"), F.concat(F.lit("n"), key.cast("string")).alias("ref"))
+    states = covers.filter(F.col("child").rlike("[05]$")).withColumn("state", F.lit("claimed"))
+    root = f"{shared_dir(spark)}/geo-{uuid.uuid4().hex}"
+    base = versions.publish(spark, root, {"words": words, "covers": covers, "references": refs, "states": states}, None)
+    before = mutations.Patched(*(versions.read(spark, root, n) for n in ("words", "covers", "references", "states")))
+    after = mutations.apply_patch(before.words, before.covers, [
+        {"op": "delete", "id": "n5", "reconnect": "parents", "reference_policy": "remove"},
+        {"op": "materialize_quote", "id": "entry:root", "as": "q0"},
+        {"op": "delete", "id": "r0", "reconnect": "parents"},
+        {"op": "add", "id": "r9", "entry": "NEW REGION", "upper_covers": ["r1"]},
+        {"op": "set_fields", "id": "r9", "expect": {"category": "region"}, "set": {"category": "zone"}},
+        {"op": "set_upper_covers", "id": "n6", "from": sorted({"root" if p == "r0" else p for p in mutations.parents_of(covers, "n6")}), "to": ["r9", "r1", "root"]},
+    ], before.references, before.states)
+    versions.publish(spark, root, {"words": after.words, "covers": after.covers, "references": after.references, "states": after.states}, base)
+    now = mutations.Patched(*(versions.read(spark, root, n) for n in ("words", "covers", "references", "states")))
+    changed = mutations.changes(before, now, ["entry", "category", "quote_of"]).select("id", "change", F.array_join("fields", ",").alias("fields"))
+    for name, columns in (("references", ["id", "ref"]), ("states", ["child", "parent"])):
+        gone = getattr(before, name).join(getattr(now, name), columns, "left_anti")
+        changed = changed.unionByName(gone.select(F.col(columns[0]).alias("id"), F.lit(f"drop {name}").alias("change"), F.col(columns[1]).alias("fields")))
+    return changed
+
+
 QUERIES = {f.__name__: f for f in (
     geo_closure, geo_context, geo_redundant_edges, geo_issues, geo_category_stats, geo_child_counts, geo_disjointness, geo_references, geo_deletion, dangling_refs, part_search, part_neighbours, part_similar, word_neighbours, prefix_covers, prefix_mismatches, customer_changes,
-    template_similarity, patched_geo,
+    template_similarity, patched_geo, geo_cycles, transacted_geo,
 )}
 
 _EDGES = """edges AS (SELECT 'r' || r_regionkey AS child, 'root' AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
@@ -259,3 +297,18 @@ ORACLES["geo_references"] = """WITH r AS (SELECT 'n' || c_nationkey AS target, '
   SELECT target, field, count(*) AS n, string_agg(source, ',' ORDER BY source) FILTER (i <= 3) AS first FROM p GROUP BY 1, 2"""
 ORACLES["geo_deletion"] = f"""WITH {_EDGES} SELECT 'parent' AS relation, parent AS other FROM edges WHERE child = 'n4' UNION SELECT 'child', child FROM edges WHERE parent = 'n4'
   UNION SELECT 'reference:order', CAST(o_orderkey AS VARCHAR) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 4"""
+ORACLES["geo_cycles"] = f"""WITH RECURSIVE {_EDGES}, e AS (SELECT * FROM edges UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation WHERE n_nationkey % 12 = 1
+    UNION SELECT 'r' || n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 7), {_closure('e')},
+  roots AS (SELECT a.child AS root FROM closed a JOIN closed b ON b.child = a.ancestor AND b.ancestor = a.child GROUP BY a.child HAVING min(a.ancestor) = a.child),
+  walk AS (SELECT root, [root, parent] AS path FROM roots JOIN e ON child = root UNION ALL SELECT root, list_append(path, parent) FROM walk JOIN e ON child = path[-1] WHERE path[-1] <> root AND len(path) < 6)
+  SELECT root, array_to_string(path, ' ') AS path FROM walk WHERE path[-1] = root QUALIFY row_number() OVER (PARTITION BY root ORDER BY len(path), path) = 1"""
+ORACLES["transacted_geo"] = f"""WITH RECURSIVE {_EDGES}, {_WORDS},
+  moved AS (SELECT child, CASE WHEN parent = 'n5' THEN (SELECT parent FROM edges WHERE child = 'n5') ELSE parent END AS parent FROM edges WHERE child NOT IN ('n5', 'r0', 'n6')),
+  parted AS (SELECT child, CASE WHEN parent = 'r0' THEN 'root' ELSE parent END AS parent FROM moved UNION SELECT 'r9', 'r1' UNION SELECT 'n6', 'r9'),
+  w AS (SELECT *, NULL AS quote_of FROM words),
+  v AS (SELECT * FROM w WHERE id NOT IN ('n5', 'r0') UNION ALL SELECT 'q0', '⌜root⌝', 'root', 'root' UNION ALL SELECT 'r9', 'NEW REGION', 'zone', NULL),
+  b AS (SELECT *, (SELECT string_agg(parent, ' ' ORDER BY parent) FROM edges WHERE child = id) AS parents FROM w), a AS (SELECT *, (SELECT string_agg(parent, ' ' ORDER BY parent) FROM parted WHERE child = id) AS parents FROM v)
+  SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'add' WHEN a.id IS NULL THEN 'delete' ELSE 'update' END AS change, CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN 'parents' END AS fields
+  FROM b FULL JOIN a ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.parents IS DISTINCT FROM b.parents
+  UNION ALL SELECT 'o' || o_orderkey, 'drop references', 'n5' FROM orders WHERE o_orderkey % 10 = 0 AND o_custkey % 25 = 5
+  UNION ALL SELECT child, 'drop states', parent FROM edges x WHERE regexp_matches(child, '[05]$') AND NOT EXISTS (SELECT 1 FROM parted p WHERE p.child = x.child AND p.parent = x.parent)"""
