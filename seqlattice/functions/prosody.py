@@ -19,6 +19,17 @@ def licensing_morae(syllable: Column, scale: str = "rime") -> Column:
     return morae(syllable, scale if SCALES[scale]["license_onset"] else "rime")
 
 
+#: What counts beyond the nucleus: every coda consonant or any coda, and onset consonants after the first.
+COMPARED = {"rime": {"coda": "each", "onset": False}, "onset": {"coda": "each", "onset": True}, "katakana": {"coda": "any", "onset": True}}
+
+
+def compared_weight(syllable: Column, scale: str) -> Column:
+    """The weight of a syllable by one of the scales that are compared with heard accents."""
+    counts, coda = COMPARED[scale], F.size(syllable["coda"])
+    extra = F.greatest(F.size(syllable["onset"]) - 1, F.lit(0)) if counts["onset"] else F.lit(0)
+    return F.when(F.size(syllable["nucleus"]) == 1, 1).otherwise(2) + (coda if counts["coda"] == "each" else F.least(coda, F.lit(1))) + extra
+
+
 def weight(n: Column) -> Column:
     return F.when(n <= 1, "light").when(n == 2, "heavy").otherwise("superheavy")
 
@@ -36,7 +47,7 @@ def valid_accent(accent: Column, syllables: Column) -> Column:
 def contour_problems(accent: Column, syllables: Column, scale: str = "rime", least: int = 2) -> Column:
     """Places (from 0) of falling or rising syllables with too few licensing morae."""
     at = F.sequence(F.lit(0), F.greatest(F.size(syllables) - 1, F.lit(0)))
-    bad = F.filter(at, lambda i: F.substring(accent, 1, 64).substr(i + 1, F.lit(1)).isin("F", "R") & (licensing_morae(F.get(syllables, i), scale) < least))
+    bad = F.filter(at, lambda i: F.substring(accent, i + 1, F.lit(1)).isin("F", "R") & (licensing_morae(F.get(syllables, i), scale) < least))
     return F.when(F.size(syllables) > 0, bad).otherwise(F.array().cast("array<int>"))
 
 

@@ -66,13 +66,18 @@ def accent(column: Column) -> Column:
 
 
 def tier(name: str) -> Tier:
-    """A tier by name; ``feature:x`` projects to any feature."""
+    """A tier by name: of sounds, of syllables, ``accent``, or ``feature:x`` for any feature.
+
+    A tier of sounds takes an array of sounds, one of syllables an array of (onset, nucleus, coda), the accent its string.
+    """
     kind, _, rest = name.partition(":")
     if kind == "feature":
         return feature(rest)
-    if name not in TIERS:
-        raise ValueError(f"no tier {name!r}; there are {', '.join(TIERS)} and feature:NAME")
-    return TIERS[name]
+    if name == "accent":
+        return accent
+    if name not in TIERS | SYLLABLE_TIERS:
+        raise ValueError(f"no tier {name!r}; there are {', '.join([*TIERS, *SYLLABLE_TIERS])}, accent and feature:NAME")
+    return (TIERS | SYLLABLE_TIERS)[name]
 
 
 def zipped(left: Column, right: Column, mark: str = "/") -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import morphology, prosody
+from ..functions import alignment, morphology, prosody
 from ..functions.inventory import cv_code, encoded, tokens
 from ..functions.patterns import compile_pattern
 from ..functions.syllables import syllables
+from ..sources.storage import cut
 from . import search
 from .constraints import violations
 
@@ -27,6 +28,53 @@ def accent_fall(accent: Column) -> Column:
     return F.get(falls, F.lit(0)) - 1
 
 
+def accent_kind(accent: Column) -> Column:
+    """struct(kind, at): F and its place, else HL and the place of that H, else none; places from 0."""
+    f, hl = F.instr(accent, "F"), F.instr(accent, "HL")
+    return F.struct(F.when(f > 0, "F").when(hl > 0, "HL").otherwise("none").alias("kind"), F.when(f > 0, f - 1).when(hl > 0, hl - 1).alias("at"))
+
+
+def predicted_accent(weights: Column, rule: str) -> Column:
+    """Where a rule puts the accent, by the syllables' weights: of 2 and more is heavy."""
+    heavy = F.filter(F.sequence(F.lit(0), F.size(weights) - 1), lambda i: F.get(weights, i) >= 2)
+    return {
+        "first_heavy": F.coalesce(F.get(heavy, F.lit(0)), F.lit(0)),
+        "heaviest": F.array_position(weights, F.array_max(weights)).cast("int") - 1,
+        "last_heavy": F.coalesce(F.get(heavy, F.size(heavy) - 1), F.size(weights) - 1),
+    }[rule]
+
+
+#: The rules that are compared.
+ACCENT_RULES = ("first_heavy", "heaviest", "last_heavy")
+
+
+def transcribed(words: DataFrame, word: str = "word", transcription: str = "transcription", accent: str = "accent") -> DataFrame:
+    """``words`` with ``s``, the syllables of the spelling as the transcription divides it, ``longer`` and ``doubled`` (places of
+    copied vowels and consonants) and ``problem``: a transcription that isn't of the spelling, one that can't be divided, or
+    an accent of another length."""
+    # written, as what follows looks at both more than once
+    parts = cut(words.withColumn("__u", alignment.underlying(F.col(word), F.col(transcription))))
+    divided = cut(parts.withColumn("__d", syllables(F.array_join(F.transform("__u", lambda x: x["text"]), "."))))
+    places = F.sequence(F.lit(0), F.size("__u") - 1)
+    problem = F.when(F.col("__u").isNull(), "not of the spelling").when(F.col("__d.syllables").isNull(), "no division").when(F.length(accent) != F.size("__u"), "another length")
+    return divided.select(*words.columns, F.when(problem.isNull(), F.col("__d.syllables")).alias("s"), *(F.when(F.col("__u").isNotNull(), F.filter(places, lambda i: F.get(F.col("__u"), i)[k])).alias(k) for k in ("longer", "doubled")), problem.alias("problem"))
+
+
+def accent_rules(words: DataFrame, weight: Column | None = None, word: str = "word", transcription: str = "transcription", accent: str = "accent") -> DataFrame:
+    """(kind, rule, scale, n, hits, on_heavy, share) of transcribed words, by kind of accent: how often each rule finds the accent
+    by each scale, and how often the accented syllable is heavy.  Words with a problem, or without a fall, don't count."""
+    rows = transcribed(words.withColumn("__w", weight if weight is not None else F.lit(1)), word, transcription, accent).filter("problem is null").withColumn("a", accent_kind(F.col(accent))).filter("a.at is not null")
+
+    def by_scale(scale: str) -> Column:
+        return F.transform("s", lambda x: prosody.compared_weight(x, scale))
+
+    weighed = {k: by_scale(k) for k in prosody.COMPARED}
+    tests = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(k).alias("scale"), (predicted_accent(w, r) == F.col("a.at")).alias("hit"), (F.get(w, F.col("a.at")) >= 2).alias("heavy")) for k, w in weighed.items() for r in ACCENT_RULES))
+    each = rows.select(F.col("a.kind").alias("kind"), F.col("__w").alias("w"), F.explode(tests).alias("t")).select("kind", "w", "t.*")
+    summed = each.groupBy("kind", "rule", "scale").agg(F.sum("w").alias("n"), *(F.sum(F.when(F.col(c), F.col("w")).otherwise(0)).alias(name) for c, name in (("hit", "hits"), ("heavy", "on_heavy"))))
+    return summed.withColumn("share", F.col("hits") / F.col("n"))
+
+
 def accent_accuracy(words: DataFrame, word: str = "word", accent: str = "accent") -> DataFrame:
     """(scale, n, hits, share) of default falls against given accents, by weight scale."""
     parsed = words.withColumn("__s", syllables(F.col(word))["syllables"]).filter("__s is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import marked, morphology, patterns, prosody, syllables, tiers
+from ..functions import alignment, marked, morphology, patterns, prosody, syllables, tiers
 from ..functions.inventory import CLASS_OF, CODA_PAIRS, CODE, CONSONANTS, CONSTRAINTS, DIGRAPHS, FUSION, MEMBERS, NUCLEUS_PAIRS, ONSET_PAIRS, PHONEMES, SPELLING, TOKEN, VOWELS, clusters, cv_code, encoded, split
 from ..operators import baselines, constraints, distributions, ngrams, onsets, reports, rewriting
 from ..sources.storage import cut
@@ -308,9 +308,55 @@ def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy(F.coalesce("next", F.lit("(end)")).alias("next")).agg(F.count("*").alias("n"))
 
 
+def divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every division of the benchmark's words into syllables, in order."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(words_of(F.col("text"))).alias("word")).distinct()
+    return words.lateralJoin(syllables.Divisions(F.col("word").outer())).select("word", F.col("place").cast("long").alias("place"), "divided", "legal")
+
+
+def best_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The division of each word that fills onsets, and the one that fills codas."""
+    def text(score: syllables.Score) -> Column:
+        return F.array_join(F.transform(syllables.syllables(F.col("word"), score)["syllables"], lambda x: marked.spelling(x)), ".")
+
+    return _spread(spoken(spark, sf_dir)).select("word", text(syllables.onsets_first).alias("by_onset"), text(syllables.codas_first).alias("by_coda")).filter("by_onset is not null")
+
+
+def correction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands for what when words are aligned with their corrections, letter by letter, over all words."""
+    def letters(c: str) -> Column:
+        return F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
+
+    rows = _spread(spoken(spark, sf_dir)).select("n", letters("word").alias("x"), rewriting.rewritten(F.col("word"))["result"].alias("y")).withColumn("y", letters("y")).filter("x <> y")
+    pairs = rows.select("n", F.explode(alignment.aligned_pairs(F.col("x"), F.col("y"), alignment.alignment(F.col("x"), F.col("y"))["steps"])).alias("p")).select("n", "p.*")
+    return pairs.filter("not (left <=> right)").groupBy(F.coalesce("left", F.lit("")).alias("left"), F.coalesce("right", F.lit("")).alias("right"), "copy").agg(F.sum("n").alias("n"))
+
+
+def accent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and scales against the accents of transcriptions, in which short vowels are doubled.
+
+    The accents are those of the default rule by the onset-sensitive scale: F in words of an even number of letters, H
+    before L in the others.
+    """
+    s, n = F.col("s"), F.size("s")
+    at = F.sequence(F.lit(0), n - 1)
+
+    def spelled(i: Column) -> Column:
+        """A syllable, its vowel doubled where it lengthens and the next one doesn't begin with the same letter."""
+        x, vowel = F.get(s, i), F.element_at(F.get(s, i)["nucleus"], -1)
+        doubled = prosody.needs_lengthening(x) & ~F.coalesce(F.substring(marked.spelling(F.get(s, i + 1)), 1, 1) == vowel, F.lit(False))
+        return F.concat(F.array_join(x["onset"], ""), F.array_join(x["nucleus"], ""), F.when(doubled, vowel).otherwise(""), F.array_join(x["coda"], ""))
+
+    p = reports.default_fall(s, "onset_sensitive")
+    falling = F.concat(F.repeat(F.lit("L"), p), F.lit("F"), F.repeat(F.lit("L"), n - p - 1))
+    dropping = F.when(p < n - 1, F.concat(F.repeat(F.lit("L"), p), F.lit("HL"), F.repeat(F.lit("L"), n - p - 2))).otherwise(F.repeat(F.lit("L"), n))
+    rows = cut(_divided(spark, sf_dir)).select("word", "n", F.array_join(F.transform(at, spelled), ".").alias("transcription"), F.when(F.length("word") % 2 == 0, falling).otherwise(dropping).alias("accent"))
+    return reports.accent_rules(rows, F.col("n")).withColumn("share", F.round("share", 6))
+
+
 QUERIES = {f.__name__: f for f in (
     word_rank_stats, lang_js_divergence, lang_summary_ratios, cv_clusters, cv_counts, phoneme_tokenise, phoneme_distribution, phoneme_bigrams, phoneme_pmi_extremes, vowel_feature_agreement, top10_variants, sequence_hits, class_bigrams, vowel_harmony, pattern_count,
-    constraint_violations, harmony_rank, harmony_explained, licensed_shapes, word_projection, word_ipa, syllable_shapes, syllable_tiers, pattern_syllable_count, rewrite_corrections, join_forms, word_audit, affix_seams, candidate_words, default_falls, stimulus_cells, maxent_weights, constraint_evaluation, constraint_evaluation_models, baseline_samples, baseline_acceptance, rank_laws_letters, page_markers,
+    constraint_violations, harmony_rank, harmony_explained, licensed_shapes, word_projection, word_ipa, syllable_shapes, syllable_tiers, pattern_syllable_count, rewrite_corrections, join_forms, word_audit, affix_seams, candidate_words, default_falls, stimulus_cells, maxent_weights, constraint_evaluation, constraint_evaluation_models, baseline_samples, baseline_acceptance, divisions, best_by, correction_pairs, accent_rules, rank_laws_letters, page_markers,
 )}
 
 _LEX = "lex AS (SELECT lang, w AS word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY lang, w)"
@@ -572,3 +618,29 @@ ORACLES = {
     "page_markers": "WITH t AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '<(!--|[a-zA-Z][a-zA-Z0-9]*)', 1) AS tags FROM pages), p AS (SELECT tags, unnest(range(1, len(tags) + 1)) AS i FROM t) SELECT coalesce(tags[i + 1], '(end)') AS next, count(*) AS n FROM p WHERE tags[i] = '!--' GROUP BY 1",
 }
 ORACLES |= _BASELINES
+
+_TEXT = "array_to_string(list_transform(s, lambda x: x.o || x.v || x.c), '.')"
+_ORDER = "list_transform(s, lambda x: 100 * length(x.o) + 10 * length(x.v) + length(x.c))"
+_ASKED = f"spoken AS (SELECT word, 1 AS n FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) WHERE array_to_string({_TOKENS}, '') = word)"
+ORACLES["divisions"] = f"""{_divided_sql(_ASKED)}, ways AS (SELECT word, code, s, true AS legal FROM strict_cut WHERE pos > length(code) UNION ALL SELECT word, code, s, false FROM relaxed_cut WHERE pos > length(code))
+  SELECT word, row_number() OVER (PARTITION BY word ORDER BY {_ORDER}) - 1 AS place, {_spelled(_TEXT)} AS divided, legal FROM ways"""
+_CODAS = "SELECT word, s FROM {0}_cut WHERE pos > length(code) QUALIFY row_number() OVER (PARTITION BY word ORDER BY list_sum(list_transform(s, lambda x: length(x.c))) DESC, len(s), " + _ORDER + ") = 1"
+ORACLES["best_by"] = f"""{_DIVIDED}, codas AS (SELECT * FROM ({_CODAS.format('strict')}) UNION ALL SELECT * FROM ({_CODAS.format('relaxed')}))
+  SELECT word, {_spelled(_TEXT.replace('(s,', '(d.s,'))} AS by_onset, {_spelled(_TEXT.replace('(s,', '(c.s,'))} AS by_coda FROM divided d JOIN codas c USING (word)"""
+
+
+def _accent_rules_sql() -> str:
+    weights = {"rime": "length(x.c)", "onset": "length(x.c) + greatest(length(x.o) - 1, 0)", "katakana": "least(length(x.c), 1) + greatest(length(x.o) - 1, 0)"}
+    rules = {
+        "first_heavy": "coalesce(list_position(list_transform(w, lambda x: x >= 2), true), 1)", "heaviest": "list_position(w, list_max(w))",
+        "last_heavy": "coalesce(len(w) + 1 - list_position(list_transform(list_reverse(w), lambda x: x >= 2), true), len(w))",
+    }
+    weighed = " UNION ALL ".join(f"SELECT *, '{k}' AS scale, list_transform(s, lambda x: CASE WHEN length(x.v) > 1 THEN 2 ELSE 1 END + {w}) AS w FROM heard" for k, w in weights.items())
+    tested = " UNION ALL ".join(f"SELECT *, '{k}' AS rule, {w} - 1 = fall AS hit FROM weighed" for k, w in rules.items())
+    return f"""{_DIVIDED}, heard AS (SELECT s, n, fall, CASE WHEN length(word) % 2 = 0 THEN 'F' ELSE 'HL' END AS kind FROM (SELECT *, {_fall('onset_sensitive')} AS fall FROM divided) WHERE length(word) % 2 = 0 OR fall < len(s) - 1),
+  weighed AS ({weighed}), tested AS ({tested})
+  SELECT kind, rule, scale, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CASE WHEN hit THEN n ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN w[fall + 1] >= 2 THEN n ELSE 0 END) AS BIGINT) AS on_heavy,
+    round(sum(CASE WHEN hit THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE), 6) AS share FROM tested GROUP BY 1, 2, 3"""
+
+
+ORACLES["accent_rules"] = _accent_rules_sql()
