@@ -5,54 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spelling, IPA, manner, place, sonority, features.  Consonants have no vowel features.
-_CONSONANT = ("syl", "cons", "son", "voi", "cont", "nas", "lat")
-_ROWS = """
-f f fricative labial 4 -+--+--
-s s fricative alveolar 4 -+--+--
-z z fricative alveolar 5 -+-++--
-c ɕ fricative postalveolar 4 -+--+--
-zc ʑ fricative postalveolar 5 -+-++--
-kh x fricative velar 4 -+--+--
-h h fricative glottal 4 -+--+--
-ts t͡s affricate alveolar 3 -+-----
-tc t͡ɕ affricate postalveolar 3 -+-----
-p p plosive labial 2 -+-----
-b b plosive labial 3 -+-+---
-t t plosive alveolar 2 -+-----
-d d plosive alveolar 3 -+-+---
-k k plosive velar 2 -+-----
-g g plosive velar 3 -+-+---
-m m nasal labial 6 -+++-+-
-n n nasal alveolar 6 -+++-+-
-ng ŋ nasal velar 6 -+++-+-
-l l liquid alveolar 7 -++++-+
-w w approximant labial 8 -++++--
-j j approximant palatal 8 -++++--
-a a vowel alveolar 10 +-+++-- -+--
-o o vowel velar 10 +-+++-- --++
-e e vowel palatal 10 +-+++-- ----
-i i vowel palatal 10 +-+++-- +---
-y y vowel palatal 10 +-+++-- +--+
-u ɘ vowel velar 10 +-+++-- +-+-
-v u vowel velar 10 +-+++-- +-++
-"""
-_VOWEL = ("high", "low", "back", "round")
-_CENTRAL = ("a", "u")
-
-
-def _read() -> dict[str, dict]:
-    out = {}
-    for line in _ROWS.strip().splitlines():
-        spell, ipa, manner, place, sonor, signs, *vowel = line.split()
-        features = dict(zip(_CONSONANT, (s == "+" for s in signs), strict=True))
-        features |= dict(zip(_VOWEL, (s == "+" for s in vowel[0]), strict=True)) if vowel else {}
-        features |= {"central": True} if spell in _CENTRAL else {}
-        out[spell] = {"spell": spell, "ipa": ipa, "manner": manner, "place": place, "sonor": int(sonor), **features}
-    return out
-
-
-PHONEMES = _read()
+# The sounds, by spelling.  Consonants have no features of vowels.
+SOUNDS = [
+    {"spell": "f", "ipa": "f", "manner": "fricative", "place": "labial", "sonor": 4, "syl": False, "cons": True, "son": False, "voi": False, "cont": True, "nas": False, "lat": False},
+    {"spell": "s", "ipa": "s", "manner": "fricative", "place": "alveolar", "sonor": 4, "syl": False, "cons": True, "son": False, "voi": False, "cont": True, "nas": False, "lat": False},
+    {"spell": "z", "ipa": "z", "manner": "fricative", "place": "alveolar", "sonor": 5, "syl": False, "cons": True, "son": False, "voi": True, "cont": True, "nas": False, "lat": False},
+    {"spell": "c", "ipa": "ɕ", "manner": "fricative", "place": "postalveolar", "sonor": 4, "syl": False, "cons": True, "son": False, "voi": False, "cont": True, "nas": False, "lat": False},
+    {"spell": "zc", "ipa": "ʑ", "manner": "fricative", "place": "postalveolar", "sonor": 5, "syl": False, "cons": True, "son": False, "voi": True, "cont": True, "nas": False, "lat": False},
+    {"spell": "kh", "ipa": "x", "manner": "fricative", "place": "velar", "sonor": 4, "syl": False, "cons": True, "son": False, "voi": False, "cont": True, "nas": False, "lat": False},
+    {"spell": "h", "ipa": "h", "manner": "fricative", "place": "glottal", "sonor": 4, "syl": False, "cons": True, "son": False, "voi": False, "cont": True, "nas": False, "lat": False},
+    {"spell": "ts", "ipa": "t͡s", "manner": "affricate", "place": "alveolar", "sonor": 3, "syl": False, "cons": True, "son": False, "voi": False, "cont": False, "nas": False, "lat": False},
+    {"spell": "tc", "ipa": "t͡ɕ", "manner": "affricate", "place": "postalveolar", "sonor": 3, "syl": False, "cons": True, "son": False, "voi": False, "cont": False, "nas": False, "lat": False},
+    {"spell": "p", "ipa": "p", "manner": "plosive", "place": "labial", "sonor": 2, "syl": False, "cons": True, "son": False, "voi": False, "cont": False, "nas": False, "lat": False},
+    {"spell": "b", "ipa": "b", "manner": "plosive", "place": "labial", "sonor": 3, "syl": False, "cons": True, "son": False, "voi": True, "cont": False, "nas": False, "lat": False},
+    {"spell": "t", "ipa": "t", "manner": "plosive", "place": "alveolar", "sonor": 2, "syl": False, "cons": True, "son": False, "voi": False, "cont": False, "nas": False, "lat": False},
+    {"spell": "d", "ipa": "d", "manner": "plosive", "place": "alveolar", "sonor": 3, "syl": False, "cons": True, "son": False, "voi": True, "cont": False, "nas": False, "lat": False},
+    {"spell": "k", "ipa": "k", "manner": "plosive", "place": "velar", "sonor": 2, "syl": False, "cons": True, "son": False, "voi": False, "cont": False, "nas": False, "lat": False},
+    {"spell": "g", "ipa": "g", "manner": "plosive", "place": "velar", "sonor": 3, "syl": False, "cons": True, "son": False, "voi": True, "cont": False, "nas": False, "lat": False},
+    {"spell": "m", "ipa": "m", "manner": "nasal", "place": "labial", "sonor": 6, "syl": False, "cons": True, "son": True, "voi": True, "cont": False, "nas": True, "lat": False},
+    {"spell": "n", "ipa": "n", "manner": "nasal", "place": "alveolar", "sonor": 6, "syl": False, "cons": True, "son": True, "voi": True, "cont": False, "nas": True, "lat": False},
+    {"spell": "ng", "ipa": "ŋ", "manner": "nasal", "place": "velar", "sonor": 6, "syl": False, "cons": True, "son": True, "voi": True, "cont": False, "nas": True, "lat": False},
+    {"spell": "l", "ipa": "l", "manner": "liquid", "place": "alveolar", "sonor": 7, "syl": False, "cons": True, "son": True, "voi": True, "cont": True, "nas": False, "lat": True},
+    {"spell": "w", "ipa": "w", "manner": "approximant", "place": "labial", "sonor": 8, "syl": False, "cons": True, "son": True, "voi": True, "cont": True, "nas": False, "lat": False},
+    {"spell": "j", "ipa": "j", "manner": "approximant", "place": "palatal", "sonor": 8, "syl": False, "cons": True, "son": True, "voi": True, "cont": True, "nas": False, "lat": False},
+    {"spell": "a", "ipa": "a", "manner": "vowel", "place": "alveolar", "sonor": 10, "syl": True, "cons": False, "son": True, "voi": True, "cont": True, "nas": False, "lat": False, "high": False, "low": True, "back": False, "round": False, "central": True},
+    {"spell": "o", "ipa": "o", "manner": "vowel", "place": "velar", "sonor": 10, "syl": True, "cons": False, "son": True, "voi": True, "cont": True, "nas": False, "lat": False, "high": False, "low": False, "back": True, "round": True},
+    {"spell": "e", "ipa": "e", "manner": "vowel", "place": "palatal", "sonor": 10, "syl": True, "cons": False, "son": True, "voi": True, "cont": True, "nas": False, "lat": False, "high": False, "low": False, "back": False, "round": False},
+    {"spell": "i", "ipa": "i", "manner": "vowel", "place": "palatal", "sonor": 10, "syl": True, "cons": False, "son": True, "voi": True, "cont": True, "nas": False, "lat": False, "high": True, "low": False, "back": False, "round": False},
+    {"spell": "y", "ipa": "y", "manner": "vowel", "place": "palatal", "sonor": 10, "syl": True, "cons": False, "son": True, "voi": True, "cont": True, "nas": False, "lat": False, "high": True, "low": False, "back": False, "round": True},
+    {"spell": "u", "ipa": "ɘ", "manner": "vowel", "place": "velar", "sonor": 10, "syl": True, "cons": False, "son": True, "voi": True, "cont": True, "nas": False, "lat": False, "high": True, "low": False, "back": True, "round": False, "central": True},
+    {"spell": "v", "ipa": "u", "manner": "vowel", "place": "velar", "sonor": 10, "syl": True, "cons": False, "son": True, "voi": True, "cont": True, "nas": False, "lat": False, "high": True, "low": False, "back": True, "round": True},
+]
+PHONEMES: dict[str, dict] = {f["spell"]: f for f in SOUNDS}
 VOWELS = tuple(p for p, f in PHONEMES.items() if f["syl"])
 CONSONANTS = tuple(p for p, f in PHONEMES.items() if f["cons"])
 DIGRAPHS = tuple(p for p in PHONEMES if len(p) == 2)
@@ -75,7 +59,7 @@ SCALES = {"rime": {"onset": 0, "license_onset": False}, "onset_sensitive": {"ons
 # Spelling rules, in order.
 SPELLING = [
     {"sj": "c", "zj": "zc", "tsj": "tc", "tj": "tc", "dj": "zc", "hj": "kh"},
-    {a + v: b + v for a, b in (("s", "c"), ("z", "zc"), ("ts", "tc"), ("t", "tc"), ("d", "zc"), ("h", "kh")) for v in "iyuv"},
+    {"si": "ci", "sy": "cy", "su": "cu", "sv": "cv", "zi": "zci", "zy": "zcy", "zu": "zcu", "zv": "zcv", "tsi": "tci", "tsy": "tcy", "tsu": "tcu", "tsv": "tcv", "ti": "tci", "ty": "tcy", "tu": "tcu", "tv": "tcv", "di": "zci", "dy": "zcy", "du": "zcu", "dv": "zcv", "hi": "khi", "hy": "khy", "hu": "khu", "hv": "khv"},
     {"ji": "i"},
 ]
 # Vowel pairs that fuse in speech.

@@ -73,14 +73,35 @@ def _class(members: list[str]) -> str:
     return "[" + "".join(CODE[p] for p in members) + "]" if members else "(?!)"
 
 
+def _quantifier(body: str, i: int, text: str) -> tuple[str, int]:
+    """A quantifier as Java writes it, and the place behind it; ``{,n}`` is from none to n."""
+    if body[i] != "{":
+        return body[i], i + 1
+    m = re.compile(r"\{(\d*)(,?)(\d*)\}").match(body, i)
+    if not m or not (m[1] or m[3]) or m[1] and m[3] and int(m[1]) > int(m[3]):
+        raise ValueError(f"not a quantifier at {i} in {text!r}")
+    return f"{{{m[1] or 0}{m[2]}{m[3]}}}", m.end()
+
+
 def compile_pattern(text: str) -> Pattern:
     """Compile a pattern over features of the inventory."""
     body = text[1:] if text.startswith("*") else text
     out, i, depth = [], 0, 0
+    repeats = False  # whether a quantifier may follow
     while i < len(body):
         c = body[i]
+        if c in "?*+{":
+            if not repeats:
+                raise ValueError(f"nothing to repeat at {i} in {text!r}")
+            quantifier, i = _quantifier(body, i, text)
+            out.append(quantifier)
+            repeats = False
+            continue
+        repeats = c not in "(|_" and not c.isspace()
         if c == "[":
-            end = body.index("]", i)
+            end = body.find("]", i)
+            if end < 0:
+                raise ValueError(f"no ] after {i} in {text!r}")
             out.append(_class([p for p, f in PHONEMES.items() if segment(body[i + 1 : end], f)]))
             i = end + 1
         elif c == "#":
@@ -90,10 +111,6 @@ def compile_pattern(text: str) -> Pattern:
             depth += (c == "(") - (c == ")")
             out.append("(?:" if c == "(" else c)
             i += 1
-        elif c in "?*+{":
-            end = body.index("}", i) if c == "{" else i
-            out.append(body[i : end + 1])
-            i = end + 1
         elif c.isupper():
             out.append(_class(list(MEMBERS[c])))
             i += 1

@@ -17,7 +17,10 @@ from ..functions.syllables import syllabify
 
 # The correction rules, in order (name, target, replacement, left, right); ``_`` marks no context.
 CORRECTIONS = [
-    *(("voicing_intervocalic", a, b, "[+syl]", "[+syl]") for a, b in (("t", "d"), ("k", "g"), ("p", "b"), ("s", "z"))),
+    ("voicing_intervocalic", "t", "d", "[+syl]", "[+syl]"),
+    ("voicing_intervocalic", "k", "g", "[+syl]", "[+syl]"),
+    ("voicing_intervocalic", "p", "b", "[+syl]", "[+syl]"),
+    ("voicing_intervocalic", "s", "z", "[+syl]", "[+syl]"),
     ("coda_k_spirantization", "k", "kh", "", "(#|[O])"),
     ("velar_nasal_assimilation", "n", "ng", "", "(k|g|kh)"),
     ("final_nasal_velarization", "[spell=n,initial=false]", "ng", "", "#"),

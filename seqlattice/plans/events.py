@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import distributions, ngrams
+from ..operators import distributions, monotone, ngrams
 from ..sources.storage import cut
 from ..sources.tables import table
 
@@ -129,9 +129,21 @@ def rank_laws_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distributions.rank_laws(rows.groupBy(F.lit("events").alias("unit"), "symbol").agg(F.sum("n").alias("n")), "unit")
 
 
+def utterance_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's purchases, sized by value, aligned in order with the spans of their views and clicks: by how many spans
+    each purchase takes, and how many spans are left out."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.coalesce("value", F.lit(0.0)).alias("value"), (F.unix_micros(F.col("ts").cast("timestamp")) / 6e8).alias("at"))
+    by = Window.partitionBy("user_id").orderBy("at", "event_id")
+    items = events.filter("event_type = 'purchase'").select(F.col("user_id").alias("key"), F.row_number().over(by).alias("place"), (1 + F.floor(F.abs("value")) % 5).alias("size"))
+    heard = events.filter("event_type in ('view', 'click')").select(F.col("user_id").alias("key"), F.col("at").alias("start"), (F.col("at") + F.abs("value") / 100).alias("stop"))
+    found = monotone.aligned(items, heard)
+    took = F.when(F.col("item").isNull(), 0).otherwise(F.coalesce(F.col("last") - F.col("first") + 1, F.lit(-1)))
+    return found.groupBy("key", took.cast("long").alias("took")).agg(F.count("*").alias("n"), F.sum("first").alias("places"))
+
+
 QUERIES = {f.__name__: f for f in (
     bigram_pmi_events, event_transition_matrix, event_entropy_summary, event_gaps, event_sequence_score, event_score_summary, event_weakest_transition, event_distribution, event_positional_dist,
-    event_sessions, event_value_by_type, role_transition, role_length_cooccurrence, flag_cooccurrence_chi2, label_cooccurrence, segment_priority_grouping, permutation_null_mi, rank_laws_events,
+    event_sessions, event_value_by_type, role_transition, role_length_cooccurrence, flag_cooccurrence_chi2, label_cooccurrence, segment_priority_grouping, permutation_null_mi, rank_laws_events, utterance_alignment,
 )}
 
 _SCORES = f"""WITH {_GRAMS},

@@ -211,3 +211,15 @@ def test_syllable_tiers(spark):
     got = row.select(*(t(F.col("s")).alias(k) for k, t in tiers.SYLLABLE_TIERS.items())).first().asDict()
     assert got["syllable"] == ["pa", "kla", "ta"] and got["syllable_class_shape"] == ["T-V-", "TL-V-", "T-V-"]
     assert got["onset_shape"] == ["T", "TL", "T"] and got["coda_shape"] == ["∅"] * 3 and got["mora:onset_sensitive"] == ["1", "2", "1"]
+
+
+@pytest.mark.parametrize("bad", ["{2}a", "a{2", "a{3,1}", "a{}", "a{x}", "[+syl", "(*a)", "a|?", "a**", "_+"])
+def test_patterns_that_are_refused(bad):
+    with pytest.raises(ValueError):
+        patterns.compile_pattern(bad)
+
+
+def test_counted_repeats(spark):
+    rows = spark.createDataFrame([("taat",), ("taaat",), ("tt",)], "w string")
+    counts = {p: [r.n for r in rows.select(patterns.compile_pattern(p).count(F.col("w")).alias("n")).collect()] for p in ("ta{,2}t", "ta{2,}t", "ta{3}t", "ta{0,1}t", "t(aa){,1}t")}
+    assert counts == {"ta{,2}t": [1, 0, 1], "ta{2,}t": [1, 1, 0], "ta{3}t": [0, 1, 0], "ta{0,1}t": [0, 0, 1], "t(aa){,1}t": [1, 0, 1]}
