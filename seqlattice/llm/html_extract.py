@@ -39,6 +39,9 @@ DEEPEST = 512
 
 #: A tag up to its end; quotes count after an equals sign and where they are closed.  Nothing is ever tried twice.
 _TAG = re.compile(r"""</?+[a-zA-Z](?:[^>=]++|=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+#: A comment as browsers end it: at once, or with the first --> or --!>.  A declaration ends with the first >.
+_COMMENT = re.compile(r"<!--(?:-?+>|(?s:.*?)--!?>)")
+_DECLARATION = re.compile(r"<[!?][^>]*+>")
 _TAG_NAME = re.compile(r"</?+([a-zA-Z][^ \t\n\f\r/>]*+)")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -116,8 +119,8 @@ def parse(page: str) -> Page:
         following = page[at + 1 : at + 2]
         if following in ("!", "?"):
             text(at)
-            end = page.find("-->", at + 4) + 3 if page.startswith("<!--", at) else page.find(">", at) + 1
-            at = text_from = end if end >= 3 else len(page)
+            m = (_COMMENT if page.startswith("<!--", at) else _DECLARATION).match(page, at)
+            at = text_from = m.end() if m else len(page)
             continue
         named = _TAG_NAME.match(page, at)
         if named is None:

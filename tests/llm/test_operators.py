@@ -505,6 +505,15 @@ def _main_text(page, weights):
     return html_extract.text_of(parsed, html_extract.Forest([parsed]).marginals(*weights)[0] > 0.5)
 
 
+@pytest.mark.parametrize(("inside", "left"), [
+    ("one <!--> two", "one two"), ("one <!---> two", "one two"), ("one <!-- a > b --> two", "one two"), ("one <!-- a --!> two", "one two"), ("one <!-- <p> --> two <!---->three", "one two three"),
+    ("one <!x> two <?php 1 ?> three", "one two three"), ("one <!-- a -- > b", "one"), ("one <!--", "one"), ("one <!-- a --!> two --> three", "one two --> three"),
+])
+def test_comments_end_as_in_browsers(inside, left):
+    page = html_extract.parse(f"<div>{inside}")
+    assert " ".join(" ".join(t for _, t in page.pieces).split()) == left
+
+
 def test_broken_quotes_and_deep_nesting(weights):
     page = '<article><p>One.</p><p>Two. </p><p title="x>Broken quote here. It goes on.</p><p>After all. Yes.</p></article>'
     assert _main_text(page, weights) == "One. Two. Broken quote here. It goes on. After all. Yes."
