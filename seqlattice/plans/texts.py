@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment, marked, morphology, patterns, prosody, syllables, tiers
 from ..functions.inventory import CLASS_OF, CODA_PAIRS, CODE, CONSONANTS, CONSTRAINTS, DIGRAPHS, FUSION, MEMBERS, NUCLEUS_PAIRS, ONSET_PAIRS, PHONEMES, SPELLING, TOKEN, VOWELS, clusters, cv_code, encoded, split
-from ..operators import baselines, constraints, distributions, ngrams, onsets, reports, rewriting
+from ..operators import baselines, blind, constraints, distributions, ngrams, onsets, reports, rewriting
 from ..sources.storage import cut
 from ..sources.tables import lexicon, spoken, table, vocabulary, words_of
 
@@ -354,9 +354,18 @@ def accent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.accent_rules(rows, F.col("n")).withColumn("share", F.round("share", 6))
 
 
+#: Known words and their places in ``blind_stimuli``.
+_ANCHORS = (("kata", 1), ("pata", 25), ("kalam", 50))
+
+
+def blind_stimuli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spoken words in a blind order, a tenth of them twice, at least 20 places apart."""
+    return blind.blind_order(spoken(spark, sf_dir), seed=5, anchors=_ANCHORS)
+
+
 QUERIES = {f.__name__: f for f in (
     word_rank_stats, lang_js_divergence, lang_summary_ratios, cv_clusters, cv_counts, phoneme_tokenise, phoneme_distribution, phoneme_bigrams, phoneme_pmi_extremes, vowel_feature_agreement, top10_variants, sequence_hits, class_bigrams, vowel_harmony, pattern_count,
-    constraint_violations, harmony_rank, harmony_explained, licensed_shapes, word_projection, word_ipa, syllable_shapes, syllable_tiers, pattern_syllable_count, rewrite_corrections, join_forms, word_audit, affix_seams, candidate_words, default_falls, stimulus_cells, maxent_weights, constraint_evaluation, constraint_evaluation_models, baseline_samples, baseline_acceptance, divisions, best_by, correction_pairs, accent_rules, rank_laws_letters, page_markers,
+    constraint_violations, harmony_rank, harmony_explained, licensed_shapes, word_projection, word_ipa, syllable_shapes, syllable_tiers, pattern_syllable_count, rewrite_corrections, join_forms, word_audit, affix_seams, candidate_words, default_falls, stimulus_cells, maxent_weights, constraint_evaluation, constraint_evaluation_models, baseline_samples, baseline_acceptance, divisions, best_by, correction_pairs, accent_rules, blind_stimuli, rank_laws_letters, page_markers,
 )}
 
 _LEX = "lex AS (SELECT lang, w AS word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY lang, w)"
@@ -644,3 +653,10 @@ def _accent_rules_sql() -> str:
 
 
 ORACLES["accent_rules"] = _accent_rules_sql()
+ORACLES["blind_stimuli"] = f"""WITH {_SPOKEN}, base AS (SELECT word, row_number() OVER (ORDER BY md5('5:order:' || word), word) - 1 AS rank, count(*) OVER () AS n FROM spoken),
+  picked AS (SELECT * FROM base WHERE rank + 20 <= n QUALIFY row_number() OVER (ORDER BY md5('5:repeat:' || word), word) <= CAST(floor(n * 0.1) AS BIGINT)),
+  slots AS (SELECT word, rank AS slot, false AS is_repeat FROM base UNION ALL SELECT word, rank + 20 + CAST('0x' || substr(md5('5:slot:' || word), 1, 12) AS BIGINT) % (n - rank - 20 + 1), true FROM picked),
+  others AS (SELECT *, row_number() OVER (ORDER BY slot, is_repeat DESC, md5('5:tie:' || word), word) AS i FROM slots),
+  free AS (SELECT p, row_number() OVER (ORDER BY p) AS i FROM (SELECT unnest(range(1, (SELECT count(*) FROM others) + {len(_ANCHORS) + 1})) AS p) WHERE p NOT IN ({', '.join(str(p) for _, p in _ANCHORS)})),
+  placed AS (SELECT p AS place, word, is_repeat, false AS is_anchor FROM others JOIN free USING (i) UNION ALL SELECT * FROM (VALUES {', '.join(f"({p}, '{w}', false, true)" for w, p in _ANCHORS)}))
+  SELECT place, substr(sha1(word), 1, 8) AS id, word, is_repeat, is_anchor FROM placed"""
