@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import alignment, marked, morphology, patterns, prosody, syllables, tiers
+from ..functions import alignment, colours, marked, morphology, patterns, prosody, syllables, tiers
 from ..functions.inventory import CLASS_OF, CODA_PAIRS, CODE, CONSONANTS, CONSTRAINTS, DIGRAPHS, FUSION, MEMBERS, NUCLEUS_PAIRS, ONSET_PAIRS, PHONEMES, SPELLING, TOKEN, VOWELS, clusters, cv_code, encoded, split
 from ..operators import baselines, blind, constraints, distributions, ngrams, onsets, reports, rewriting
 from ..sources.storage import cut
@@ -363,9 +363,23 @@ def blind_stimuli(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blind.blind_order(spoken(spark, sf_dir), seed=5, anchors=_ANCHORS)
 
 
+def colour_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the colour model's letters: under how many backgrounds they are well formed, how far their colours move, their
+    repeats and dispersion, and their forms in harmony with the first half of their vowels, or with the rest."""
+    word = F.col("word")
+    words = vocabulary(spark, sf_dir).filter(colours.in_set(word))
+    isles = cut(_spread(words).select("word", "n", colours.islands(word, 0).alias("i0"), colours.islands(word, 1).alias("i1")))
+    of = [F.col("i0"), F.col("i1")]
+    half = F.floor((F.size(colours.vowels(word)) + 1) / 2)
+    return isles.select(
+        "word", "n", F.size(colours.good_backgrounds(of)).cast("long").alias("n_good"), F.round(colours.transport(of, (0.5, 0.0)), 6).alias("transport"), colours.repeats(word).cast("long").alias("repeats"),
+        F.round(colours.dispersion(word), 6).alias("dispersion"), colours.harmony(word, half).alias("by_root"), colours.harmony(word, half, True).alias("by_suffix"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     word_rank_stats, lang_js_divergence, lang_summary_ratios, cv_clusters, cv_counts, phoneme_tokenise, phoneme_distribution, phoneme_bigrams, phoneme_pmi_extremes, vowel_feature_agreement, top10_variants, sequence_hits, class_bigrams, vowel_harmony, pattern_count,
-    constraint_violations, harmony_rank, harmony_explained, licensed_shapes, word_projection, word_ipa, syllable_shapes, syllable_tiers, pattern_syllable_count, rewrite_corrections, join_forms, word_audit, affix_seams, candidate_words, default_falls, stimulus_cells, maxent_weights, constraint_evaluation, constraint_evaluation_models, baseline_samples, baseline_acceptance, divisions, best_by, correction_pairs, accent_rules, blind_stimuli, rank_laws_letters, page_markers,
+    constraint_violations, harmony_rank, harmony_explained, licensed_shapes, word_projection, word_ipa, syllable_shapes, syllable_tiers, pattern_syllable_count, rewrite_corrections, join_forms, word_audit, affix_seams, candidate_words, default_falls, stimulus_cells, maxent_weights, constraint_evaluation, constraint_evaluation_models, baseline_samples, baseline_acceptance, divisions, best_by, correction_pairs, accent_rules, blind_stimuli, colour_report, rank_laws_letters, page_markers,
 )}
 
 _LEX = "lex AS (SELECT lang, w AS word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY lang, w)"
