@@ -9,6 +9,7 @@ All is said by arrays of a word: its vowels, its clusters (one more), and of a c
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ _VOWELS = "".join(COLOURS)
 _LETTERS = "".join(sorted(set(_VOWELS + PASSES[0] + PASSES[1])))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: inside a lambda a column's expression is worked out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def in_set(word: Column) -> Column:
     """Whether a word has letters of the model only."""
     return word.rlike(f"^[{_LETTERS}]*$")
@@ -49,7 +55,6 @@ def _value(vowel: Column, j: int) -> Column:
 
 def islands(word: Column, j: int) -> Column:
     """array of (values, settled): the islands of component ``j`` in order; ``settled`` is the mean, null where the background decides."""
-    walls = _open(word, j)
     kind = "array<struct<first:int,values:array<double>>>"
 
     def step(found: Column, x: Column) -> Column:
@@ -59,16 +64,18 @@ def islands(word: Column, j: int) -> Column:
         grown = F.struct(last["first"].alias("first"), F.concat(last["values"], F.array(x["v"])).alias("values"))
         return F.when((x["i"] == 0) | ~x["open"], F.concat(found, F.array(own))).otherwise(F.concat(F.slice(found, 1, F.size(found) - 1), F.array(grown))).cast(kind)
 
-    placed = F.transform(vowels(word), lambda v, i: F.struct(i.alias("i"), _value(v, j).alias("v"), F.get(walls, i).alias("open")))
-    found = F.aggregate(placed, F.array().cast(kind), step)
-    n = F.size(vowels(word))
+    def settled(of: Column) -> Column:
+        n = F.size(of["vowels"])
+        placed = F.transform(F.arrays_zip(of["vowels"].alias("v"), F.slice(of["walls"], 1, n).alias("open")), lambda x, i: F.struct(i.alias("i"), _value(x["v"], j).alias("v"), x["open"].alias("open")))
+
+        def settle(x: Column) -> Column:
+            outside = (x["first"] == 0) & F.get(of["walls"], F.lit(0)) | (x["first"] + F.size(x["values"]) == n) & F.get(of["walls"], n)
+            mean = F.aggregate(x["values"], F.lit(0.0), lambda a, v: a + v) / F.size(x["values"])
+            return F.struct(x["values"].alias("values"), F.when(~outside, mean).alias("settled"))
 
-    def settle(x: Column) -> Column:
-        outside = (x["first"] == 0) & F.get(walls, F.lit(0)) | (x["first"] + F.size(x["values"]) == n) & F.get(walls, n)
-        mean = F.aggregate(x["values"], F.lit(0.0), lambda a, v: a + v) / F.size(x["values"])
-        return F.struct(x["values"].alias("values"), F.when(~outside, mean).alias("settled"))
+        return F.transform(F.aggregate(placed, F.array().cast(kind), step), settle)
 
-    return F.transform(found, settle)
+    return _let(F.struct(vowels(word).alias("vowels"), _open(word, j).alias("walls")), settled)
 
 
 def good_backgrounds(islands_by_component: list[Column]) -> Column:
@@ -114,25 +121,26 @@ def _nearest(word: Column, j: int, sources: Column, root: Column) -> Column:
 
     Two running folds carry the last source seen, from the left and from the right; an opaque wall clears it.
     """
-    n, walls = F.size(vowels(word)), _open(word, j)
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    def found(of: Column) -> Column:
+        at = F.when(F.size(of["sources"]) > 0, F.sequence(F.lit(0), F.size(of["sources"]) - 1)).otherwise(F.array().cast("array<int>"))
 
-    def run(order: Column, wall) -> Column:
-        def step(seen: Column, i: Column) -> Column:
-            before = F.when(F.get(walls, wall(i)), F.element_at(F.concat(F.array(F.lit(None).cast("int")), seen), -1))
-            return F.concat(seen, F.array(F.when(F.get(sources, i), i).otherwise(before))).cast("array<int>")
+        def run(order: Column, wall: Callable[[Column], Column]) -> Column:
+            def step(seen: Column, i: Column) -> Column:
+                before = F.when(F.get(of["walls"], wall(i)), F.element_at(F.concat(F.array(F.lit(None).cast("int")), seen), -1))
+                return F.concat(seen, F.array(F.when(F.get(of["sources"], i), i).otherwise(before))).cast("array<int>")
 
-        return F.aggregate(order, F.array().cast("array<int>"), step)
+            return F.aggregate(order, F.array().cast("array<int>"), step)
 
-    left, right = run(at, lambda i: i), F.reverse(run(F.reverse(at), lambda i: i + 1))
+        def choose(x: Column, i: Column) -> Column:
+            a, b = x["a"], x["b"]
+            to_left, to_right = i - a, b - i
+            second = (to_right < to_left) | (to_right == to_left) & F.get(of["root"], b) & ~F.get(of["root"], a)
+            return F.when(a.isNull(), b).when(b.isNull(), a).when(second, b).otherwise(a)
 
-    def choose(x: Column, i: Column) -> Column:
-        a, b = x["a"], x["b"]
-        to_left, to_right = i - a, b - i
-        second = (to_right < to_left) | (to_right == to_left) & F.get(root, b) & ~F.get(root, a)
-        return F.when(a.isNull(), b).when(b.isNull(), a).when(second, b).otherwise(a)
+        both = F.arrays_zip(run(at, lambda i: i).alias("a"), F.reverse(run(F.reverse(at), lambda i: i + 1)).alias("b"))
+        return F.transform(both, choose)
 
-    return F.transform(F.arrays_zip(left.alias("a"), right.alias("b")), choose)
+    return _let(F.struct(_open(word, j).alias("walls"), sources.alias("sources"), root.alias("root")), found)
 
 
 def harmonised(word: Column, sources: Column, root: Column) -> Column:
@@ -142,12 +150,9 @@ def harmonised(word: Column, sources: Column, root: Column) -> Column:
     Of several as near, those that agree in the components that changed, then those nearest to the vowel's own colour, then
     the first of COLOURS.
     """
-    v = vowels(word)
-    zipped = F.arrays_zip(v.alias("v"), _nearest(word, 0, sources, root).alias("s0"), _nearest(word, 1, sources, root).alias("s1"))
-
-    def new(x: Column, i: Column) -> Column:
+    def new(of: Column, x: Column, i: Column) -> Column:
         own = [_value(x["v"], j) for j in (0, 1)]
-        now = [F.coalesce(_value(F.get(v, x[f"s{j}"]), j), own[j]) for j in (0, 1)]
+        now = [F.coalesce(_value(F.get(of["v"], x[f"s{j}"]), j), own[j]) for j in (0, 1)]
 
         def far(colour: tuple[float, float], of: list[Column]) -> Column:
             return (of[0] - colour[0]) ** 2 + (of[1] - colour[1]) ** 2
@@ -156,15 +161,18 @@ def harmonised(word: Column, sources: Column, root: Column) -> Column:
         for k, (letter, colour) in enumerate(COLOURS.items()):
             off = reduce(lambda a, b: a | b, ((now[j] != own[j]) & (F.abs(now[j] - colour[j]) >= NEAR) for j in (0, 1)))
             ranked.append(F.struct(F.round(F.sqrt(far(colour, now)), 9).alias("far"), off.alias("off"), far(colour, own).alias("moved"), F.lit(k).alias("k"), F.lit(letter).alias("letter")))
-        return F.when(F.get(sources, i), x["v"]).otherwise(F.array_min(F.array(*ranked))["letter"])
+        return F.when(F.get(of["sources"], i), x["v"]).otherwise(F.array_min(F.array(*ranked))["letter"])
+
+    def all_new(of: Column) -> Column:
+        return F.transform(F.arrays_zip(of["v"].alias("v"), of["s0"].alias("s0"), of["s1"].alias("s1")), lambda x, i: new(of, x, i))
 
-    return F.transform(zipped, new)
+    return _let(F.struct(vowels(word).alias("v"), sources.alias("sources"), *(_nearest(word, j, sources, root).alias(f"s{j}") for j in (0, 1))), all_new)
 
 
 def respelled(word: Column, new_vowels: Column) -> Column:
     """The word with other vowels in the places of its own."""
     clusters = F.split(word, f"[{_VOWELS}]", -1)
-    return F.concat(F.get(clusters, F.lit(0)), F.array_join(F.transform(new_vowels, lambda v, i: F.concat(v, F.get(clusters, i + 1))), ""))
+    return F.array_join(F.flatten(F.transform(F.arrays_zip(clusters.alias("c"), new_vowels.alias("v")), lambda x: F.array(x["c"], F.coalesce(x["v"], F.lit(""))))), "")
 
 
 def harmony(word: Column, root_vowels: Column, dominant_suffix: bool = False) -> Column:
