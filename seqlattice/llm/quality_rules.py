@@ -10,11 +10,16 @@ around the median of all documents of a language and script that pass the base r
 - token entropy: ``width`` robust deviations around the median of texts with as many tokens, by powers of two.
 
 Every document that passes the base rules is judged, however short: its bands are as wide as its number of tokens asks
-for.  Medians are those of counted bins (``_median``), so they don't depend on how rows are dealt to tasks.
+for.  Medians are those of counted bins, so they don't depend on how rows are dealt to tasks.
 
-Defined cases: a null or empty text has no words and fails the base rules.  A null language is a class of its own.
-Repeated rows are measured and count each by itself.  An empty table gives no rows.  Only the id, text and language
-columns are read, so other columns can't clash.  A text of any length is measured whole, in one task.
+A language and script (for entropy: also a size) with fewer than ``least`` documents isn't judged by itself, as a lone
+document is its own median.  It is held against the classes of its script that have as many: from the least of their medians
+to the greatest, with the widest of their spreads.  Where the script has no such class, all its documents are one class.
+
+Defined cases: a null or empty text has no words and fails the base rules.  A null language is a class of its own,
+and with few documents judged by its script.  Repeated rows are measured and count each by itself.  An empty table gives
+no rows.  Only the id, text and language columns are read, so other columns can't clash.  A text of any length is measured
+whole, in one task.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ BAND_WIDTH = 6.0
 #: Least spread of one token in characters; differences between texts of one language, as a share of the median.
 LEAST_SPREAD, DRIFT = 0.5, 0.005
 BYTE_ALLOWANCE, LEAST_ENTROPY_SPREAD = 0.01, 0.015
+#: Documents that a class needs to be judged by itself.
+LEAST_DOCS = 10
 CACHE_WORDS = 150_000
 
 _COUNTS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64())]
@@ -157,23 +164,26 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-_CLASS, _SIZED = ["lang", "script"], ["lang", "script", "size_class"]
-
+_CLASS = ["lang", "script", "size", "figure"]
+#: Figures that are compared at every length of text stand at this size.
+ANY_SIZE = -1
 
 #: Bins of a median for each factor e of 1 + value.
 BINS = 2_000
 
 
-def _median(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """The median of a column of numbers from 0 on, by class: the bin that the middle row falls into.
+def _binned(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of ``value``, a number from 0 on, in bins of equal width in log(1 + value): at most some 20,000 of a class."""
+    bins = rows.select(*keys, F.round(F.log1p("value") * BINS).cast("long").alias("bin")).filter("bin IS NOT NULL")
+    return bins.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
 
-    Bins are of equal width in log(1 + value), so there are at most some 20,000 of a class at any size of input.
-    """
-    bins = rows.select(*keys, F.round(F.log1p(value) * BINS).cast("long").alias("bin")).filter("bin IS NOT NULL").groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+
+def _middle(bins: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, ``name``, n): the bin that the middle row of a class falls into, and the rows of the class."""
     of_class = Window.partitionBy(*keys)
     below = F.sum("n").over(of_class.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     middle = bins.withColumns({"below": below, "total": F.sum("n").over(of_class)}).filter(2 * F.col("below") >= F.col("total"))
-    return middle.groupBy(*keys).agg(F.expm1(F.min("bin") / BINS).alias(name))
+    return middle.groupBy(*keys).agg(F.expm1(F.min("bin") / BINS).alias(name), F.first("total").alias("n"))
 
 
 def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -185,34 +195,79 @@ def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(named, met, "left").drop(*(f"__{k}" for k in keys))
 
 
-def judge(measured: DataFrame, width: float = BAND_WIDTH) -> DataFrame:
+def _figures(rows: DataFrame) -> DataFrame:
+    """(class, n_tokens, value): a row for each figure of a document."""
+    each = (("chars_per_token", F.lit(ANY_SIZE)), ("byte_share", F.lit(ANY_SIZE)), ("token_entropy", F.col("size_class")))
+    told = F.array(*(F.struct(F.lit(k).alias("figure"), size.cast("int").alias("size"), F.col(k).alias("value")) for k, size in each))
+    return rows.select("lang", "script", "n_tokens", F.inline(told))
+
+
+def bands_of(steady: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
+    """(class, level, low, high, away): the medians that a class is judged by, and the spread around them.
+
+    ``level`` is ``own`` for a class of at least ``least`` documents; ``script`` where other languages of the script have
+    such classes, with the least and the greatest of their medians; else ``pooled``, all documents of the script as one.
+    Two passes over the documents; everything else works on tables of bins and classes, which are written.
+    """
+    counted = materialize(_binned(_figures(steady), _CLASS), "bins")
+    shared = _CLASS[1:]
+    own = _middle(counted, _CLASS, "mid")
+    pooled = _middle(counted.groupBy(*shared, "bin").agg(F.sum("n").alias("n")), shared, "pooled").drop("n")
+    of_script = Window.partitionBy(*shared)
+    large = F.when(F.col("n") >= least, F.col("mid"))
+    ends = own.withColumns({"least": F.min(large).over(of_script), "most": F.max(large).over(of_script)})
+    level = F.when(F.col("n") >= least, "own").when(F.col("least").isNotNull(), "script").otherwise("pooled")
+
+    def end(of_others: str) -> Column:
+        return F.when(F.col("level") == "own", F.col("mid")).when(F.col("level") == "script", F.col(of_others)).otherwise(F.col("pooled"))
+
+    told = _with(ends, pooled, shared).withColumn("level", level)
+    classes = materialize(told.select(*_CLASS, "level", end("least").alias("low"), end("most").alias("high")), "classes")
+
+    of_level = F.when(F.col("level") == "own", F.col("lang"))
+    scaled = F.when(F.col("figure") == "chars_per_token", F.sqrt(F.col("n_tokens").cast("double"))).otherwise(F.lit(1.0))
+    learnt = classes.filter("level <> 'script' and figure <> 'byte_share'").select(*_CLASS, "level", "low")
+    near = _with(_figures(steady).filter("figure <> 'byte_share'"), learnt, _CLASS).filter("low is not null")
+    near = near.select("level", of_level.alias("of"), *shared, (F.abs(F.col("value") - F.col("low")) * scaled).alias("value"))
+    keys = ["level", "of", *shared]
+    away = _middle(_binned(near, keys), keys, "away").drop("n")
+    met = _with(classes.withColumn("of", of_level), away, keys).drop("of")
+    widest = F.max(F.when(F.col("level") == "own", F.col("away"))).over(of_script)
+    return materialize(met.withColumn("away", F.when(F.col("level") == "script", widest).otherwise(F.col("away"))), "bands")
+
+
+def judge(measured: DataFrame, width: float = BAND_WIDTH, least: int = LEAST_DOCS) -> DataFrame:
     """``measured`` with base_failed, in_band and kept; the bands come from all of its documents that pass the base rules.
 
     The tables of classes are written before they are joined, so that the planner knows how small they are.
     """
     rows = measured.withColumns({"base_failed": base_failed(), "size_class": F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))).cast("int")})
-    steady = rows.filter(~F.col("base_failed"))
-    middle = materialize(_with(_median(steady, _CLASS, F.col("chars_per_token"), "mid_chars"), _median(steady, _CLASS, F.col("byte_share"), "mid_bytes"), _CLASS), "middle")
-    typical = materialize(_median(steady, _SIZED, F.col("token_entropy"), "mid_entropy"), "typical")
-    away = _with(_with(steady, middle, _CLASS), typical, _SIZED)
-    root = F.sqrt(F.col("n_tokens").cast("double"))
-    spread = _median(away, _CLASS, F.abs(F.col("chars_per_token") - F.col("mid_chars")) * root, "away_chars")
-    entropy = _median(away, _SIZED, F.abs(F.col("token_entropy") - F.col("mid_entropy")), "away_entropy")
-    bands = materialize(_with(middle, spread, _CLASS), "bands"), materialize(_with(typical, entropy, _SIZED), "entropies")
-    met = _with(_with(rows, bands[0], _CLASS), bands[1], _SIZED)
-
-    of_token = F.greatest(F.lit(LEAST_SPREAD), 1.4826 * F.col("away_chars"))
-    error = F.sqrt((of_token / root) ** 2 + (DRIFT * F.col("mid_chars")) ** 2)
-    chars = F.abs(F.col("chars_per_token") - F.col("mid_chars")) <= width * error
-    share = F.sqrt(F.col("mid_bytes") * (1 - F.col("mid_bytes"))) / root
-    bytes_ = F.col("byte_share") - F.col("mid_bytes") <= width * (share + BYTE_ALLOWANCE)
-    entropies = F.abs(F.col("token_entropy") - F.col("mid_entropy")) <= width * F.greatest(F.lit(LEAST_ENTROPY_SPREAD), 1.4826 * F.col("away_entropy"))
+    bands = bands_of(rows.filter(~F.col("base_failed")), least)
+
+    def band(figure: str, *names: str) -> list[Column]:
+        return [F.max(F.when(F.col("figure") == figure, F.col(c))).alias(f"{c}_{figure}") for c in names]
+
+    fixed = bands.filter(F.col("size") == ANY_SIZE).groupBy("lang", "script").agg(*band("chars_per_token", "low", "high", "away"), *band("byte_share", "high"))
+    sized = bands.filter("figure = 'token_entropy'").select("lang", "script", F.col("size").alias("size_class"), *(F.col(c).alias(f"{c}_token_entropy") for c in ("low", "high", "away")))
+    met = _with(_with(rows, fixed, ["lang", "script"]), sized, ["lang", "script", "size_class"])
+
+    root = F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))
+    of_token = F.greatest(F.lit(LEAST_SPREAD), 1.4826 * F.col("away_chars_per_token"))
+
+    def chars_error(mid: str) -> Column:
+        return width * F.sqrt((of_token / root) ** 2 + (DRIFT * F.col(mid)) ** 2)
+
+    chars = (F.col("chars_per_token") >= F.col("low_chars_per_token") - chars_error("low_chars_per_token")) & (F.col("chars_per_token") <= F.col("high_chars_per_token") + chars_error("high_chars_per_token"))
+    mid_bytes = F.col("high_byte_share")
+    bytes_ = F.col("byte_share") - mid_bytes <= width * (F.sqrt(mid_bytes * (1 - mid_bytes)) / root + BYTE_ALLOWANCE)
+    entropy_error = width * F.greatest(F.lit(LEAST_ENTROPY_SPREAD), 1.4826 * F.col("away_token_entropy"))
+    entropies = (F.col("token_entropy") >= F.col("low_token_entropy") - entropy_error) & (F.col("token_entropy") <= F.col("high_token_entropy") + entropy_error)
     in_band = F.coalesce(chars & bytes_ & entropies, F.lit(False))
     return met.select(*rows.columns, in_band.alias("in_band")).withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model_dir: str | None = None, width: float = BAND_WIDTH) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model_dir: str | None = None, width: float = BAND_WIDTH, least: int = LEAST_DOCS) -> DataFrame:
     """Counts, figures and verdict of every document.  ``tx`` beside the id names the text, should an id come twice."""
     keep = {"doc_id": F.col(id_col).cast("long"), "tx": text_key(F.col(text_col)), "lang": F.col(lang_col).cast("string")}
     measured = materialize(measure(docs, keep, text_col, model_dir), "fertility")
-    return judge(measured, width)
+    return judge(measured, width, least)
