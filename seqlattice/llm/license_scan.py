@@ -3,7 +3,9 @@
 A fingerprint is the hash of ``GRAM`` consecutive words; of each ``WINNOW`` consecutive fingerprints of a template the
 least is kept, and all of a template too short for that.  Every fingerprint of a document is looked up, hits are put
 together by template and diagonal, in clusters of at most ``BAND`` diagonals, and the template is aligned with that part
-of the document inside a band, again behind a match's end as far as the part goes.  A match is reported with the share of the template's words that are matched and its span of words in the document.
+of the document inside a band, again before and behind a match as far as the part goes.  Templates of few words are also
+looked up by pairs of words, two of which must lie near one diagonal.  A match is reported with the share of the template's
+words that are matched and its span of words in the document.
 
 The index is broadcast; its size is that of the templates, which are a parameter of at most ``MOST_WORDS`` words.
 
@@ -29,6 +31,8 @@ from .decontaminate import words_of
 from .licenses import TEMPLATES
 
 GRAM, WINNOW, BAND, LEAST_COVERAGE = 3, 4, 8, 0.8
+#: Templates of at most this many words are looked up by pairs of words too, two of which must lie near one diagonal.
+SHORT, PAIR = 12, 2
 MOST_WORDS = 1_000_000
 
 
@@ -41,42 +45,65 @@ def fingerprints(hashes: np.ndarray) -> list[tuple[int, int]]:
     return [(int(grams[i]), i) for i in sorted(kept)]
 
 
+class Postings:
+    """An inverted index: sorted hashes of ``size`` words, each with its template and place."""
+
+    def __init__(self, size: int, found: list[tuple[int, int, int]]):
+        self.size = size
+        self.grams = np.array([f[0] for f in sorted(found)], np.uint64)
+        self.template = np.array([f[1] for f in sorted(found)], np.int64)
+        self.place = np.array([f[2] for f in sorted(found)], np.int64)
+
+    def hits(self, doc: np.ndarray) -> list[tuple[int, int]]:
+        """(template, diagonal) of each hit, in order."""
+        grams = window_hashes(doc, self.size)
+        low, high = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
+        n = high - low
+        at = np.repeat(np.arange(len(grams)), n)
+        entry = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + low[at]
+        template, diagonal = self.template[entry], at - self.place[entry]
+        order = np.lexsort((diagonal, template))
+        return list(zip(template[order].tolist(), diagonal[order].tolist(), strict=True))
+
+
 class Index:
     def __init__(self, templates: dict[str, str]):
         hashes = WordHashes()
         self.names = sorted(templates)
         self.words = [hashes.of(words_of(templates[k].encode())) for k in self.names]
         assert sum(map(len, self.words)) <= MOST_WORDS, "too many template words for a broadcast"
-        found = sorted((g, t, i) for t, w in enumerate(self.words) for g, i in fingerprints(w))
-        self.grams = np.array([f[0] for f in found], np.uint64)
-        self.template = np.array([f[1] for f in found], np.int64)
-        self.place = np.array([f[2] for f in found], np.int64)
+        self.winnowed = Postings(GRAM, [(g, t, i) for t, w in enumerate(self.words) for g, i in fingerprints(w)])
+        self.pairs = Postings(PAIR, [(int(g), t, i) for t, w in enumerate(self.words) if len(w) <= SHORT for i, g in enumerate(window_hashes(w, PAIR))])
 
     def scan(self, doc: np.ndarray) -> list[dict]:
-        grams = window_hashes(doc, GRAM)
-        low, high = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
-        n = high - low
-        if not n.any():
-            return []
-        at = np.repeat(np.arange(len(grams)), n)
-        entry = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + low[at]
-        template, diagonal = self.template[entry], at - self.place[entry]
-        order = np.lexsort((at, diagonal, template))
-        template, diagonal = template[order], diagonal[order]
-        fresh = np.append(True, (template[1:] != template[:-1]) | (diagonal[1:] != diagonal[:-1]))
-        out, held = [], (-1, 0)  # a cluster's template and first diagonal
-        for t, d in zip(template[fresh].tolist(), diagonal[fresh].tolist(), strict=True):
-            if t == held[0] and d - held[1] <= BAND:
+        places = clusters(self.winnowed.hits(doc), 1) | clusters(self.pairs.hits(doc), 2)
+        found = {m for t, d in sorted(places) for m in self.aligned(doc, t, d)}
+        return best_of([dict(zip(("license", "coverage", "n_matched", "start_word", "end_word"), m, strict=True)) for m in found])
+
+    def aligned(self, doc: np.ndarray, t: int, d: int) -> Iterator[tuple]:
+        """The matches of a template around a diagonal: the best, then those on either side of it."""
+        words = self.words[t]
+        open_ = [(max(0, d - BAND), min(len(doc), d + len(words) + 2 * BAND))]
+        while open_:
+            begin, end = open_.pop()
+            if end - begin < LEAST_COVERAGE * len(words):
                 continue
-            held, words = (t, d), self.words[t]
-            begin, end = max(0, d - BAND), d + len(words) + 2 * BAND
-            while begin < end:
-                matched, first, last = align(words, doc[begin:end], d - begin)
-                if matched < LEAST_COVERAGE * len(words):
-                    break
-                out.append({"license": self.names[t], "coverage": matched / len(words), "n_matched": matched, "start_word": begin + first, "end_word": begin + last + 1})
-                begin += last + 1
-        return best_of([dict(m) for m in dict.fromkeys(tuple(m.items()) for m in out)])
+            matched, first, last = align(words, doc[begin:end], d - begin)
+            if matched >= LEAST_COVERAGE * len(words):
+                yield self.names[t], matched / len(words), matched, begin + first, begin + last + 1
+                open_ += [(begin, begin + first), (begin + last + 1, end)]
+
+
+def clusters(hits: list[tuple[int, int]], least: int) -> set[tuple[int, int]]:
+    """(template, first diagonal) of the runs of at most ``BAND`` diagonals with at least ``least`` hits."""
+    out, held, n = set(), (-1, 0), 0
+    for t, d in hits:
+        if t != held[0] or d - held[1] > BAND:
+            held, n = (t, d), 0
+        n += 1
+        if n == least:
+            out.add(held)
+    return out
 
 
 def best_of(found: list[dict]) -> list[dict]:
