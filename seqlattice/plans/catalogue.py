@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..streaming import queries as streams
-from . import events, graphs, texts
+from . import events, graphs, pages, texts
 
-_MODULES = (events, texts, graphs, streams)
+_MODULES = (events, texts, pages, graphs, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
