@@ -411,6 +411,58 @@ def test_passages_of_frequent_lines(spark):
     assert [(r.doc_id, r.other_doc_id, r.start, r.stop, r.other_start, r.other_stop) for r in rows] == [(121, 120, 102, 168, 40, 106)]
 
 
+@pytest.mark.parametrize(("pairs", "holders"), [(30, 2), (8, 40)])
+def test_fuzzy_passages_beside_holders_of_their_lines(spark, pairs, holders):
+    """Other documents hold the lines of a passage; still the two texts that share it, with a word in eight changed, are linked."""
+    rng = random.Random(34)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    shared, lines = [], []
+    for _ in range(pairs):
+        passage = words(96)
+        other = list(passage)
+        for i in range(3, 96, 8):
+            other[i] = f"e{rng.random()}"
+        shared += [words(30) + passage + words(30), words(20) + other + words(25)]
+        lines += [words(20) + passage[i : i + 24] + words(20) for i in range(0, 96, 24) for _ in range(holders)]
+    texts = lines + shared
+    rng.shuffle(lines)
+    rows = substring_dedup.substring_dedup(_docs(spark, *map(" ".join, texts)).repartition(3)).collect()
+    found = {(r.other_doc_id - len(lines), r.doc_id - len(lines)) for r in rows}
+    assert {(2 * k, 2 * k + 1) for k in range(pairs)} == found
+
+
+def test_every_pair_of_a_small_group(spark):
+    """Each two of twelve texts share the passage, and each two are a row."""
+    rng = random.Random(35)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    passage = words(70)
+    texts = [words(10 + i) + passage + words(40) for i in range(12)]
+    rows = substring_dedup.substring_dedup(_docs(spark, *map(" ".join, texts)).repartition(3)).collect()
+    assert {(r.other_doc_id, r.doc_id) for r in rows} == {(i, j) for j in range(12) for i in range(j)}
+
+
+def test_seeds_meet_whatever_the_batches():
+    """Of shared seeds all places meet up to a number, all meet the first one above it; batches of any size give the same."""
+    import pyarrow as pa
+
+    rng = random.Random(36)
+    rows = sorted({(rng.randint(0, 9), rng.randint(0, 12), rng.randint(0, 3)) for _ in range(160)} | {(20, 1, k) for k in range(9)})
+    shared = [r for r in rows if len({t for h, t, _ in rows if h == r[0]}) > 1]
+    few, sizes = 16, Counter(h for h, _, _ in shared)
+    expected = Counter()
+    for h in sizes:
+        own = [r[1:] for r in shared if r[0] == h]
+        for i, x in enumerate(own if sizes[h] <= few else own[:1]):
+            expected.update((min(x, y), max(x, y)) for y in own[i + 1 :] if x[0] != y[0])
+    for step in (1, 3, 7, 50, 1000):
+        batches = lambda x: (pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*x[i : i + step], strict=True)], names=["h", "t", "at"]) for i in range(0, len(x), step))  # noqa: B023, E731
+        kept = [r for b in substring_dedup._shared(batches(sorted(rows * 2))) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert kept == shared
+        met = [r for b in substring_dedup._met(batches(kept), few) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert Counter(((a, x), (b, y)) for _, a, x, b, y in met if a is not None) == expected
+        assert sorted((h, t, at) for h, a, _, t, at in met if a is None) == [r for r in shared if sizes[r[0]] > few]
+
+
 def test_every_segmentation_is_drawn_once():
     vocab = segmentation.vocabulary(tokenizer_path(segmentation.MODEL))
     found = segmentation.sample([b"of the"], np.array([5], np.uint64), vocab, 100)[0]
