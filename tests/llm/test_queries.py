@@ -76,6 +76,24 @@ def test_samples_decode_and_differ(spark, small):
         assert [s.value for s in r.samples] == sorted((s.value for s in r.samples), reverse=True)
 
 
+def test_samples_have_their_pieces(spark, small):
+    """The whole segmentations are in the rows: the library decodes them to the text, and the figures are theirs."""
+    import hashlib
+
+    import numpy as np
+    import sentencepiece
+
+    from seqlattice.llm.common import tokenizer_path
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in queries.op7_sentencepiece(spark, small).collect():
+        assert len(r.samples) == 2 * (texts[r.doc_id] != "")
+        for s in r.samples:
+            assert model.decode(s.ids) == texts[r.doc_id] and len(s.ids) == s.n_pieces
+            assert hashlib.sha256(np.array(s.ids, "<i4").tobytes()).hexdigest() == s.sha256
+
+
 def test_long_shared_passages_are_found(spark, small):
     from collections import defaultdict
 
