@@ -31,6 +31,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,9 @@ from .common import list_array, mix, record_batch, released, text_bytes, tokeniz
 
 MODEL = "piece_bpe_32k.model"
 SAMPLES, RANK = 2, 10.0
-LONGEST, BLOCK = 256, 1_500_000
+LONGEST = 256
+#: Bytes of text whose lattices are held at once; samples don't depend on it.
+BLOCK = 500_000
 _WORD = re.compile(rb"\n| *[^ \n]+| +")
 _WIDTH = np.array([1] * 0x80 + [2] * 0x60 + [3] * 0x10 + [4] * 0x10, np.int8)  # of a character, by its first byte
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -396,15 +399,17 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("samples", p
 def _encode(batches: Iterator[pa.RecordBatch], path: str, k: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(path)
     for batch in batches:
-        ids, seeds, raws = batch.column(0), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_pylist()
+        ids, seeds = batch.column(0), batch.column(1).to_numpy().view(np.uint64)
+        widths = pc.binary_length(batch.column(2)).to_pylist()
         at = 0
-        while at < len(raws):
+        while at < len(widths):
             end, room = at, BLOCK
-            while end < len(raws) and (end == at or len(raws[end]) <= room):
-                room -= len(raws[end])
+            while end < len(widths) and (end == at or widths[end] <= room):
+                room -= widths[end]
                 end += 1
-            found = sample(raws[at:end], seeds[at:end], vocab, k)
-            flat = [(p, vocab.decode(p) == raw, *rest) for raw, samples in zip(raws[at:end], found, strict=True) for p, *rest in samples]
+            raws = batch.column(2).slice(at, end - at).to_pylist()
+            found = sample(raws, seeds[at:end], vocab, k)
+            flat = [(p, vocab.decode(p) == raw, *rest) for raw, samples in zip(raws, found, strict=True) for p, *rest in samples]
             pieces = [f[0] for f in flat]
             sizes = [len(p) for p in pieces]
             none = pa.nulls(len(flat), pa.list_(pa.int32()))
@@ -412,7 +417,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, k: int, with_ids: bool
             hashes = [hashlib.sha256(p.astype("<i4").tobytes()).hexdigest() for p in pieces]
             log_p, values, inclusion = (pa.array([f[i] for f in flat], pa.float64()) for i in (2, 3, 4))
             struct = pa.StructArray.from_arrays([ids_array, pa.array(sizes, pa.int32()), pa.array(hashes, pa.string()), pa.array([f[1] for f in flat], pa.bool_()), log_p, values, inclusion], fields=list(_SAMPLE_ARROW))
-            yield record_batch(_OUT, ids.slice(at, end - at), [len(r) for r in raws[at:end]], list_array(struct, [len(x) for x in found]))
+            yield record_batch(_OUT, ids.slice(at, end - at), widths[at:end], list_array(struct, [len(x) for x in found]))
             at = end
 
 

@@ -513,6 +513,26 @@ def test_round_trip(spark, text):
     assert row.t == text and row.decoded
 
 
+def test_a_batch_is_segmented_in_little_memory():
+    """What is held beside a batch doesn't grow with it, and the samples don't depend on how it is cut."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(37)
+    texts = [" ".join(rng.choice(["some", "words", "cut", f"w{rng.randint(0, 10**6)}"]) for _ in range(1200)).encode() for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array(range(600), pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "seed", "raw"])
+    path = tokenizer_path(segmentation.MODEL)
+    vocab = segmentation.vocabulary(path)
+    tracemalloc.start()
+    rows = [r for b in segmentation._encode(iter([batch]), path, 2, False) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["doc_id"] for r in rows] == list(range(600)) and [r["n_bytes"] for r in rows] == [len(t) for t in texts]
+    assert [[s["log_prob"] for s in r["samples"]] for r in rows[-3:]] == [[f[1] for f in found] for found in segmentation.sample(texts[-3:], np.arange(597, 600, dtype=np.uint64), vocab)]
+    assert peak < 110_000_000
+
+
 def test_samples_depend_on_the_key_only(spark):
     docs = _docs(spark, *["some words to be cut into pieces"] * 6)
     a = sorted((r.doc_id, str(r.samples)) for r in segmentation.encode(docs.repartition(5)).collect())
