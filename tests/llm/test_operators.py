@@ -431,6 +431,42 @@ def test_fuzzy_passages_beside_holders_of_their_lines(spark, pairs, holders):
     assert {(2 * k, 2 * k + 1) for k in range(pairs)} == found
 
 
+def test_a_chain_is_aligned_once(spark, monkeypatch):
+    """What the rounds over open seeds bring together again isn't aligned again, and of both texts only the words around a chain are."""
+    rng = random.Random(34)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    tiles = [words(24) for _ in range(6)]
+    texts = [words(300) + tiles[i % 6] + words(300) for i in range(240)]
+    texts += [words(20) + sum((rng.sample(tiles, 4)), []) + words(20) for _ in range(8)]
+    aligned, plain = [], substring_dedup._aligned
+
+    def watched(found, texts):
+        aligned.append(found)
+        return plain(found, texts)
+
+    monkeypatch.setattr(substring_dedup, "_aligned", watched)
+    rows = substring_dedup.substring_dedup(_docs(spark, *map(" ".join, texts)).repartition(3)).collect()
+    chains = [(r.a, r.b, *r.blocks) for found in aligned for r in found.select("a", "b", "blocks").collect()]
+    assert rows and len(aligned) > 2 and len(chains) == len(set(chains))
+
+
+def test_an_alignment_needs_only_the_words_around_its_chain():
+    rng = random.Random(37)
+    near = substring_dedup.REACH
+    for _ in range(200):
+        a = np.array([rng.randint(0, 10**6) for _ in range(900)], np.uint32)
+        b = np.array([rng.randint(0, 10**6) for _ in range(900)], np.uint32)
+        x, y, n = rng.randint(0, 600), rng.randint(0, 600), rng.randint(20, 280)
+        b[y : y + n] = a[x : x + n]
+        for k in rng.sample(range(n), n // 12):
+            b[y + k] = 10**7 + k
+        at = sorted(rng.sample(range(n - 5), 2))
+        blocks = [x + at[0], y + at[0], at[1] - at[0] + 5]
+        begin_a, begin_b = max(0, blocks[0] - near), max(0, blocks[1] - near)
+        stop_a, stop_b = blocks[0] + blocks[2] + near, blocks[1] + blocks[2] + near
+        assert substring_dedup.align(blocks, a[begin_a:stop_a], begin_a, b[begin_b:stop_b], begin_b) == substring_dedup.align(blocks, a, 0, b)
+
+
 def test_every_pair_of_a_small_group(spark):
     """Each two of twelve texts share the passage, and each two are a row."""
     rng = random.Random(35)
