@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut
+from ..sources.storage import cut, dropped
 
 
 #: Steps after which the tables found so far become one.
@@ -42,21 +42,94 @@ def on_cycle(closed: DataFrame) -> DataFrame:
     return closed.filter(F.col("child") == F.col("ancestor")).select(F.col("child").alias("node")).distinct()
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The covers, a written table, without those that lead from where none comes or to where none goes on; again while any goes."""
+    before, left = None, edges.count()
+    while left and left != before:
+        onward = edges.join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        kept = cut(onward.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent"))
+        dropped(edges)
+        edges, before, left = kept, left, kept.count()
+    return edges
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(node, colour): the least of a node and all below it, by hash, so that a chain of cycles falls apart in a few rounds."""
+    nodes = edges.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
+    labels = cut(nodes.select("node", F.struct(F.xxhash64("node").alias("hash"), "node").alias("colour"), F.lit(True).alias("moved")))
+    while not labels.filter("moved").isEmpty():
+        up = labels.filter("moved").select(F.col("node").alias("child"), "colour").join(edges, "child")
+        least = up.groupBy(F.col("parent").alias("node")).agg(F.min("colour").alias("least"))
+        moved = F.coalesce(F.col("least") < F.col("colour"), F.lit(False))
+        now = cut(labels.join(least, "node", "left").select("node", F.when(moved, F.col("least")).otherwise(F.col("colour")).alias("colour"), moved.alias("moved")))
+        dropped(labels)
+        labels = now
+    return labels
+
+
+def _below(start: DataFrame, edges: DataFrame, by: str, shortest: bool = False) -> DataFrame:
+    """(by, node, depth): each start (by, node), and what lies below it within the covers (by, child, parent), with the least number of steps.
+
+    ``shortest``: a start isn't there at once but when a cycle leads to it, and what is further away than that isn't looked for.
+    """
+    last = start.select(by, "node", F.lit(0).alias("depth"))
+    found = None if shortest else last
+    for depth in count(1):
+        step = edges.join(last.select(by, F.col("node").alias("parent")), [by, "parent"]).select(by, F.col("child").alias("node")).distinct()
+        new = step if found is None else step.join(found.select(by, "node"), [by, "node"], "left_anti")
+        new = cut(new.select(by, "node", F.lit(depth).alias("depth")))
+        if new.isEmpty():
+            return new if found is None else found
+        found = new if found is None else found.unionByName(new)
+        last = new.join(new.join(start, [by, "node"], "left_semi").select(by), by, "left_anti") if shortest else new
+        if depth % STEPS == 0:
+            found = cut(found)
+
+
+def _cyclic(edges: DataFrame) -> DataFrame:
+    """(root, child, parent): the covers within each set of nodes that reach one another, by its least node.
+
+    No pairs of nodes are made: covers that can't lie on a cycle go; each node takes the least colour of all below it; of
+    a colour, the nodes that lead to the one it is named after are a set; the covers between the others are gone through again.
+    """
+    edges = edges.filter("child is not null and parent is not null").select("child", "parent").distinct()
+    left, out = cut(edges), None
+    while True:
+        left = _trimmed(left)
+        if left.isEmpty():
+            return left.select(F.col("child").alias("root"), "child", "parent") if out is None else out
+        labels = _coloured(left)
+        ends = [labels.select(F.col("node").alias(side), F.col("colour").alias(f"{side}_colour")) for side in ("child", "parent")]
+        inner = cut(left.join(ends[0], "child").join(ends[1], "parent").filter("child_colour = parent_colour").select(F.col("child_colour").alias("colour"), "child", "parent"))
+        named = inner.select("colour", F.col("colour.node").alias("node")).distinct()
+        sets = _below(named, inner, "colour").select("colour", "node")
+        within = inner.join(sets.select("colour", F.col("node").alias("child")), ["colour", "child"], "left_semi").join(sets.select("colour", F.col("node").alias("parent")), ["colour", "parent"], "left_semi")
+        roots = sets.groupBy("colour").agg(F.min("node").alias("root"))
+        part = cut(within.join(roots, "colour").select("root", "child", "parent"))
+        out = part if out is None else out.unionByName(part)
+        rest = inner.join(sets.select(F.col("node").alias("child")), "child", "left_anti").join(sets.select(F.col("node").alias("parent")), "parent", "left_anti")
+        rest = cut(rest.select("child", "parent"))
+        dropped(left, inner, labels)
+        left = rest
+
+
 def cycle_paths(edges: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     """(root, path): of each set of nodes that reach one another, a shortest cycle through its least node, which stands at both ends.
 
-    The closure holds the least number of steps between two nodes; from the root, each step goes to the parent that is
-    nearest to the root again, the least one of several.  All cycles are walked at once, a join a step.
+    From the root of each set, steps go down until the root is met again, so each node met has the least number of steps to it;
+    then each step up goes to the parent that is nearest to the root again, the least one of several.  All cycles are walked
+    at once, a join a step.  A closure that is at hand, ``closed``, only tells which nodes lie on cycles.
     """
-    closed = closure(edges) if closed is None else closed
-    steps = closed.select("child", "ancestor", "depth")
-    back = steps.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("child"))
-    same = steps.select("child", "ancestor").join(back, ["child", "ancestor"])
-    roots = same.groupBy("child").agg(F.min("ancestor").alias("root")).filter("child = root").select("root")
-    to_root = cut(steps.join(roots, F.col("ancestor") == F.col("root")).select("root", F.col("child").alias("node"), "depth"))
+    if closed is not None:
+        cyclic = on_cycle(closed)
+        for side in ("child", "parent"):
+            edges = edges.join(cyclic.withColumnRenamed("node", side), side, "left_semi")
+    ups = cut(_cyclic(edges))
+    roots = cut(ups.select("root", F.col("root").alias("node")).distinct())
+    to_root = _below(roots, ups, "root", shortest=True)
     way = to_root.filter("node = root").select("root", "node", F.col("depth").alias("left"), F.array("root").alias("path"))
     done = None
-    ups = edges.select(F.col("child").alias("node"), F.col("parent").alias("next")).filter("next is not null").distinct()
+    ups = ups.select("root", F.col("child").alias("node"), F.col("parent").alias("next"))
     while True:
         ended = way.filter("left = 1").select("root", F.concat("path", F.array("root")).alias("path"))
         done = ended if done is None else done.unionByName(ended)
@@ -64,7 +137,7 @@ def cycle_paths(edges: DataFrame, closed: DataFrame | None = None) -> DataFrame:
         if going.isEmpty():
             return done
         near = to_root.select("root", F.col("node").alias("next"), F.col("depth").alias("rest"))
-        onward = going.join(ups, "node").join(near, ["root", "next"]).filter("rest = left - 1")
+        onward = going.join(ups, ["root", "node"]).join(near, ["root", "next"]).filter("rest = left - 1")
         way = cut(onward.groupBy("root", "left", "path").agg(F.min("next").alias("node")).select("root", "node", (F.col("left") - 1).alias("left"), F.concat("path", F.array("node")).alias("path")))
 
 

@@ -147,3 +147,41 @@ def test_cycle_paths(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "b"), ("b", "d"), ("d", "e"), ("x", "x"), ("p", "q"), ("q", "r"), ("r", "s"), ("s", "p"), ("q", "s"), ("t", "p"), ("u", None)], "child string, parent string")
     assert {r.root: r.path for r in graph.cycle_paths(edges).collect()} == {"a": list("abca"), "x": ["x", "x"], "p": list("pqsp")}
     assert graph.cycle_paths(edges.filter("child in ('d', 't')")).count() == 0
+
+
+def test_cycle_paths_without_a_closure(spark, monkeypatch):
+    """Random graphs and a hub with 2000 nodes on cycles against plain searches; the pairs of what reaches what are never made."""
+    rng = random.Random(5)
+    edges = [("h", f"h{i}") for i in range(2000)] + [(f"h{i}", "h") for i in range(2000)] + [(f"i{i}", "h") for i in range(50)]
+    for g in range(12):
+        edges += [(f"{g}-{rng.randrange(14)}", f"{g}-{rng.randrange(14)}") for _ in range(rng.choice((8, 14, 20, 30)))]
+    up = {}
+    for a, b in edges:
+        up.setdefault(a, set()).add(b)
+
+    def above(node):
+        seen, last = set(), {node}
+        while last:
+            last = {y for x in last for y in up.get(x, ())} - seen
+            seen |= last
+        return seen
+
+    reach = {x: above(x) for x in up if not x.startswith(("h", "i"))} | {"h": above("h")}
+    need = {}
+    for root in reach:
+        if root in reach[root] and not any(y < root and root in reach.get(y, ()) for y in reach[root]):
+            paths = [[root]]
+            while root not in need:
+                last = {}
+                for p in paths:
+                    for y in up.get(p[-1], ()):
+                        last[y] = min(last.get(y, [*p, y]), [*p, y])
+                paths = list(last.values())
+                need |= {root: last[root]} if root in last else {}
+
+    def no_pairs(*args):
+        raise AssertionError("a closure")
+
+    monkeypatch.setattr(graph, "closure", no_pairs)
+    found = graph.cycle_paths(spark.createDataFrame(edges, "child string, parent string")).collect()
+    assert {r.root: r.path for r in found} == need and len(found) == len(need) > 12
