@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut
+from ..sources.storage import cut, dropped, swept
 
 
 def _plateaus(counts: DataFrame, group: str) -> DataFrame:
@@ -170,37 +173,141 @@ def rank_laws(counts: DataFrame, group: str) -> DataFrame:
     return equal.groupBy(group).applyInPandas(fit, f"{group} string, law string, parameters array<double>, r2 double, r2_log double")
 
 
-#: Draws that are one table at a time.
-DRAWS = 20
+#: Rows of sequences of one length that one task shuffles as a whole; of more, a task shuffles two places at a time.
+WHOLE = 1 << 20
+#: Rows of counts that a job makes at most, if a draw makes no more.
+COUNTED = 20_000_000
+_PAIR = "draw long, prev string, sym string, n long"
+_PAIR_ARROW = pa.schema([("draw", pa.int64()), ("prev", pa.string()), ("sym", pa.string()), ("n", pa.int64())])
 
 
 def permutation_null(rows: DataFrame, key: str, pos: str, symbol: str, draws: int = 200, seed: int = 11) -> DataFrame:
     """One row: observed mutual information of adjacent symbols, its null by shuffles, and p = (1 + #>=) / (1 + draws).
 
     A draw shuffles symbols among sequences of one length at one place: each draw is a random order within (length,
-    place), joined with the slots by rank.  ``DRAWS`` draws at a time are rows of one table, dealt by (draw, length,
-    place), of which one number a draw comes to the driver.
+    place), by hashes.  Rows are dealt by length, and all draws are gone through where they lie, so that only counts of
+    neighbours leave a task.  Where these are many, several jobs share the draws.
     """
     spark = rows.sparkSession
-    blocks = (range(a, min(a + DRAWS, draws + 1)) for a in range(0, draws + 1, DRAWS))
-    mi = spark.createDataFrame([tuple(r) for block in blocks for r in _drawn_information(rows, key, pos, symbol, block, seed).collect()], "draw long, mi double")
+    base = cut(_placed(rows, key, pos, symbol))
+    dealt = _grouped(base).repartition("grp").sortWithinPartitions("grp", "k", "pos").select("grp", "pos", "follows", F.xxhash64("k", "pos").alias("mark"), "sym")
+    seen = base.agg(F.count("*").alias("n"), F.countDistinct("sym").alias("symbols"), F.countDistinct("len").alias("lengths")).first()
+    at_once = max(1, min(draws + 1, COUNTED // max(1, min(seen.n, (seen.symbols + 1) ** 2 * seen.lengths))))
+    found: list[tuple] = []
+    for first in range(0, draws + 1, at_once):
+        counts = dealt.mapInArrow(partial(_shuffled_pairs, draws=range(first, min(first + at_once, draws + 1)), seed=seed), _PAIR)
+        with swept(spark):
+            found += [tuple(r) for r in _information(counts.groupBy("draw", "prev", "sym").agg(F.sum("n").cast("double").alias("n"))).collect()]
+    dropped(base)
+    mi = spark.createDataFrame(found, "draw long, mi double")
     seen = mi.filter("draw = 0").select(F.col("mi").alias("observed"))
     null = mi.filter("draw > 0").crossJoin(F.broadcast(seen))
     return null.groupBy("observed").agg(F.avg("mi").alias("null_mean"), F.stddev_pop("mi").alias("null_sd"), ((1 + F.sum((F.col("mi") >= F.col("observed")).cast("int"))) / (1 + F.count("*"))).alias("p_value"))
 
 
-def _drawn_information(rows: DataFrame, key: str, pos: str, symbol: str, block: range, seed: int) -> DataFrame:
-    """(draw, mi) of some draws; draw 0 leaves the symbols where they are."""
+def _placed(rows: DataFrame, key: str, pos: str, symbol: str) -> DataFrame:
+    """(k, len, pos, before, sym): each symbol with its sequence's length and the place before it."""
     length = F.count("*").over(Window.partitionBy(key))
-    base = rows.select(F.col(key).alias("k"), F.col(pos).alias("pos"), F.col(symbol).alias("sym"), length.alias("len"))
-    drawn = base.crossJoin(F.broadcast(rows.sparkSession.range(block.start, block.stop).withColumnRenamed("id", "draw")))
-    slot = Window.partitionBy("draw", "len", "pos")
-    dealt = drawn.select("draw", "k", "len", "pos", "sym", F.row_number().over(slot.orderBy("k")).alias("slot"), F.row_number().over(slot.orderBy(F.xxhash64("k", "pos", "draw", F.lit(seed)), "k")).alias("turn"))
-    symbols = dealt.select("draw", "len", "pos", F.when(F.col("draw") == 0, F.col("slot")).otherwise(F.col("turn")).alias("slot"), "sym")
-    shuffled = dealt.select("draw", "k", "len", "pos", "slot").join(symbols, ["draw", "len", "pos", "slot"])
-    before = F.lag("sym").over(Window.partitionBy("draw", "k").orderBy("pos"))
-    pairs = shuffled.withColumn("prev", before).filter("prev is not null").groupBy("draw", "prev", "sym").agg(F.count("*").cast("double").alias("n"))
+    base = rows.select(F.col(key).alias("k"), F.col(pos).alias("pos"), F.col(symbol).cast("string").alias("sym"), length.alias("len")).filter("pos is not null")
+    before = F.lag("pos").over(Window.partitionBy("k").orderBy("pos"))
+    return base.select("k", "len", "pos", before.alias("before"), "sym")
+
+
+def _grouped(base: DataFrame) -> DataFrame:
+    """(grp, k, pos, follows, sym): the rows of a length are a group, or those of two neighbouring places where they are many.
+
+    ``follows``: its pair with the row before it, of the same sequence, is counted in this group.
+    """
+    sizes = base.groupBy("len").agg((F.count("*") > WHOLE).alias("many"))
+    base = base.join(sizes, "len")
+    whole = base.filter("not many").select(F.col("len").alias("grp"), "k", "pos", F.col("before").isNotNull().alias("follows"), "sym")
+    many = base.filter("many")
+    pairs = many.filter("before is not null").select("len", F.col("before").alias("low"), F.col("pos").alias("high")).distinct()
+    places = pairs.select("len", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("pos"))
+    here = F.coalesce((F.col("before") == F.col("low")) & (F.col("pos") == F.col("high")), F.lit(False))
+    return whole.unionByName(many.join(places, ["len", "pos"]).select(F.xxhash64("len", "low", "high").alias("grp"), "k", "pos", here.alias("follows"), "sym"))
+
+
+def _information(pairs: DataFrame) -> DataFrame:
+    """(draw, mi) from (draw, prev, sym, n)."""
     x, y, all_ = Window.partitionBy("draw", "prev"), Window.partitionBy("draw", "sym"), Window.partitionBy("draw")
     total = F.sum("n").over(all_)
     part = F.col("n") / total * F.log2(F.col("n") * total / (F.sum("n").over(x) * F.sum("n").over(y)))
     return pairs.select("draw", part.alias("part")).groupBy("draw").agg(F.sum("part").alias("mi"))
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(h: np.ndarray, by: int) -> np.ndarray:
+    return (h << np.uint64(by)) | (h >> np.uint64(64 - by))
+
+
+def _ended(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def draw_hashes(marks: np.ndarray, draw: int, seed: int) -> np.ndarray:
+    """What Spark's ``xxhash64`` gives for columns hashed to ``marks`` so far, then a long ``draw`` and an int ``seed``."""
+    with np.errstate(over="ignore"):
+        one = _turned(np.array([draw], np.int64).view(np.uint64) * _P2, 31) * _P1
+        h = _ended(_turned((marks.view(np.uint64) + (_P5 + np.uint64(8))) ^ one, 27) * _P1 + _P4)
+        two = np.uint64(seed & 0xFFFFFFFF) * _P1
+        return _ended(_turned((h + (_P5 + np.uint64(4))) ^ two, 23) * _P2 + _P3).view(np.int64)
+
+
+def _shuffled_pairs(batches: Iterator[pa.RecordBatch], draws: range, seed: int) -> Iterator[pa.RecordBatch]:
+    """Streams rows sorted by group, sequence and place; holds a group's.  (draw, prev, sym, n): its neighbours in each draw."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        if held and held[-1].column(0)[0].as_py() != group[0]:
+            yield from _group_pairs(held, draws, seed)
+            held = []
+        for start, stop in zip(edges, edges[1:], strict=False):
+            if start:
+                yield from _group_pairs(held, draws, seed)
+                held = []
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield from _group_pairs(held, draws, seed)
+
+
+def _group_pairs(held: list[pa.RecordBatch], draws: range, seed: int) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(held).combine_chunks()
+    names = rows.column("sym").combine_chunks().dictionary_encode()
+    v = len(names.dictionary) + 1
+    place, marks = rows.column("pos").to_numpy(), rows.column("mark").to_numpy()
+    codes = names.indices.fill_null(v - 1).to_numpy(zero_copy_only=False)  # a null is the last
+    order = np.argsort(place, kind="stable")
+    went = np.empty(len(order), np.int64)
+    went[order] = np.arange(len(order))
+    later = np.flatnonzero(rows.column("follows").to_numpy())
+    left, right = went[later - 1], went[later]
+    place, marks, codes = place[order], marks[order], codes[order].astype(np.int64)
+    starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    sizes = np.diff(np.append(starts, len(place)))
+    known = pa.array([*names.dictionary.to_pylist(), None], pa.string())
+    for draw in draws:
+        dealt = codes
+        if draw:
+            h = draw_hashes(marks, draw, seed)
+            if (sizes == sizes[0]).all():
+                dealt = np.take_along_axis(codes.reshape(len(sizes), -1), np.argsort(h.reshape(len(sizes), -1), axis=1, kind="stable"), axis=1).ravel()
+            else:
+                dealt = np.concatenate([codes[a : a + n][np.argsort(h[a : a + n], kind="stable")] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+        cells = dealt[left] * v + dealt[right]
+        if v * v <= 1 << 16:
+            n = np.bincount(cells, minlength=v * v)
+            cells = np.flatnonzero(n)
+            n = n[cells]
+        else:
+            cells, n = np.unique(cells, return_counts=True)
+        seen = cells // v < v - 1
+        cells, n = cells[seen], n[seen]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), draw, np.int64)), known.take(pa.array(cells // v)), known.take(pa.array(cells % v)), pa.array(n.astype(np.int64))], schema=_PAIR_ARROW)

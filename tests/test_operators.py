@@ -200,6 +200,42 @@ def test_null_takes_200_draws(spark):
     assert distributions.permutation_null(rows, "k", "pos", "sym").first().p_value == 1 / 201
 
 
+@pytest.mark.parametrize(("whole", "counted"), [(1 << 20, 1 << 20), (30, 20)])
+def test_null_equals_plain_shuffles(spark, monkeypatch, whole, counted):
+    """Rows stay where they are dealt once; places in order of Spark's hashes, gaps between places and missing symbols included."""
+    import random
+    from collections import Counter, defaultdict
+    from math import log2
+
+    monkeypatch.setattr(distributions, "WHOLE", whole)
+    monkeypatch.setattr(distributions, "COUNTED", counted)
+    rng = random.Random(4)
+    rows = [(k, p, rng.choice(["a", "b", "c", "b", None])) for k in range(40) for p in rng.sample(range(6), rng.choice((1, 3, 4)))]
+    got = distributions.permutation_null(spark.createDataFrame(rows, "k long, pos int, sym string"), "k", "pos", "sym", draws=6).first()
+    keys = spark.createDataFrame(rows, "k long, pos int, sym string").crossJoin(spark.range(7).withColumnRenamed("id", "draw"))
+    hashes = {(r.k, r.pos, r.draw): r.h for r in keys.select("k", "pos", "draw", F.xxhash64("k", "pos", "draw", F.lit(11)).alias("h")).collect()}
+    length = Counter(k for k, _, _ in rows)
+    mi = []
+    for draw in range(7):
+        places, dealt = defaultdict(list), {}
+        for k, p, s in rows:
+            places[length[k], p].append((k, s))
+        for (_, p), here in places.items():
+            turns = sorted(here, key=lambda x: (hashes[x[0], p, draw], x[0])) if draw else sorted(here, key=lambda x: x[0])
+            dealt |= {(k, p): s for (k, _), (_, s) in zip(sorted(here, key=lambda x: x[0]), turns, strict=True)}
+        ordered = sorted(dealt)
+        n = Counter((dealt[a], dealt[b]) for a, b in zip(ordered, ordered[1:], strict=False) if a[0] == b[0] and dealt[a] is not None)
+        x, y, total = Counter(), Counter(), sum(n.values())
+        for (a, b), c in n.items():
+            x[a] += c
+            y[b] += c
+        mi.append(sum(c / total * log2(c * total / (x[a] * y[b])) for (a, b), c in n.items()))
+    mean = sum(mi[1:]) / 6
+    assert got.observed == pytest.approx(mi[0]) and got.null_mean == pytest.approx(mean)
+    assert got.null_sd == pytest.approx((sum((m - mean) ** 2 for m in mi[1:]) / 6) ** 0.5)
+    assert got.p_value == (1 + sum(m >= mi[0] for m in mi[1:])) / 7
+
+
 def test_similar_pairs_equal_all_pairs(spark):
     import random
 
