@@ -1,4 +1,6 @@
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -6,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlattice.llm import decontaminate, html_extract, license_scan, line_dedup, minhash, quality_rules, segmentation, substring_dedup, suffix_dedup, token_counts
-from seqlattice.llm.common import LOWER, WordHashes, components, tokenizer_path
+from seqlattice.llm.common import LOWER, WordHashes, components, materialize, tokenizer_path
+from seqlattice.sources.storage import shared_dir
 
 SCHEMA = "doc_id long, text string, n_lines string, lang string"
 LONG = "one very long line that several documents hold in common"
@@ -450,6 +453,33 @@ def test_a_chain_is_aligned_once(spark, monkeypatch):
     assert rows and len(aligned) > 2 and len(chains) == len(set(chains))
 
 
+def test_used_tables_go(spark):
+    """Tables that nothing reads any more are deleted while the operator runs."""
+    rng = random.Random(41)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    line, passage = words(24), words(60)
+    texts = [" ".join(words(80) + line + words(40)) for _ in range(40)] + [" ".join(words(20) + passage + line) for _ in range(3)]
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert {(r.doc_id, r.other_doc_id) for r in substring_dedup.substring_dedup(_docs(spark, *texts)).collect()} >= {(41, 40), (42, 40), (42, 41)}
+    left = {name.rpartition("-")[0] for name in set(os.listdir(folder)) - before}
+    assert "texts" in left and not left & {"seeds", "matches", "open", "windows"}
+
+
+def test_shuffle_files_go_with_a_whole_table(spark):
+    def shuffled():
+        return {f for d, _, names in os.walk(str(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0])) for f in names if f.startswith("shuffle_")}
+
+    known = shuffled()
+    some = materialize(spark.range(1000).repartition(5, "id"), "some")
+    for _ in range(50):
+        if not shuffled() - known:
+            break
+        time.sleep(0.2)
+    assert not {f for f in shuffled() - known if f.endswith(".data")}
+    assert some.count() == 1000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_an_alignment_needs_only_the_words_around_its_chain():
     rng = random.Random(37)
     near = substring_dedup.REACH
